@@ -27,8 +27,9 @@ from .skew import hot_keys, salted_join
 XYZ = ("x", "y", "z")
 CELL = ("cx", "cy", "cz")
 LEAF_POINTS = 64
-GATED_POINTS = 512
+GATED_POINTS = 256
 MAX_LEVEL = 40
+START_CELL_PAIRS = 200_000
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,13 @@ def _level_cells(points: DataFrame, keys, h: float, levels: int, name: str) -> D
     return materialize(cells, name)
 
 
+def _start_level(src_cells: DataFrame, dst_cells: DataFrame, keys) -> int:
+    """Deepest level at which all cell pairs within the keys together stay under the limit."""
+    per = [t.groupBy(*keys, "_lev").agg(F.count(F.lit(1)).alias(n)) for t, n in ((src_cells, "_a"), (dst_cells, "_b"))]
+    sizes = per[0].join(per[1], [*keys, "_lev"]).groupBy("_lev").agg(F.sum(F.col("_a") * F.col("_b")).alias("pairs")).collect()
+    return max([r["_lev"] for r in sizes if r["pairs"] <= START_CELL_PAIRS] + [0])
+
+
 def _candidate_cells(src: DataFrame, dst: DataFrame, keys, grid: Grid, k: int, radius: float | None) -> DataFrame:
     """(keys, source cell, destination cell, sources in the cell) at the leaf level."""
     h = grid.width(grid.levels)
@@ -143,7 +151,8 @@ def _candidate_cells(src: DataFrame, dst: DataFrame, keys, grid: Grid, k: int, r
         extra = ["_n", "_rep"] if side == "d" else [F.col("_n").alias("_sn")]
         return cells.filter(F.col("_lev") == level).select(*keys, *[F.col(c).alias(side + c) for c in CELL], *extra)
 
-    s0, d0 = at(0, src_cells, "s"), at(0, dst_cells, "d")
+    start = 0 if radius is not None else _start_level(src_cells, dst_cells, keys)
+    s0, d0 = at(start, src_cells, "s"), at(start, dst_cells, "d")
     if radius is not None:
         around = F.array(*[F.lit(float(o)).cast("long") for o in (-1, 0, 1)])
         near = s0
@@ -151,10 +160,11 @@ def _candidate_cells(src: DataFrame, dst: DataFrame, keys, grid: Grid, k: int, r
             near = near.withColumn("_o", F.explode(around)).withColumn("d" + c, F.col("s" + c) + F.col("_o")).drop("_o")
         cand = near.join(d0, keys + ["d" + c for c in CELL])
     else:
-        # Level 0 is as wide as the data: at most two cells per axis and key on either side.
+        # Level 0 is as wide as the data (at most two cells per axis and key on either side); a
+        # deeper start is taken only where the counted number of cell pairs stays small.
         cand = s0.withColumn("_one", F.lit(1)).join(d0.withColumn("_one", F.lit(1)), keys + ["_one"]).drop("_one")
-    cand = _prune(cand, keys, grid.width(0), k, radius)
-    for level in range(1, grid.levels + 1):
+    cand = _prune(cand, keys, grid.width(start), k, radius)
+    for level in range(start + 1, grid.levels + 1):
         half = [F.shiftright(F.col("d" + c), 1).alias("p" + c) for c in CELL]
         kids_d = at(level, dst_cells, "d").select(*keys, *half, *["d" + c for c in CELL], "_n", "_rep")
         half = [F.shiftright(F.col("s" + c), 1).alias("q" + c) for c in CELL]
@@ -166,7 +176,7 @@ def _candidate_cells(src: DataFrame, dst: DataFrame, keys, grid: Grid, k: int, r
             .select(*keys, *["s" + c for c in CELL], *["d" + c for c in CELL], "_n", "_rep", "_sn")
         )
         cand = _prune(cand, keys, grid.width(level), k, radius)
-        if level % 4 == 0 and level < grid.levels:
+        if (level - start) % 4 == 0 and level < grid.levels:
             cand = materialize(cand.select(*keys, *["s" + c for c in CELL], *["d" + c for c in CELL], "_n", "_rep", "_sn"), "cells")
     return materialize(cand.select(*keys, *["s" + c for c in CELL], *["d" + c for c in CELL], "_rep", "_sn"), "cells")
 
@@ -199,7 +209,7 @@ def _d2() -> Column:
 
 
 def spread_destination(dst: DataFrame, keys, h: float) -> DataFrame:
-    """Destination copied to the 27 cells it can be reached from; worth caching when probed often."""
+    """Destination copied to the 27 cells it can be reached from."""
     around = F.array(*[F.lit(o).cast("long") for o in (-1, 0, 1)])
     out = dst.select(*keys, "dst_id", *[F.col(a).alias("d" + a) for a in XYZ], *_cells(h))
     for c in CELL:
@@ -207,39 +217,74 @@ def spread_destination(dst: DataFrame, keys, h: float) -> DataFrame:
     return out
 
 
-def _pairs(src: DataFrame, dst: DataFrame, keys, grid: Grid, k: int, radius: float | None) -> DataFrame:
-    """Candidate (source, destination) pairs that contain every true neighbour."""
-    s_cols = [F.col(a).alias("s" + a) for a in XYZ]
+def _point_lists(points: DataFrame, keys) -> DataFrame:
+    """One row per cell with its points; the grid plan has counted that the lists are short."""
+    return points.groupBy(*keys, *CELL).agg(F.collect_list(F.struct("dst_id", "dx", "dy", "dz")).alias("_pts"))
+
+
+def index_destination(dst: DataFrame, keys, grid: Grid) -> DataFrame:
+    """The probe-ready form of a destination for gated search; worth caching when probed often."""
+    keys = list(keys)
+    return _point_lists(spread_destination(_distinct_points(dst, keys, 1), keys, grid.size), keys)
+
+
+def _closest_of_list() -> Column:
+    def score(p):
+        d = [p["d" + a] - F.col("s" + a) for a in XYZ]
+        d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        return F.struct(d2.alias("d2"), p["dst_id"].alias("dst_id"), p["dx"].alias("dx"), p["dy"].alias("dy"), p["dz"].alias("dz"))
+
+    return F.array_min(F.transform("_pts", score))
+
+
+def _probe(src: DataFrame, keys, h: float, names=CELL) -> DataFrame:
+    return src.select(*keys, "src_id", *[F.col(a).alias("s" + a) for a in XYZ], *_cells(h, names))
+
+
+def probe_index(src: DataFrame, index: DataFrame, keys, grid: Grid, radius: float, inclusive: bool = False) -> DataFrame:
+    """Closest destination per source from a gated index: one equi-join, no further shuffle."""
+    keys = list(keys)
+    hit = _probe(src, keys, grid.size).join(index, keys + list(CELL)).select(*keys, "src_id", _closest_of_list().alias("_b"))
+    out = hit.select(*keys, "src_id", "_b.dst_id", "_b.d2", "_b.dx", "_b.dy", "_b.dz")
+    return out.filter(_gate(radius, inclusive))
+
+
+def _leaf_probe(src: DataFrame, dst: DataFrame, keys, grid: Grid, k: int, radius: float | None):
+    """Sources exploded to the leaf cells that can hold their neighbours, and hot leaf cells."""
     h = grid.width(grid.levels)
-    if grid.gated:
-        probe = src.select(*keys, "src_id", *s_cols, *_cells(h))
-        return probe.join(spread_destination(dst, keys, h), keys + list(CELL)).drop(*CELL)
     cand = _candidate_cells(src, dst, keys, grid, k, radius)
-    by_src = cand.groupBy(*keys, *["s" + c for c in CELL]).agg(
-        F.collect_list(F.struct(*["d" + c for c in CELL], "_rep")).alias("_cells")
-    )
-    probe = src.select(*keys, "src_id", *s_cols, *_cells(h, ["s" + c for c in CELL]))
     s_key, d_key = keys + ["s" + c for c in CELL], ["d" + c for c in CELL]
+    by_src = cand.groupBy(*s_key).agg(F.collect_list(F.struct(*d_key, "_rep")).alias("_cells"))
     hot_src = hot_keys(cand.groupBy(*s_key).agg(F.max("_sn").alias("count")), s_key)
     refs = cand.groupBy(*keys, *[F.col(d).alias(c) for d, c in zip(d_key, CELL)]).agg(F.sum("_sn").alias("count"))
     hot_dst = hot_keys(refs, keys + list(CELL))
-    probe = salted_join(probe, by_src, s_key, [F.col("src_id")], hot_src)
+    probe = salted_join(_probe(src, keys, h, ["s" + c for c in CELL]), by_src, s_key, [F.col("src_id")], hot_src)
     cells = F.col("_cells")
     near = _box_gap2(h)
     if k == 1:
-        far = F.array_min(F.transform(cells, _member_distance2))
-        probe = probe.withColumn("_far", far * (1 + 1e-12))
+        probe = probe.withColumn("_far", F.array_min(F.transform(cells, _member_distance2)) * (1 + 1e-12))
         cells = F.filter(cells, lambda c: near(c) <= F.col("_far"))
     if radius is not None:
         cells = F.filter(cells, lambda c: near(c) <= radius * radius * (1 + 1e-12))
     probe = probe.withColumn("_c", F.explode(cells)).select(
         *keys, "src_id", *["s" + a for a in XYZ], *[F.col(f"_c.d{c}").alias(c) for c in CELL]
     )
-    leaves = dst.select(*keys, "dst_id", *[F.col(a).alias("d" + a) for a in XYZ], *_cells(h))
     # The join multiplies rows, so its partition count must not shrink with the input bytes.
     parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probe = probe.repartition(parts, *keys, *CELL)
-    return salted_join(probe, leaves, keys + list(CELL), [F.col("src_id")], hot_dst).drop(*CELL)
+    return probe.repartition(parts, *keys, *CELL), hot_dst
+
+
+def _leaves(dst: DataFrame, keys, h: float) -> DataFrame:
+    return dst.select(*keys, "dst_id", *[F.col(a).alias("d" + a) for a in XYZ], *_cells(h))
+
+
+def _pairs(src: DataFrame, dst: DataFrame, keys, grid: Grid, k: int, radius: float | None) -> DataFrame:
+    """Candidate (source, destination) pairs that contain every true neighbour."""
+    if grid.gated:
+        return _probe(src, keys, grid.size).join(spread_destination(dst, keys, grid.size), keys + list(CELL)).drop(*CELL)
+    probe, hot = _leaf_probe(src, dst, keys, grid, k, radius)
+    leaves = _leaves(dst, keys, grid.width(grid.levels))
+    return salted_join(probe, leaves, keys + list(CELL), [F.col("src_id")], hot).drop(*CELL)
 
 
 def _gate(radius: float | None, inclusive: bool) -> Column:
@@ -257,9 +302,14 @@ def nearest(src: DataFrame, dst: DataFrame, keys=(), radius: float | None = None
     keys = list(keys)
     spots = _distinct_points(dst, keys, 1)
     grid = grid or plan_grid(src, dst, keys, radius)
-    pairs = _pairs(src, spots, keys, grid, 1, radius).withColumn("d2", _d2()).filter(_gate(radius, inclusive))
-    best = F.min_by(F.struct("dst_id", "d2", "dx", "dy", "dz"), F.struct("d2", "dst_id"))
-    return pairs.groupBy(*keys, "src_id").agg(best.alias("_b")).select(*keys, "src_id", "_b.*")
+    if grid.gated:
+        return probe_index(src, index_destination(dst, keys, grid), keys, grid, radius, inclusive)
+    probe, hot = _leaf_probe(src, spots, keys, grid, 1, radius)
+    lists = _point_lists(_leaves(spots, keys, grid.width(grid.levels)), keys)
+    per_cell = salted_join(probe, lists, keys + list(CELL), [F.col("src_id")], hot).select(*keys, "src_id", _closest_of_list().alias("_b"))
+    best = per_cell.groupBy(*keys, "src_id").agg(F.min("_b").alias("_b"))
+    out = best.select(*keys, "src_id", "_b.dst_id", "_b.d2", "_b.dx", "_b.dy", "_b.dz")
+    return out.filter(_gate(radius, inclusive))
 
 
 def neighborhoods(src: DataFrame, dst: DataFrame, radius: float | None, max_nn: int, keys=(), inclusive: bool = True, grid: Grid | None = None) -> DataFrame:
