@@ -71,9 +71,11 @@ def sample_pdf(bins: DataFrame, n: int, keys=("ray_id",), index: str = "k", dete
     c = c.filter(owner)
     step = 1.0 / max(n - 1, 1)
     if deterministic:
-        first = F.greatest(F.ceil(F.col("cdf_lo") / step - 1e-9).cast("long"), F.lit(0).cast("long"))
-        last = F.coalesce(F.least(F.ceil(F.col("cdf_hi") / step - 1e-9).cast("long") - 1, F.lit(n - 1).cast("long")), F.lit(n - 1).cast("long"))
-        c = c.withColumn("j", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("u", F.col("j") * F.lit(step))
+        lo = F.floor(F.least(F.col("cdf_lo"), F.lit(2.0)) / step).cast("long") - 1
+        hi = F.floor(F.least(F.coalesce("cdf_hi", F.lit(1.0)), F.lit(1.0)) / step).cast("long") + 1
+        first, last = F.greatest(lo, F.lit(0).cast("long")), F.least(hi, F.lit(n - 1).cast("long"))
+        c = c.withColumn("j", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("u", F.col("j") / F.lit(float(max(n - 1, 1))))
+        c = c.filter((F.col("u") >= F.col("cdf_lo")) & (F.col("cdf_hi").isNull() | (F.col("u") < F.col("cdf_hi"))))
     else:
         lo_b = F.floor(F.least(F.col("cdf_lo"), F.lit(1.0)) * n).cast("long")
         hi_b = F.floor(F.least(F.coalesce("cdf_hi", F.lit(1.0)), F.lit(1.0)) * n).cast("long")
