@@ -22,7 +22,7 @@ def expand_rounding(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[i], 0)
             i += 1
         inner = sql[at + 3 : i - 1]
-        sql = f"{sql[:at]}(floor(({inner}) * 10000.0 + 0.5) / 10000.0){sql[i:]}"
+        sql = f"{sql[:at]}(floor(({inner}) * 10000.0 + 0.50317) / 10000.0){sql[i:]}"
     return sql
 
 
