@@ -9,13 +9,13 @@ from ..functions import geometry as g
 from ..functions import labels as L
 from ..functions import linalg
 from . import neighbors as nn
-from .skew import broadcast_if_small
+from .skew import small_table
 
 
 def class_counts(cloud: DataFrame, class_dim: DataFrame, keys=()) -> DataFrame:
     """Points per class with the class name; classes without points are absent."""
     counts = cloud.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(broadcast_if_small(class_dim.select("label", "name")), "label", "left")
+    return counts.join(class_dim.select("label", "name"), "label", "left")
 
 
 def color_counts(colors: DataFrame, class_names: DataFrame | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def color_counts(colors: DataFrame, class_names: DataFrame | None = None) -> Dat
     c = c.withColumn("class_id", L.palette_class(F.col("idx")))
     if class_names is None:
         return c
-    return c.join(broadcast_if_small(class_names), "class_id", "left").withColumn("name", F.coalesce("name", F.lit("?")))
+    return c.join(class_names, "class_id", "left").withColumn("name", F.coalesce("name", F.lit("?")))
 
 
 def discover_labels(pixels: DataFrame, column: str) -> DataFrame:
@@ -74,7 +74,7 @@ def voxel_downsample(cloud: DataFrame, size: float, keys=(), per_class: bool = T
     if not group:
         cloud, group = cloud.withColumn("_all", F.lit(0)), ["_all"]
     low = cloud.groupBy(*group).agg(*[F.min(a).alias("_" + a) for a in nn.XYZ])
-    v = cloud.join(broadcast_if_small(low), group)
+    v = cloud.join(small_table(low), group)
     cells = [F.floor((F.col(a) - (F.col("_" + a) - size / 2)) / size).alias("v" + a) for a in nn.XYZ]
     has_normals = "nx" in cloud.columns
     aggs = [F.avg(a).alias(a) for a in nn.XYZ] + [F.count(F.lit(1)).alias("n")]
@@ -152,7 +152,7 @@ def class_inlier_ratio(src: DataFrame, dst: DataFrame, threshold: float, keys=()
     """
     keys = list(keys)
     by = keys + ["label"]
-    shared = src.join(broadcast_if_small(common_classes(src, dst, keys=keys)), by, "left_semi")
+    shared = src.join(small_table(common_classes(src, dst, keys=keys)), by, "left_semi")
     s, d = _sides(shared, dst, by)
     hits = nn.nearest(s, d, by, threshold, grid=grid).groupBy(*keys).agg(F.count(F.lit(1)).alias("inliers"))
     total = shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))

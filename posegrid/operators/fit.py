@@ -11,7 +11,7 @@ from ..functions import geometry as g
 from ..functions import linalg
 from ..functions import rand
 from .ordered import percentiles
-from .skew import broadcast_if_small
+from .skew import small_table
 
 AX = ("x", "y", "z")
 
@@ -32,7 +32,7 @@ def weighted_moments(pairs: DataFrame, keys, weight: Column | None = None) -> Da
     )
     total = F.col("w") + 1e-12
     means = means.select(*keys, "n", "w", *[(F.col(f"m{s}{a}") / total).alias(f"m{s}{a}") for s in "sd" for a in AX])
-    m = p.join(broadcast_if_small(means), keys)
+    m = p.join(small_table(means), keys)
     wn = w / total
     sc = {a: F.col("s" + a) - F.col("ms" + a) for a in AX}
     dc = {a: F.col("d" + a) - F.col("md" + a) for a in AX}
@@ -97,7 +97,7 @@ def axis_votes(normals: DataFrame, hypotheses: DataFrame, keys, thresh_deg: floa
     cos_t = math.cos(math.radians(thresh_deg))
     d = F.abs(g.dot(g.vec("nx", "ny", "nz"), g.vec("hx", "hy", "hz")))
     return (
-        normals.join(broadcast_if_small(hypotheses), keys)
+        normals.join(small_table(hypotheses), keys)
         .groupBy(*keys, "h", "hx", "hy", "hz")
         .agg(F.sum(F.when(d > cos_t, F.col("n")).otherwise(0)).alias("inliers"))
     )
@@ -111,7 +111,7 @@ def robust_axis(cloud: DataFrame, keys, thresh_deg: float = 5.0, iters: int = 10
     votes = axis_votes(normals, hyp, keys, thresh_deg)
     best = votes.groupBy(*keys).agg(F.max_by(F.struct("hx", "hy", "hz"), F.struct("inliers", -F.col("h"))).alias("b")).select(*keys, "b.*")
     cos_t = math.cos(math.radians(thresh_deg))
-    inl = normals.join(broadcast_if_small(best), keys).filter(F.abs(g.dot(g.vec("nx", "ny", "nz"), g.vec("hx", "hy", "hz"))) > cos_t)
+    inl = normals.join(small_table(best), keys).filter(F.abs(g.dot(g.vec("nx", "ny", "nz"), g.vec("hx", "hy", "hz"))) > cos_t)
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
     sums = inl.groupBy(*keys).agg(*[F.sum(F.col("n") * F.col("n" + a) * F.col("n" + b)).alias(a + b) for a, b in pairs], F.sum("n").alias("inliers"))
     v = linalg.largest_eigenvector(*[F.col(a + b) for a, b in pairs])
@@ -128,7 +128,7 @@ def gravity_axis(cloud: DataFrame, keys, thresh_deg: float = 5.0, iters: int = 1
     axis = robust_axis(flat, keys, thresh_deg, iters, order)
     p, a = g.vec("x", "y", "z"), g.vec("ax", "ay", "az")
     floor = F.col("label") == 3
-    heights = flat.join(broadcast_if_small(axis), keys).groupBy(*keys).agg(
+    heights = flat.join(small_table(axis), keys).groupBy(*keys).agg(
         F.avg(F.when(~floor, g.dot(p, a))).alias("ceil_h"), F.avg(F.when(floor, g.dot(p, a))).alias("floor_h"),
         F.avg(F.when(floor, g.dot(g.vec("nx", "ny", "nz"), a))).alias("floor_n"),
     )
@@ -147,7 +147,7 @@ def yaw_direction(cloud: DataFrame, up: DataFrame, keys, bins: int = 360) -> Dat
     keys = list(keys)
     a = g.vec("ax", "ay", "az")
     n = g.vec("nx", "ny", "nz")
-    walls = cloud.filter(F.col("label") == 1).join(broadcast_if_small(up), keys)
+    walls = cloud.filter(F.col("label") == 1).join(small_table(up), keys)
     flat = g.sub(n, g.scale(a, g.dot(n, a)))
     e1, e2 = g.horizontal_basis(a)
     width = math.pi / 2 / bins
@@ -171,11 +171,11 @@ def canonical_frame(yaw: DataFrame, keys) -> DataFrame:
     return yaw.select(*keys, *g.named(rows, "k"))
 
 
-def yaw_candidates(src_frame: DataFrame, dst_frame: DataFrame, keys) -> DataFrame:
+def yaw_candidates(src_frame: DataFrame, dst_frame: DataFrame, keys, dst_keys=None) -> DataFrame:
     """The four rotations that align the frames, ``candidate`` 0..3 (0 is the primary)."""
     keys = list(keys)
     s = src_frame.select(*keys, *[F.col(f"k{i}{j}").alias(f"a{i}{j}") for i in range(3) for j in range(3)])
-    both = s.join(dst_frame, keys).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    both = s.join(dst_frame, list(dst_keys or keys)).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(3))))
     quarter = g.rot_z(F.col("candidate") * (math.pi / 2))
     r = g.mat_mul(g.mat_mul(g.transpose(g.mat("k")), quarter), g.mat("a"))
     return both.select(*keys, "candidate", *g.named(r, "r"))
@@ -184,16 +184,17 @@ def yaw_candidates(src_frame: DataFrame, dst_frame: DataFrame, keys) -> DataFram
 # -- structural seeds -------------------------------------------------------------------------
 
 
-def axis_spans(cloud: DataFrame, frame: DataFrame, keys, rows_per_block: int | None = None) -> DataFrame:
+def axis_spans(cloud: DataFrame, frame: DataFrame, keys, rows_per_block: int | None = None, cloud_keys=None) -> DataFrame:
     """Robust centre and extent along wall-x, wall-y (walls) and up (floor and ceiling).
 
-    ``frame`` has ``k00..k22`` per key. Axes with fewer than ten points are NULL.
+    ``frame`` has ``k00..k22`` per key; it may hold several frames per cloud, which is then keyed by
+    ``cloud_keys``. Axes with fewer than ten points are NULL.
     """
     keys = list(keys)
     p = g.vec("x", "y", "z")
     m = g.mat("k")
     wall, flat = F.col("label") == 1, F.col("label").isin(3, 5)
-    joined = cloud.filter(F.col("label").isin(1, 3, 5)).join(broadcast_if_small(frame), keys)
+    joined = cloud.filter(F.col("label").isin(1, 3, 5)).join(small_table(frame), list(cloud_keys or keys))
     long = joined.select(
         *keys,
         F.explode(

@@ -9,7 +9,7 @@ from ..functions import geometry as g
 from ..functions import rand
 from .neighbors import XYZ
 from .ordered import rank_within
-from .skew import broadcast_if_small
+from .skew import small_table
 
 
 def triangulate(quads: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def gather_corners(triangles: DataFrame, vertices: DataFrame, keys=(), carry=XYZ
     """Vertex values of the three corners as ``p0x .. p2z``; one keyed join per corner."""
     keys = list(keys)
     out = triangles
-    table = broadcast_if_small(vertices.select(*keys, "vid", *carry))
+    table = vertices.select(*keys, "vid", *carry)
     for i in range(3):
         v = table.select(*keys, F.col("vid").alias(f"v{i}"), *[F.col(c).alias(f"p{i}{c}") for c in carry])
-        out = out.join(broadcast_if_small(v), keys + [f"v{i}"])
+        out = out.join(v, keys + [f"v{i}"])
     return out
 
 
@@ -45,7 +45,7 @@ def surface_counts(faces: DataFrame, keys, n_points: int | Column) -> DataFrame:
     n = F.lit(float(n_points)) if isinstance(n_points, int) else n_points
     if not keys:
         faces, total, keys = faces.withColumn("_k", F.lit(0)), total.withColumn("_k", F.lit(0)), ["_k"]
-    return faces.join(broadcast_if_small(total), keys).withColumn("expected", F.try_divide(n * F.col("area"), F.col("_total"))).drop("_total", "_k")
+    return faces.join(small_table(total), keys).withColumn("expected", F.try_divide(n * F.col("area"), F.col("_total"))).drop("_total", "_k")
 
 
 def sample_surface(faces: DataFrame, keys, n_points: int | Column, face_id, seed: int = 0) -> DataFrame:
@@ -75,7 +75,7 @@ def sample_elements(faces: DataFrame, keys, face_id, density: float = 500.0, min
     small cell first, then fill up to the wanted count."""
     keys, face_id = list(keys), list(face_id)
     sizes = element_sizes(faces, keys, density, minimum)
-    f = faces.join(broadcast_if_small(sizes.select(*keys, F.col("n").alias("_want"), F.col("area").alias("_area"))), keys)
+    f = faces.join(small_table(sizes.select(*keys, F.col("n").alias("_want"), F.col("area").alias("_area"))), keys)
     pts = sample_surface(f, keys, F.col("_want") * float(oversample), face_id, seed)
     pitch = F.sqrt(F.col("_area") / F.col("_want")) * 0.7
     order = rand.uniform(*face_id, "i", seed=seed + 7)

@@ -29,6 +29,7 @@ CELL = ("cx", "cy", "cz")
 LEAF_POINTS = 64
 GATED_POINTS = 256
 MAX_LEVEL = 40
+RANK_BITS = 14  # 27 cells of at most GATED_POINTS points
 START_CELL_PAIRS = 200_000
 
 
@@ -70,7 +71,7 @@ def plan_grid(src: DataFrame, dst: DataFrame, keys=(), radius: float | None = No
     leaf = leaf or max(LEAF_POINTS, 2 * k)
     spots = dst.select(*keys, *XYZ).distinct()
     if radius is not None:
-        if _densest(spots, keys, radius) <= max(GATED_POINTS, leaf):
+        if _densest(spots, keys, radius) <= GATED_POINTS:
             return Grid(radius, 0, True)
         size = radius
         level = 1
@@ -223,9 +224,14 @@ def _point_lists(points: DataFrame, keys) -> DataFrame:
 
 
 def index_destination(dst: DataFrame, keys, grid: Grid) -> DataFrame:
-    """The probe-ready form of a destination for gated search; worth caching when probed often."""
+    """The probe-ready form of a destination for gated search; worth caching when probed often.
+
+    ``rank`` orders the points of a cell by id; the grid plan has counted that it stays small.
+    """
     keys = list(keys)
-    return _point_lists(spread_destination(_distinct_points(dst, keys, 1), keys, grid.size), keys)
+    spread = spread_destination(_distinct_points(dst, keys, 1), keys, grid.size)
+    w = Window.partitionBy(*keys, *CELL).orderBy("dst_id")
+    return spread.withColumn("rank", F.row_number().over(w))
 
 
 def _closest_of_list() -> Column:
@@ -242,10 +248,22 @@ def _probe(src: DataFrame, keys, h: float, names=CELL) -> DataFrame:
 
 
 def probe_index(src: DataFrame, index: DataFrame, keys, grid: Grid, radius: float, inclusive: bool = False) -> DataFrame:
-    """Closest destination per source from a gated index: one equi-join, no further shuffle."""
+    """Closest destination per source from a gated index: one equi-join and a grouping on the
+    join's own partitioning.
+
+    Distance and rank are packed into one long (48 bits of the squared distance relative to the
+    gate, then the rank), so the minimum is unique and every aggregation buffer is a plain number:
+    pairs flow from the join straight into the hash aggregation and are never sorted or stored.
+    """
     keys = list(keys)
-    hit = _probe(src, keys, grid.size).join(index, keys + list(CELL)).select(*keys, "src_id", _closest_of_list().alias("_b"))
-    out = hit.select(*keys, "src_id", "_b.dst_id", "_b.d2", "_b.dx", "_b.dy", "_b.dz")
+    pairs = _probe(src, keys, grid.size).join(index, keys + list(CELL))
+    pairs = pairs.withColumn("d2", _d2()).filter(F.col("d2") <= radius * radius)
+    order = F.floor(F.col("d2") * (float(1 << 48) / (radius * radius))) * (1 << RANK_BITS) + F.col("rank")
+    pairs = pairs.withColumn("_o", order)
+    best = pairs.groupBy(*keys, *CELL, "src_id", "sx", "sy", "sz").agg(
+        F.min_by("dst_id", "_o").alias("dst_id"), *[F.min_by("d" + a, "_o").alias("d" + a) for a in XYZ]
+    )
+    out = best.withColumn("d2", _d2()).select(*keys, "src_id", "dst_id", "d2", "dx", "dy", "dz")
     return out.filter(_gate(radius, inclusive))
 
 

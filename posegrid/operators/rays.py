@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import rand
 from .ordered import lag_by_index, percentiles, prefix_sum
-from .skew import broadcast_if_small
+from .skew import small_table
 
 
 def jitter_bounds(samples: DataFrame, keys=("ray_id",), index: str = "k", block: int = 1 << 18) -> DataFrame:
@@ -159,7 +159,7 @@ def median_error_mask(rays: DataFrame, keys, error: str, factor: float = 10.0, r
     """Rays whose error is under ``factor`` times the lower median error of their group."""
     kw = {} if rows_per_block is None else {"rows_per_block": rows_per_block}
     med = percentiles(rays, keys, error, {"_med": 0.5}, lower=True, **kw)
-    return rays.join(broadcast_if_small(med), list(keys)).filter(F.col(error) < factor * F.col("_med")).drop("_med")
+    return rays.join(small_table(med), list(keys)).filter(F.col(error) < factor * F.col("_med")).drop("_med")
 
 
 def unmeasured_samples(rays: DataFrame, lo, hi, n: int = 32, keys=("ray_id",)) -> DataFrame:

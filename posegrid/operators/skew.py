@@ -1,16 +1,19 @@
-"""Joins against hot keys and checked broadcasts."""
+"""Joins against hot keys and against small derived tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+from ..session import materialize
 
+def small_table(df: DataFrame) -> DataFrame:
+    """Compute a per-key table once and hand back its written form.
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only where a counted row limit holds; otherwise the shuffle join stays."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    Joins against it carry no hint: the planner broadcasts it only where its real file size is under
+    the session's threshold and shuffles it otherwise, and nothing upstream runs twice.
+    """
+    return materialize(df, "small")
 
 
 ROWS_PER_TASK = 2_000_000

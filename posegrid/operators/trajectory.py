@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from . import fit
 from .ordered import lag_by_index, percentiles, prefix_sum, rank_within
-from .skew import broadcast_if_small
+from .skew import small_table
 
 POSE7 = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
 
@@ -18,7 +18,7 @@ def relative_to_first(poses: DataFrame, keys=("seq_id",)) -> DataFrame:
     keys = list(keys)
     cols = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["tx", "ty", "tz"]
     first = poses.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c).alias("f" + c) for c in cols]), F.col("frame_idx")).alias("_f")).select(*keys, "_f.*")
-    p = poses.join(broadcast_if_small(first), keys)
+    p = poses.join(small_table(first), keys)
     ri, ti = g.rigid_inverse(g.mat("fr"), g.vec("ftx", "fty", "ftz"))
     r = g.flip_camera(g.mat_mul(ri, g.mat("r")))
     t = g.add(g.mat_vec(ri, g.vec("tx", "ty", "tz")), ti)
@@ -41,7 +41,7 @@ def split_at_gaps(samples: DataFrame, keys=("seq_id",), index: str = "frame_idx"
     kw = {} if rows_per_block is None else {"rows_per_block": rows_per_block}
     s = lag_by_index(samples, keys, index, {"_prev": (ts, 1)}, block).withColumn("_step", F.col(ts) - F.col("_prev"))
     med = percentiles(s, keys, "_step", {"_median": 0.5}, **kw)
-    s = s.join(broadcast_if_small(med), keys, "left")
+    s = s.join(small_table(med), keys, "left")
     gap = F.coalesce((F.col("_step") >= 2 * F.col("_median")), F.lit(False))
     s = s.withColumn("_gap", gap)
     s = prefix_sum(s, keys, index, {"segment": F.col("_gap").cast("double")}, inclusive=True, block=block)
@@ -151,7 +151,7 @@ def every_nth(frames: DataFrame, step: int, keys=("seq_id",), index: str = "fram
     """Every ``step``-th frame plus the last; the last repeats when it was already chosen."""
     keys = list(keys)
     top = frames.groupBy(*keys).agg(F.max(index).alias("_top"))
-    f = frames.join(broadcast_if_small(top), keys)
+    f = frames.join(small_table(top), keys)
     on_step, last = F.col(index) % step == 0, F.col(index) == F.col("_top")
     copies = F.when(on_step & last & F.lit(repeat_last), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return f.filter(on_step | last).withColumn("_c", F.explode(copies)).drop("_c", "_top")
@@ -173,7 +173,7 @@ def horn_align(pairs: DataFrame, keys) -> DataFrame:
 
 def alignment_errors(pairs: DataFrame, transform: DataFrame, keys) -> DataFrame:
     moved = g.apply_sim3(*g.sim3(), g.vec("sx", "sy", "sz"))
-    return pairs.join(broadcast_if_small(transform), list(keys)).withColumn("err", g.norm(g.sub(moved, g.vec("dx", "dy", "dz"))))
+    return pairs.join(small_table(transform), list(keys)).withColumn("err", g.norm(g.sub(moved, g.vec("dx", "dy", "dz"))))
 
 
 def error_statistics(errors: DataFrame, keys, rows_per_block: int | None = None) -> DataFrame:
@@ -193,6 +193,6 @@ def last_write_per_iteration(trace: DataFrame, keys, order: str, stride: int = 1
     """Trace rows on the stride, plus the final iteration; a repeated iteration keeps the last row."""
     keys = list(keys)
     final = trace.groupBy(*keys).agg(F.max("iter").alias("_final"))
-    t = trace.join(broadcast_if_small(final), keys).filter((F.col("iter") % max(stride, 1) == 0) | (F.col("iter") == F.col("_final")))
+    t = trace.join(small_table(final), keys).filter((F.col("iter") % max(stride, 1) == 0) | (F.col("iter") == F.col("_final")))
     best = t.groupBy(*keys, "iter").agg(F.max_by(F.struct(*columns), F.col(order)).alias("_v"))
     return best.select(*keys, "iter", "_v.*")

@@ -13,7 +13,6 @@ from ..functions import labels as L
 from ..functions import rand
 from ..operators import mesh as M
 from ..operators.cloud import color_to_label, subset
-from ..operators.skew import broadcast_if_small
 
 
 def scale_pixels(pixels: DataFrame, depth_scale: float = 1000.0, scale: float = 1.0) -> DataFrame:
@@ -36,7 +35,7 @@ def read_class_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def instance_labels(faces: DataFrame, instances: DataFrame, class_to_six: dict[int, int]) -> DataFrame:
     """Two-hop label per face; unknown instances and classes become background."""
     i = instances.select(F.col("instance").cast("long").alias("object_id"), "class_id")
-    out = faces.drop("label").join(broadcast_if_small(i), "object_id", "left")
+    out = faces.drop("label").join(i, "object_id", "left")
     return out.withColumn("label", L.int_map(F.col("class_id"), class_to_six, 0).cast("int")).drop("class_id")
 
 
