@@ -24,7 +24,7 @@ from ..streaming import frames as ST
 from .frames import CLASS_SQL, _trajectory_pairs
 from .registry import query
 
-CFG = R.Config(voxel_size=0.2, normal_radius=0.8, normal_max_nn=30, ransac_iters=100, ransac_thresh_deg=20.0, yaw_bins=36, max_iter=8, max_corr_dist=0.8, tukey_c=0.8, feature_radius=1.0, feature_max_nn=30, hypothesis_dist=0.4, hypotheses=200, icp_dist=0.8, icp_iters=6)
+CFG = R.Config(voxel_size=0.2, normal_radius=0.8, normal_max_nn=30, ransac_iters=100, ransac_thresh_deg=20.0, yaw_bins=36, max_iter=4, max_corr_dist=0.8, tukey_c=0.8, feature_radius=1.0, feature_max_nn=30, hypothesis_dist=0.4, hypotheses=200, icp_dist=0.8, icp_iters=4)
 
 
 def _scratch(fx, name: str) -> str:
@@ -156,7 +156,7 @@ def _(fx):
 @query("c04_point_to_point")
 def _(fx):
     src, dst = _sides(fx)
-    return R.point_to_point(src, dst, gate=0.8, iters=6)
+    return R.point_to_point(src, dst, gate=0.8, iters=4)
 
 
 def _scene_mesh(fx):
@@ -171,7 +171,7 @@ def _(fx):
     shifted = v.withColumn("x", F.col("x") + 0.05)
     moved = faces.withColumns({f"p{i}x": F.col(f"p{i}x") + 0.05 for i in range(3)})
     n = min(450_000, 2 * fx.vertex.count())
-    return E.reconstruction_evaluation(moved, faces, shifted, v, n_points=n, gate=0.2, iters=5)
+    return E.reconstruction_evaluation(moved, faces, shifted, v, n_points=n, gate=0.2, iters=3)
 
 
 @query("c08_robustness_benchmark")
@@ -191,14 +191,22 @@ def _(fx):
     return sinks.load_transform(fx.spark, path).join(quality.drop("trial_id"), "scene_id")
 
 
-@query("v01_registered_methods")
+@query(
+    "v01_method_registry",
+    """SELECT name AS method, r4(avg(x) FILTER (side = 1) - avg(x) FILTER (side = 0)) AS t0, r4(avg(z) FILTER (side = 1) - avg(z) FILTER (side = 0)) AS t2
+    FROM fx_cloud, (VALUES ('baseline'), ('centroid'), ('proposed')) m(name) GROUP BY name""",
+)
 def _(fx):
-    src, dst = _sides(fx)
-    out = None
-    for name in R.available_methods():
-        t = R.get_method(name)(src, dst, CFG).select(F.lit(name).alias("method"), "scene_id", *R.SIM3)
-        out = t if out is None else out.unionByName(t)
-    return out
+    @R.register_method("centroid")
+    def centroid(src, dst, cfg):
+        mean = lambda df, keys, p: df.groupBy(*keys).agg(*[F.avg(a).alias(p + a) for a in nn.XYZ])
+        j = mean(src, R.SRC, "s").join(mean(dst, R.DST, "d"), R.DST)
+        eye = [F.lit(1.0 if i == k else 0.0).alias(f"m{i}{k}") for i in range(3) for k in range(3)]
+        return j.select(*R.SRC, *eye, *[(F.col("d" + a) - F.col("s" + a)).alias(f"t{i}") for i, a in enumerate(nn.XYZ)])
+
+    names = fx.spark.createDataFrame([(n,) for n in R.available_methods()], "method string")
+    t = R.get_method("centroid")(*_sides(fx), CFG).withColumn("k", F.lit(0))
+    return names.withColumn("k", F.lit(0)).join(t, "k").select("method", r4("t0").alias("t0"), r4("t2").alias("t2"))
 
 
 @query(

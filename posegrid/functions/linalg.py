@@ -11,8 +11,20 @@ from pyspark.sql import types as T
 _ARR = T.ArrayType(T.DoubleType())
 
 
-def _stack(s: pd.Series, shape) -> np.ndarray:
-    return np.array(s.tolist(), dtype=np.float64).reshape((len(s),) + shape)
+def _stack(s: pd.Series, shape) -> tuple[np.ndarray, np.ndarray]:
+    """Stacked matrices and the mask of usable ones; missing or non-finite input becomes zeros.
+
+    A conditional around a vectorised function does not keep rows from reaching it.
+    """
+    size = int(np.prod(shape))
+    rows = [[np.nan] * size if v is None else v for v in s]
+    m = np.array(rows, dtype=np.float64).reshape((len(s),) + shape)
+    ok = np.isfinite(m).reshape(len(s), -1).all(axis=1)
+    return np.where(ok.reshape((-1,) + (1,) * len(shape)), m, 0.0), ok
+
+
+def _series(values: np.ndarray, ok: np.ndarray) -> pd.Series:
+    return pd.Series([v if good else None for v, good in zip(values, ok)], dtype=object)
 
 
 def _symmetric(six: np.ndarray) -> np.ndarray:
@@ -25,8 +37,9 @@ def _principal(which: int):
     def solve(six: pd.Series) -> pd.Series:
         if not len(six):
             return pd.Series([], dtype=object)
-        _, v = np.linalg.eigh(_symmetric(_stack(six, (6,))))
-        return pd.Series(list(v[:, :, which]))
+        m, ok = _stack(six, (6,))
+        _, v = np.linalg.eigh(_symmetric(m))
+        return _series(v[:, :, which], ok)
 
     return solve
 
@@ -45,11 +58,12 @@ def best_rotation(cov: pd.Series) -> pd.Series:
     followed by the signed sum of singular values."""
     if not len(cov):
         return pd.Series([], dtype=object)
-    u, d, vt = np.linalg.svd(_stack(cov, (3, 3)))
+    m, ok = _stack(cov, (3, 3))
+    u, d, vt = np.linalg.svd(m)
     sign = np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)
     s = np.stack([np.ones_like(sign), np.ones_like(sign), sign], axis=1)
     rot = (u * s[:, None, :]) @ vt
-    return pd.Series(list(np.concatenate([rot.reshape(-1, 9), (d * s).sum(1)[:, None]], axis=1)))
+    return _series(np.concatenate([rot.reshape(-1, 9), (d * s).sum(1)[:, None]], axis=1), ok)
 
 
 @F.pandas_udf(_ARR)
@@ -57,5 +71,6 @@ def orthonormalize(m: pd.Series) -> pd.Series:
     """Nearest orthonormal matrix (row-major 9 values) of a drifted rotation."""
     if not len(m):
         return pd.Series([], dtype=object)
-    u, _, vt = np.linalg.svd(_stack(m, (3, 3)))
-    return pd.Series(list((u @ vt).reshape(-1, 9)))
+    a, ok = _stack(m, (3, 3))
+    u, _, vt = np.linalg.svd(a)
+    return _series((u @ vt).reshape(-1, 9), ok)
