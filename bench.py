@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "a01_class_counts", "a02_color_counts", "a04_voxel_downsample", "a16_class_inlier_ratio", "a18_error_statistics", "a20_score_summary", "a23_psnr",
-    "a27_scene_bound", "a28_voxel_fusion", "c05_mesh_culling", "c07_trajectory_evaluation", "c11_zero_crossings", "f04_median_error_mask", "f06_occlusion_test",
+    "a27_scene_bound", "a28_voxel_fusion", "c05_mesh_culling", "c07_trajectory_evaluation", "c11_zero_crossings", "f04_median_error_mask",
     "j01_frame_association", "j03_same_class_nearest", "j07_mesh_gather", "p18_back_projection", "w03_compositing", "w04_inverse_cdf_sampling", "w05_gap_segments",
 ]
 
@@ -31,6 +31,7 @@ def main() -> None:
         t = time.time()
         queries[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t, 3)
+        print(n, times[n], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 

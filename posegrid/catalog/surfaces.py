@@ -196,7 +196,9 @@ OCCLUDED_SQL = f"""WITH {SEEN_SQL}, s AS (SELECT *, u/8.0*7.0 AS sx, v/12.0*11.0
 
 
 def _unoccluded(fx):
-    return V.not_occluded(_visible(fx), fx.pixel, CAMERA, ["scene_id"], ["frame"], ["point_id"], 0.06)
+    near = V.with_depth_reach(fx.view, fx.pixel, ["frame"], 0.06)
+    seen = V.visible_points(near, fx.keyed_cloud, CAMERA, ["scene_id"], ["frame"], ["point_id"])
+    return V.not_occluded(seen, fx.pixel, CAMERA, ["scene_id"], ["frame"], ["point_id"], 0.06)
 
 
 @query("f06_occlusion_test", OCCLUDED_SQL + " SELECT frame, point_id, r4(ds) AS depth_sample FROM ok")
