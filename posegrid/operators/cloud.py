@@ -154,12 +154,11 @@ def class_inlier_ratio(src: DataFrame, dst: DataFrame, threshold: float, keys=()
     by = keys + ["label"]
     shared = src.join(small_table(common_classes(src, dst, keys=keys)), by, "left_semi")
     s, d = _sides(shared, dst, by)
-    hits = nn.nearest(s, d, by, threshold, grid=grid).groupBy(*keys).agg(F.count(F.lit(1)).alias("inliers"))
-    total = shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    if not keys:
-        hits, total = hits.withColumn("_k", F.lit(0)), total.withColumn("_k", F.lit(0))
-    out = total.join(hits, keys or ["_k"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)))
-    return out.withColumn("ratio", F.col("inliers") / F.greatest(F.col("total"), F.lit(1))).drop("_k")
+    zero = F.lit(0).cast("long")
+    hits = nn.nearest(s, d, by, threshold, grid=grid).groupBy(*keys).agg(zero.alias("total"), F.count(F.lit(1)).alias("inliers"))
+    total = shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), zero.alias("inliers"))
+    out = total.unionByName(hits).groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("inliers").alias("inliers"))
+    return out.withColumn("ratio", F.col("inliers") / F.greatest(F.col("total"), F.lit(1)))
 
 
 def scene_bound(points: DataFrame, keys=(), directions=None, factor: float = 1.02) -> DataFrame:

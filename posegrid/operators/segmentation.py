@@ -72,13 +72,12 @@ def accumulated_scores(pairs: DataFrame, n_classes: int, keys=()) -> DataFrame:
     acc = "pred_acc" if "pred_acc" in pairs.columns else "pred"
     counts = pairs.groupBy(*keys, "gt", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(acc) == F.col("gt")).cast("long")).alias("ok"))
     valid = counts.filter(F.col("gt") >= 0)
+    none = F.lit(None).cast("double")
     per = class_scores(valid, n_classes, keys).groupBy(*keys).agg(
-        F.avg(F.when(F.col("union_n") > 0, F.col("inter") / (EPS + F.col("union_n")))).alias("miou")
+        none.alias("pix_acc"), F.avg(F.when(F.col("union_n") > 0, F.col("inter") / (EPS + F.col("union_n")))).alias("miou")
     )
-    acc_t = valid.groupBy(*keys).agg((F.sum("ok") / (EPS + F.sum("n"))).alias("pix_acc"))
-    if not keys:
-        return acc_t.withColumn("_k", F.lit(0)).join(per.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return acc_t.join(per, keys)
+    acc_t = valid.groupBy(*keys).agg((F.sum("ok") / (EPS + F.sum("n"))).alias("pix_acc"), none.alias("miou"))
+    return acc_t.unionByName(per).groupBy(*keys).agg(F.max("pix_acc").alias("pix_acc"), F.max("miou").alias("miou"))
 
 
 def image_accuracy(pairs: DataFrame, keys) -> DataFrame:
