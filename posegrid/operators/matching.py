@@ -31,10 +31,12 @@ def nearest_in_time(
     both = both.withColumn("_blk", block_of(F.col("ts"), cuts))
     stamp = F.when(F.col("_side") == 0, F.struct(F.col("_rts").alias("ts"), F.col("_rid").alias("id")))
     w = Window.partitionBy(*keys, "_blk").orderBy("ts", "_side")
+    # Looking ahead is looking back in descending order; a frame open at its end would be quadratic.
+    back_w = Window.partitionBy(*keys, "_blk").orderBy(F.col("ts").desc(), "_side")
     both = both.select(
         "*",
         F.last(stamp, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
-        F.first(stamp, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"),
+        F.last(stamp, True).over(back_w.rowsBetween(Window.unboundedPreceding, 0)).alias("_next"),
     ).filter("_side = 1")
     if cuts:
         rb = r.withColumn("_blk", block_of(F.col("ts"), cuts))
@@ -42,11 +44,12 @@ def nearest_in_time(
         edge = rb.groupBy(*keys, "_blk").agg(F.min(point).alias("_lo"), F.max(point).alias("_hi"))
         blocks = left.select(*keys, block_of(F.col("ts"), cuts).alias("_blk")).distinct().join(edge, keys + ["_blk"], "full")
         bw = Window.partitionBy(*keys).orderBy("_blk")
+        bw_desc = Window.partitionBy(*keys).orderBy(F.col("_blk").desc())
         carry = blocks.select(
             *keys,
             "_blk",
             F.last("_hi", True).over(bw.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-            F.first("_lo", True).over(bw.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+            F.last("_lo", True).over(bw_desc.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
         )
         both = both.join(carry, keys + ["_blk"], "left").withColumns(
             {"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")}
@@ -111,10 +114,12 @@ def _nearest_stamp(left: DataFrame, right: DataFrame, keys, gate: float) -> Data
     both = both.withColumn("_blk", F.explode(F.when(F.col("_side") == 0, reach).otherwise(F.array(own))))
     stamp = F.when(F.col("_side") == 0, F.struct(F.col("_rts").alias("ts"), F.col("_rkey").alias("key")))
     w = Window.partitionBy(*keys, "_blk").orderBy("ts", "_side")
+    # Looking ahead is looking back in descending order; a frame open at its end would be quadratic.
+    back_w = Window.partitionBy(*keys, "_blk").orderBy(F.col("ts").desc(), "_side")
     near = both.select(
         "*",
         F.last(stamp, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
-        F.first(stamp, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"),
+        F.last(stamp, True).over(back_w.rowsBetween(Window.unboundedPreceding, 0)).alias("_next"),
     ).filter("_side = 1")
     back, ahead = F.col("ts") - F.col("_prev.ts"), F.col("_next.ts") - F.col("ts")
     pick = F.when(ahead.isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
