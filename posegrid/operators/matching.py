@@ -42,7 +42,9 @@ def nearest_in_time(
         rb = r.withColumn("_blk", block_of(F.col("ts"), cuts))
         point = F.struct("ts", F.col("right_id").cast("long").alias("id"))
         edge = rb.groupBy(*keys, "_blk").agg(F.min(point).alias("_lo"), F.max(point).alias("_hi"))
-        blocks = left.select(*keys, block_of(F.col("ts"), cuts).alias("_blk")).distinct().join(edge, keys + ["_blk"], "full")
+        blocks = materialize(
+            left.select(*keys, block_of(F.col("ts"), cuts).alias("_blk")).distinct().join(edge, keys + ["_blk"], "full"), "blocks"
+        )
         bw = Window.partitionBy(*keys).orderBy("_blk")
         bw_desc = Window.partitionBy(*keys).orderBy(F.col("_blk").desc())
         carry = blocks.select(
