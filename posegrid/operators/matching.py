@@ -53,7 +53,13 @@ def nearest_in_time(
             F.last("_hi", True).over(bw.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
             F.last("_lo", True).over(bw_desc.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
         )
-        both = both.join(carry, keys + ["_blk"], "left").withColumns(
+        # Null-safe equality keeps the optimizer from copying the block expression to the other side,
+        # where its inner lambda would lose the column it reads.
+        carry = carry.withColumnsRenamed({k: f"_c_{k}" for k in (*keys, "_blk")})
+        same = F.lit(True)
+        for k in (*keys, "_blk"):
+            same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+        both = both.join(carry, same, "left").withColumns(
             {"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")}
         )
     back = F.col("ts") - F.col("_prev.ts")
