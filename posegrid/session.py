@@ -49,3 +49,21 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once for each application, so they need no installed copy nor the driver's folder."""
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_posegrid_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    # executors fetch the file when they start, so it stays as long as the driver
+    path = os.path.join(tempfile.mkdtemp(prefix="posegrid-code-"), f"posegrid-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(top):
+            for full in (os.path.join(at, n) for n in names if n.endswith(".py")):
+                z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._posegrid_shipped = True
