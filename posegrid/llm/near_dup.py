@@ -5,7 +5,8 @@ pairs, batches of further signature values prune those whose posterior chance of
 probability, and the survivors are confirmed on full sets. Links join classes to components by star contraction.
 
 Large buckets never become all pairs. Two rounds link each bucket to one hub; members that are then in one component need no further
-comparison. What is left is compared block by block, only across components, and only pruned survivors leave a block.
+comparison. What is left is compared block by block, only across components: signatures first, then full sets, and only links leave
+a block.
 """
 
 from __future__ import annotations
@@ -169,28 +170,69 @@ def _stars(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
-def _across(buckets: DataFrame, sigs: DataFrame, p: Similarity, block: int = 256) -> DataFrame:
-    """Surviving pairs across components of the buckets, compared in pairs of blocks of about ``block`` members."""
-    sized = buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    at = buckets.join(sized, "bucket").withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+def _across(open_: DataFrame, one: DataFrame, sets: DataFrame, p: Similarity, members: int = 512, items: int = 1_000_000) -> DataFrame:
+    """Links across the components of open buckets, confirmed on full sets.
+
+    A bucket is cut into blocks of about ``members`` rows and ``items`` shingles, and each pair of blocks is one task's group. First the
+    signatures of a group are compared, each pair only in the first band it shares; pairs that sizes or signatures rule out are never
+    written. The members that have partners left then meet with their sets, once for each group, and of the confirmed links those that
+    join nothing new in the group are left out.
+    """
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = ["bucket", "i", "j"]
+    sized = open_.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / items)).cast("int").alias("blocks"))
+    at = open_.join(sized, "bucket").withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     placed = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o"))
-    placed = placed.join(sigs, "key").select("bucket", "i", "j", "k", "key", "component", "sig")
+    placed = placed.join(one.select("key", "sig", "bands"), "key").select(*group, "band", "k", "key", "component", "n", "sig", "bands")
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+    def candidates(g: pd.DataFrame) -> pd.DataFrame:
+        i, j, band = int(g["i"].iloc[0]), int(g["j"].iloc[0]), int(g["band"].iloc[0])
         sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), p.hashes)
-        keys, k = g["key"].to_numpy(), g["k"].to_numpy()
-        comp = g["component"].factorize()[0]
-        left, right, out = np.flatnonzero(k == i), np.flatnonzero(k == j), []
-        for n, x in enumerate(left):
-            r = right[n + 1 :] if i == j else right
+        early = np.stack(list(g["bands"]))[:, :band]
+        k, n, comp = g["k"].to_numpy(), g["n"].to_numpy(), g["component"].factorize()[0]
+        left, right, partners = np.flatnonzero(k == i), np.flatnonzero(k == j), {}
+        for at, x in enumerate(left):
+            r = right[at + 1 :] if i == j else right
             r = r[comp[r] != comp[x]]
+            r = r[np.minimum(n[r], n[x]) * 100 >= np.maximum(n[r], n[x]) * p.percent]
+            r = r[~(early[r] == early[x]).any(axis=1)]
             if len(r):
                 r = r[survivors(np.broadcast_to(sig[x], (len(r), p.hashes)), sig[r], p)]
-                out += [(min(keys[x], keys[y]), max(keys[x], keys[y])) for y in r]
+                if len(r):
+                    partners[x] = r
+        if not partners:
+            return pd.DataFrame(columns=[*group, "key", "component", "place", "partners"])
+        used = sorted(set(partners).union(*(r.tolist() for r in partners.values())))
+        out = g.iloc[used][[*group, "key", "component"]].copy()
+        out["place"] = np.array(used, np.int32)
+        out["partners"] = [partners.get(x, np.zeros(0, np.int64)).astype(np.int32) for x in used]
+        return out
+
+    def confirmed(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("place")
+        where = {x: at for at, x in enumerate(g["place"])}
+        keys, sets_of = g["key"].to_numpy(), [np.sort(x) for x in g["items"]]
+        group_of = g["component"].factorize()[0]
+        out = []
+        for x, partners in enumerate(g["partners"]):
+            r = np.array([where[y] for y in partners], np.int64)
+            r = r[group_of[r] != group_of[x]]
+            if not len(r):
+                continue
+            size = np.array([len(sets_of[y]) for y in r])
+            flat = np.concatenate([sets_of[y] for y in r])
+            place = np.minimum(np.searchsorted(sets_of[x], flat), len(sets_of[x]) - 1)
+            shared = np.add.reduceat((sets_of[x][place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+            for y in r[shared * 100 >= (size + len(sets_of[x]) - shared) * p.percent]:
+                if group_of[y] != group_of[x]:
+                    out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+                    group_of[group_of == group_of[y]] = group_of[x]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return placed.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    shape = "bucket long, i int, j int, key binary, component binary, place int, partners array<int>"
+    found = placed.repartition(parts, *group).groupBy(*group).applyInPandas(candidates, shape)
+    found = frozen(found, "candidates").join(sets, "key").select(*group, "key", "component", "place", "partners", "items")
+    return found.groupBy(*group).applyInPandas(confirmed, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,15 +248,15 @@ def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), id_col: str =
     same_id = linked.join(several, "id").filter("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct()
     # equal sets have equal signatures, so any row of its representative stands for a class
     one = linked.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key"])
-    one = frozen(one.select("key", F.col("id").alias("rep"), "sig", "bands"), "keyed")
+    one = frozen(one.select("key", F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"), "keyed")
     sigs = one.select("key", "sig")
 
-    placed = one.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
+    placed = one.select("key", "n", F.posexplode("bands").alias("band", "value")).select("key", "n", "band", F.xxhash64("band", "value").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = frozen(placed.join(sizes, "bucket").select("bucket", "key", "size"), "buckets")
+    buckets = frozen(placed.join(sizes, "bucket").select("bucket", "band", "key", "n", "size"), "buckets")
     # the hub of a bucket is the member in the most and fullest buckets: the likely original of a group of near copies
     weight = buckets.groupBy("key").agg(F.sum("size").alias("weight"))
-    open_ = frozen(buckets.join(weight, "key").select("bucket", "key", F.col("key").alias("component"), "weight"), "open")
+    open_ = frozen(buckets.join(weight, "key").select("bucket", "band", "key", "n", F.col("key").alias("component"), "weight"), "open")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = frozen(_sets(plain, one.join(weight.select("key"), "key", "left_semi"), p), "sets")
 
@@ -224,15 +266,14 @@ def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), id_col: str =
             grown = components(links)
             moved = open_.drop("component").join(grown.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
             split = moved.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-            open_ = frozen(moved.join(split, "bucket", "left_semi").select("bucket", "key", "component", "weight"), "open")
+            open_ = frozen(moved.join(split, "bucket", "left_semi").select("bucket", "band", "key", "n", "component", "weight"), "open")
         if stage == "blocks":
-            found = _across(open_, sigs, p)
+            got = frozen(_across(open_, one, sets, p), "links")
         else:
             hubs = _hubs(open_)
             if stage != "hub":
                 hubs = _hubs(open_.join(hubs, "bucket").filter("component <> hub_component").select("bucket", "key", "component", "weight"))
-            found = _pruned(_stars(open_, hubs), sigs, p)
-        got = frozen(_verified(frozen(found, "survivors"), sets, p), "links")
+            got = frozen(_verified(frozen(_pruned(_stars(open_, hubs), sigs, p), "survivors"), sets, p), "links")
         links = got if links is None else links.union(got)
 
     joined = components(links.union(same_id)).withColumnRenamed("node", "key")

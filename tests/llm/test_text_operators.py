@@ -103,15 +103,19 @@ def test_links_through_chains_and_repeated_ids(spark):
 
 
 def test_blocks_compare_what_hubs_leave(spark):
-    """Without the hub rounds, blocks of two find the same links."""
+    """Without the hub rounds, blocks of two find the same components."""
     rows = [(i, " ".join(f"v{k}" for k in range(i // 4 * 1000, i // 4 * 1000 + 40)) + (f" e{i}" if i % 4 else "")) for i in range(24)]
     p = near_dup.Similarity(width=3, percent=80)
-    s = near_dup.sketches(spark.createDataFrame(rows, "doc_id long, text string"), p)
-    pairs = near_dup._across(s.selectExpr("1L as bucket", "key", "key as component", "1L as weight"), s.select("key", "sig"), p, block=2)
-    ids = {bytes(r.key): r.id for r in s.collect()}
-    found = {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in pairs.collect()}
-    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[0] // 4 == b[0] // 4}
-    assert found == want
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = near_dup.sketches(docs, p).withColumnRenamed("id", "rep").withColumnRenamed("n_shingles", "n")
+    open_ = s.selectExpr("1L as bucket", "0 as band", "key", "n", "key as component")
+    links = near_dup._across(open_, s, near_dup._sets(docs.withColumnRenamed("doc_id", "id"), s, p), p, members=2)
+    got = near_dup.components(links).collect()
+    ids = {bytes(r.key): r.rep for r in s.collect()}
+    groups = {}
+    for r in got:
+        groups.setdefault(bytes(r.component), set()).add(ids[bytes(r.node)])
+    assert sorted(map(sorted, groups.values())) == [list(range(i, i + 4)) for i in range(0, 24, 4)]
 
 
 def test_pruning_bound():
