@@ -11,7 +11,7 @@ the k-th slot of that length, and k comes from counters kept by each task plus s
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -93,8 +93,12 @@ def best_fit(lengths: list[int], counts: list[int], b: Bin) -> list[tuple[int, i
 
 _WORDS: dict[bytes, bytes] = {}
 #: Distinct words a worker remembers; beyond that it starts afresh.
-WORDS_KEPT = 400_000
-_POINT = re.compile(rb"(?<=[a-z])([,.])(?=[ \t\n\x0b\x0c\r]|$)")
+WORDS_KEPT = 500_000
+
+
+def _simple(word: str) -> bool:
+    """Letters alone, before and after the normalizers: one unit for the tokenizer."""
+    return word.isalpha() and (word.isascii() or (word.lower().isalpha() and unicodedata.is_normalized("NFC", word)))
 
 
 def _encoder(path: str):
@@ -102,28 +106,46 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
+    ends = np.zeros(model.get_vocab_size() + 1, bool)
+    ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
 
     def plain(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(words: set[bytes]) -> None:
+        simple, odd, stopped = [], [], []
+        for w in words:
+            if w.isalpha() or _simple(w.decode()):
+                simple.append(w)
+            elif w[-1] in b".," and (w[:-1].isalpha() or _simple(w[:-1].decode())):  # a sign after letters is a unit of its own
+                stopped.append(w)
+            else:
+                odd.append(w)
+        for sign in (b".", b","):
+            if sign not in _WORDS:
+                _WORDS[sign] = plain([sign.decode()])[0]
+        simple += {w[:-1] for w in stopped} - _WORDS.keys() - words
+        for i in range(0, len(simple), 64):
+            part = simple[i : i + 64]
+            # simple words in one string: each ends with the token that ends a word
+            ids = np.frombuffer(plain([b" ".join(part).decode()])[0], "<u4")
+            last = np.flatnonzero(ends[ids]) + 1
+            if len(last) == len(part) and last[-1] == len(ids):
+                _WORDS.update(zip(part, (x.tobytes() for x in np.split(ids, last[:-1])), strict=True))
+            else:
+                odd += part
+        for i in range(0, len(odd), 5000):
+            part = odd[i : i + 5000]
+            _WORDS.update(zip(part, plain([w.decode() for w in part]), strict=True))
+        _WORDS.update({w: _WORDS[w[:-1]] + _WORDS[w[-1:]] for w in stopped})
 
     def encode(texts: list[bytes | None]) -> Iterator[bytes]:
-        """Ids of each text, little-endian. White space ends a word for this tokenizer, so each distinct word is encoded once."""
-        split: list[list[bytes] | None] = []
-        unknown: dict[bytes, None] = {}
+        """Ids of each text, little-endian. White space ends a word for this tokenizer, so each distinct word is encoded once; strings of
+        special tokens keep their case and their neighbours."""
         if len(_WORDS) > WORDS_KEPT:
             _WORDS.clear()
-        for t in texts:
-            t = t or b""
-            if b"<|" in t:  # strings of special tokens keep their case and their neighbours
-                split.append(None)
-                continue
-            words = _POINT.sub(rb" \1", t.lower()).split()
-            split.append(words)
-            unknown.update(dict.fromkeys(w for w in words if w not in _WORDS))
-        fresh = list(unknown)
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            _WORDS.update(zip(part, plain([w.decode() for w in part]), strict=True))
+        split = [None if t and b"<|" in t else (t or b"").lower().split() for t in texts]
+        learn(set().union(*filter(None, split)) - _WORDS.keys())
         for t, words in zip(texts, split, strict=True):
             yield plain([t.decode()])[0] if words is None else b"".join(map(_WORDS.__getitem__, words))
 
