@@ -93,7 +93,8 @@ def best_fit(lengths: list[int], counts: list[int], b: Bin) -> list[tuple[int, i
 
 _WORDS: dict[bytes, bytes] = {}
 #: Distinct words a worker remembers; beyond that it starts afresh.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 900_000
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _simple(word: str) -> bool:
@@ -113,18 +114,20 @@ def _encoder(path: str):
         return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(words: set[bytes]) -> None:
-        simple, odd, stopped = [], [], []
+        simple, odd, split = [], [], []
         for w in words:
-            if w.isalpha() or _simple(w.decode()):
+            if w.isalpha():
                 simple.append(w)
-            elif w[-1] in b".," and (w[:-1].isalpha() or _simple(w[:-1].decode())):  # a sign after letters is a unit of its own
-                stopped.append(w)
-            else:
+                continue
+            letters = w.rstrip(SIGNS)
+            if not letters or not (letters.isalpha() or _simple(letters.decode())):
                 odd.append(w)
-        for sign in (b".", b","):
-            if sign not in _WORDS:
-                _WORDS[sign] = plain([sign.decode()])[0]
-        simple += {w[:-1] for w in stopped} - _WORDS.keys() - words
+            elif len(letters) == len(w):
+                simple.append(w)
+            else:  # signs after letters are a unit of their own
+                split.append((w, letters, w[len(letters) :]))
+        simple += {x for _, x, _ in split} - _WORDS.keys() - words
+        odd += {x for _, _, x in split} - _WORDS.keys() - words
         for i in range(0, len(simple), 64):
             part = simple[i : i + 64]
             # simple words in one string: each ends with the token that ends a word
@@ -137,7 +140,7 @@ def _encoder(path: str):
         for i in range(0, len(odd), 5000):
             part = odd[i : i + 5000]
             _WORDS.update(zip(part, plain([w.decode() for w in part]), strict=True))
-        _WORDS.update({w: _WORDS[w[:-1]] + _WORDS[w[-1:]] for w in stopped})
+        _WORDS.update({w: _WORDS[x] + _WORDS[y] for w, x, y in split})
 
     def encode(texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text, little-endian. White space ends a word for this tokenizer, so each distinct word is encoded once; strings of
