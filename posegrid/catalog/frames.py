@@ -533,7 +533,17 @@ def _(fx):
 
 @query("t03_pixel_sampling")
 def _(fx):
-    return sampling.sample_pixels(fx.pixel, 20, ["frame"], 0, 5, 0, 8).select("frame", "draw", "v", "u", "depth", "raw")
+    return sampling.sample_pixels(fx.pixel, 20, ["frame"], 0, 12, 0, 8).select("frame", "draw", "v", "u", "depth", "raw")
+
+
+@query(
+    "t03_draw_counts",
+    """SELECT frame, 20::BIGINT AS draws, 20::BIGINT AS inside FROM (SELECT DISTINCT frame FROM fx_pixel)""",
+)
+def _(fx):
+    drawn = sampling.sample_pixels(fx.pixel, 20, ["frame"], 0, 12, 0, 8)
+    inside = F.col("v").between(0, 11) & F.col("u").between(0, 7)
+    return drawn.groupBy("frame").agg(F.count(F.lit(1)).alias("draws"), F.count(F.when(inside, 1)).alias("inside"))
 
 
 @query("t05_random_k")

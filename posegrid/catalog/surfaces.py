@@ -32,10 +32,12 @@ def _(fx):
 @query(
     "s04_unpaired_files",
     """WITH r AS (SELECT kind, path, row_number() OVER (PARTITION BY kind ORDER BY regexp_extract(path, '_(\\d+)\\.png', 1)::BIGINT) - 1 AS pos FROM fx_paths)
-    SELECT a.pos, a.path FROM r a WHERE a.kind = 'log' AND NOT EXISTS (SELECT 1 FROM r b WHERE b.kind = 'semantic' AND b.pos = a.pos)""",
+    SELECT a.kind, a.pos, a.path FROM r a WHERE a.kind IN ('rgb', 'depth') AND NOT EXISTS (SELECT 1 FROM r b WHERE b.kind IN ('rgb', 'depth') AND b.kind <> a.kind AND b.pos = a.pos)""",
 )
 def _(fx):
-    return files.unpaired(files.frame_manifest(fx.paths, []), "log", "semantic", []).select("pos", "path")
+    manifest = files.frame_manifest(fx.paths, [])
+    sides = [files.unpaired(manifest, a, b, []).select(F.lit(a).alias("kind"), "pos", "path") for a, b in (("rgb", "depth"), ("depth", "rgb"))]
+    return sides[0].unionByName(sides[1])
 
 
 @query(
@@ -119,6 +121,13 @@ def _(fx):
     return M.surface_counts(_triangles(fx), ["object_id"], 2000).select("fid", "half", r4("expected").alias("expected"))
 
 
+@query("w07_samples_per_object", f"WITH {GEO_SQL} SELECT object_id, 2000::BIGINT AS n, 2000::BIGINT AS inside FROM n GROUP BY object_id HAVING sum(l) > 0")
+def _(fx):
+    s = M.sample_surface(_triangles(fx), ["object_id"], 2000, ["fid", "half"])
+    within = [F.col(a).between(F.least(*(f"p{i}{a}" for i in range(3))) - 1e-9, F.greatest(*(f"p{i}{a}" for i in range(3))) + 1e-9) for a in XYZ]
+    return s.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(within[0] & within[1] & within[2], 1)).alias("inside"))
+
+
 @query("w07_surface_samples")
 def _(fx):
     return M.sample_surface(_triangles(fx), ["object_id"], 2000, ["fid", "half"]).select("object_id", "fid", "half", "i", *XYZ, "nx", "ny", "nz")

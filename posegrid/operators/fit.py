@@ -43,10 +43,10 @@ def weighted_moments(pairs: DataFrame, keys, weight: Column | None = None) -> Da
     return means.join(sums, keys)
 
 
-def solve_similarity(moments: DataFrame, with_scaling: bool = True) -> DataFrame:
-    """Rotation, scale and translation from the moments; groups under three pairs get NULL."""
+def solve_similarity(moments: DataFrame, with_scaling: bool = True, least: int = 3) -> DataFrame:
+    """Rotation, scale and translation from the moments; groups under ``least`` pairs get NULL."""
     cov = F.array(*[F.col(f"c{a}{b}") for a in AX for b in AX])
-    m = moments.withColumn("_r", F.when(F.col("n") >= 3, linalg.best_rotation(cov)))
+    m = moments.withColumn("_r", F.when(F.col("n") >= least, linalg.best_rotation(cov)))
     rot = [[F.col("_r")[3 * i + j] for j in range(3)] for i in range(3)]
     s = F.col("_r")[9] / (F.col("vs") + 1e-12) if with_scaling else F.when(F.col("_r").isNotNull(), 1.0)
     m = m.withColumn("scale", s)
@@ -57,9 +57,9 @@ def solve_similarity(moments: DataFrame, with_scaling: bool = True) -> DataFrame
     ).drop("_r")
 
 
-def umeyama(pairs: DataFrame, keys, weight: Column | None = None, with_scaling: bool = True) -> DataFrame:
+def umeyama(pairs: DataFrame, keys, weight: Column | None = None, with_scaling: bool = True, least: int = 3) -> DataFrame:
     cols = list(keys) + ["n", "w", "scale"] + [f"m{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]
-    return solve_similarity(weighted_moments(pairs, keys, weight), with_scaling).select(*cols)
+    return solve_similarity(weighted_moments(pairs, keys, weight), with_scaling, least).select(*cols)
 
 
 def scale_translation(moments: DataFrame, with_scaling: bool = True) -> DataFrame:
@@ -81,13 +81,27 @@ def direction_counts(cloud: DataFrame, keys) -> DataFrame:
 
 
 def draw_hypotheses(cloud: DataFrame, keys, iters: int, order: Column) -> DataFrame:
-    """``iters`` normals per key, the lowest by ``order``; numbered from 0 in that order."""
+    """``iters`` normals per key, the lowest by ``order``, which must tell rows apart, not normals; numbered from 0 in that order."""
     n = g.unit(g.vec("nx", "ny", "nz"))
     rows = cloud.select(*keys, order.alias("_o"), n[0].alias("hx"), n[1].alias("hy"), n[2].alias("hz"))
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy("_o", "hx", "hy", "hz")
-    return rows.withColumn("h", F.row_number().over(w) - 1).filter(F.col("h") < iters).drop("_o")
+    # a plain limit on the row number, so that tasks cut their own rows before the shuffle
+    return rows.withColumn("h", F.row_number().over(w)).filter(F.col("h") <= iters).withColumn("h", F.col("h") - 1).drop("_o")
+
+
+def weighted_hypotheses(normals: DataFrame, keys, iters: int) -> DataFrame:
+    """``iters`` distinct normals per key (all, if fewer), drawn with chances in proportion to their counts ``n``.
+
+    Each normal has one exponential draw of rate ``n`` and the lowest win, so copies raise a chance and never fill several slots.
+    """
+    draw = -F.log(F.greatest(rand.uniform("nx", "ny", "nz"), F.lit(1e-300))) / F.col("n")
+    named = normals.select(*keys, draw.alias("_d"), F.col("nx").alias("hx"), F.col("ny").alias("hy"), F.col("nz").alias("hz"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy("_d", "hx", "hy", "hz")
+    return named.withColumn("h", F.row_number().over(w)).filter(F.col("h") <= iters).withColumn("h", F.col("h") - 1).drop("_d")
 
 
 def axis_votes(normals: DataFrame, hypotheses: DataFrame, keys, thresh_deg: float) -> DataFrame:
@@ -107,7 +121,7 @@ def robust_axis(cloud: DataFrame, keys, thresh_deg: float = 5.0, iters: int = 10
     """Dominant sign-free axis per key: best voted hypothesis, then the principal axis of its inliers."""
     keys = list(keys)
     normals = direction_counts(cloud, keys)
-    hyp = draw_hypotheses(cloud, keys, iters, rand.uniform("nx", "ny", "nz") if order is None else order)
+    hyp = weighted_hypotheses(normals, keys, iters) if order is None else draw_hypotheses(cloud, keys, iters, order)
     votes = axis_votes(normals, hyp, keys, thresh_deg)
     best = votes.groupBy(*keys).agg(F.max_by(F.struct("hx", "hy", "hz"), F.struct("inliers", -F.col("h"))).alias("b")).select(*keys, "b.*")
     cos_t = math.cos(math.radians(thresh_deg))

@@ -38,6 +38,9 @@ def face_geometry(corners: DataFrame) -> DataFrame:
     return corners.withColumns({"nx": n[0], "ny": n[1], "nz": n[2], "area": area})
 
 
+FACES_PER_BLOCK = 1 << 18
+
+
 def surface_counts(faces: DataFrame, keys, n_points: int | Column) -> DataFrame:
     """Expected samples per face, n * area / total area of its key."""
     keys = list(keys)
@@ -49,13 +52,25 @@ def surface_counts(faces: DataFrame, keys, n_points: int | Column) -> DataFrame:
 
 
 def sample_surface(faces: DataFrame, keys, n_points: int | Column, face_id, seed: int = 0) -> DataFrame:
-    """Uniform surface points with face normal: whole part of the expectation plus a hashed
-    Bernoulli remainder per face, so no global running area is needed."""
-    face_id = list(face_id)
-    f = surface_counts(faces, keys, n_points)
-    whole = F.floor("expected")
-    extra = (rand.uniform(*face_id, seed=seed) < F.col("expected") - whole).cast("long")
-    f = f.withColumn("_n", whole + extra).filter(F.col("_n") > 0)
+    """Exactly ``n_points`` uniform surface points per key (none where it has no area), with face normals.
+
+    A face gets the whole numbers its share of the running expectation passes. The running sum is cut into blocks of hashed faces, so
+    a key with most of the faces is many tasks' work.
+    """
+    face_id, keys = list(face_id), list(keys)
+    f = surface_counts(faces, keys, n_points).withColumn("expected", F.coalesce("expected", F.lit(0.0)))
+    if not keys:
+        f, keys = f.withColumn("_k", F.lit(0)), ["_k"]
+    sized = f.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / FACES_PER_BLOCK).cast("int").alias("_blocks"))
+    f = f.join(sized, keys).withColumn("_blk", F.pmod(F.xxhash64(*face_id), F.col("_blocks"))).drop("_blocks")
+    earlier = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
+    carry = f.groupBy(*keys, "_blk").agg(F.sum("expected").alias("_s")).select(*keys, "_blk", F.coalesce(earlier, F.lit(0.0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*face_id)
+    total = lambda end: F.coalesce(F.sum("expected").over(inside.rowsBetween(Window.unboundedPreceding, end)), F.lit(0.0))
+    f = f.join(carry, [*keys, "_blk"]).withColumn("_upto", F.col("_before") + total(0)).withColumn("_from", F.col("_before") + total(-1))
+    # sums of fractions end a little beside the whole number they stand for
+    f = f.withColumn("_n", F.floor(F.col("_upto") + 1e-6) - F.floor(F.col("_from") + 1e-6)).filter(F.col("_n") > 0)
+    f = f.drop("_before", "_upto", "_from", "_blk", "_k")
     s = f.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     u = F.sqrt(rand.uniform(*face_id, "i", seed=seed + 1))
     v = rand.uniform(*face_id, "i", seed=seed + 2)

@@ -167,8 +167,8 @@ def valid_frames(gt: DataFrame, columns, keys=("seq_id", "frame_idx")) -> DataFr
 
 
 def horn_align(pairs: DataFrame, keys) -> DataFrame:
-    """Rigid alignment without scale of ``sx..sz`` onto ``dx..dz``."""
-    return fit.umeyama(pairs, keys, with_scaling=False)
+    """Rigid alignment without scale of ``sx..sz`` onto ``dx..dz``; two pairs are enough to score a sequence."""
+    return fit.umeyama(pairs, keys, with_scaling=False, least=2)
 
 
 def alignment_errors(pairs: DataFrame, transform: DataFrame, keys) -> DataFrame:

@@ -27,7 +27,7 @@ def trajectory_evaluation(gt: DataFrame, est: DataFrame, keys=("seq_id",), scale
         .join(ok, keys + ["frame_idx"], "left_semi")
     )
     pairs = materialize(pairs, "pairs")
-    fit = T.horn_align(pairs, keys).filter("n >= 3")
+    fit = T.horn_align(pairs, keys).filter("n >= 2")
     return T.error_statistics(T.alignment_errors(pairs, fit, keys), keys).filter("pairs >= 2")
 
 

@@ -218,10 +218,9 @@ def align(src: DataFrame, dst: DataFrame, runs: DataFrame, cfg: Config, rotation
     if trace is not None:
         trace.append(state)
     steps = Steps(cfg, rotation_fixed, by_class)
-    few = state.limit(100_001).count() <= 100_000
     for it in range(1, cfg.max_iter + 1):
         sums = steps.measure(src, target, state.filter(~F.col("done")), centre)
-        state = materialize(steps.update(state, sums, it), "runs", 1 if few else None)
+        state = materialize(steps.update(state, sums, it), "runs")
         if trace is not None:
             trace.append(state)
         if state.filter(~F.col("done")).isEmpty():

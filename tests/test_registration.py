@@ -87,3 +87,34 @@ def test_end_to_end(spark, room):
     cfg = R.Config(voxel_size=0.12, ransac_iters=100, max_iter=12, max_corr_dist=0.5, tukey_c=0.5, convergence_delta=1e-4)
     e = _errors(R.get_method("proposed")(room, dst, cfg), _truth(spark, (0, 0, 1), 0, s, t))
     assert e.rot_deg < 3 and e.trans < 0.1 and e.scale_ratio < 0.05
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_axis_of_repeated_normals(spark, seed):
+    """Most normals are one value and a tenth another: the larger group wins whatever its hash."""
+    a = math.radians(10 + 13 * seed)
+    other = (math.sin(a), 0.0, math.cos(a)) if seed % 2 else (math.cos(a), math.sin(a), 0.0)
+    cloud = spark.range(10_000).select(F.lit("s").alias("scene_id"), *[F.when(F.col("id") < 9000, x).otherwise(float(y)).alias(c) for c, x, y in zip(("nx", "ny", "nz"), (0.0, 0.0, 1.0), other)])
+    r = fit.robust_axis(cloud, ["scene_id"], 5.0, 100).first()
+    assert r.inliers == 9000 and abs(r.az) > 1 - 1e-9
+
+
+def test_sample_counts_are_exact(spark, monkeypatch):
+    from posegrid.operators import mesh as M
+
+    monkeypatch.setattr(M, "FACES_PER_BLOCK", 64)
+    corner = {f"p{i}{c}": F.rand(i * 3 + k) for i in range(3) for k, c in enumerate("xyz")}
+    faces = materialize(spark.range(3000).select((F.col("id") % 3).alias("scene_id"), F.col("id").alias("fid")).withColumns(corner), "faces")
+    got = M.sample_surface(M.face_geometry(faces), ["scene_id"], 1777, ["fid"]).groupBy("scene_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1777), (1, 1777), (2, 1777)]
+    assert M.sample_surface(M.face_geometry(faces), [], 501, ["fid"]).count() == 501
+
+
+def test_two_pair_sequences_are_scored(spark):
+    from posegrid.plans import evaluation as E
+
+    cols = "seq_id long, frame_idx long, tx double, ty double, tz double"
+    gt = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 0.0), (2, 0, 0.0, 0.0, 0.0), (2, 1, 1.0, 0.0, 0.0), (2, 2, 0.0, 2.0, 0.0)], cols)
+    est = gt.withColumn("tx", F.col("tx") + 5)
+    got = {r.seq_id: r for r in E.trajectory_evaluation(gt, est).collect()}
+    assert got.keys() == {1, 2} and got[1].pairs == 2 and all(r.rmse < 1e-6 for r in got.values())
