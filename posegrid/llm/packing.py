@@ -11,7 +11,7 @@ the k-th slot of that length, and k comes from counters kept by each task plus s
 from __future__ import annotations
 
 import os
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -94,12 +94,9 @@ def best_fit(lengths: list[int], counts: list[int], b: Bin) -> list[tuple[int, i
 _WORDS: dict[bytes, bytes] = {}
 #: Distinct words a worker remembers; beyond that it starts afresh.
 WORDS_KEPT = 900_000
-SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-
-
-def _simple(word: str) -> bool:
-    """Letters alone, before and after the normalizers: one unit for the tokenizer."""
-    return word.isalpha() and (word.isascii() or (word.lower().isalpha() and unicodedata.is_normalized("NFC", word)))
+#: Letters (after ASCII lower-casing; A-Z elsewhere in Latin-1 and Latin Extended-A, without the one that lower-cases to two) and signs
+#: after them. For the tokenizer the letters are one unit and the signs another, whatever stands around.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
 def _encoder(path: str):
@@ -109,6 +106,7 @@ def _encoder(path: str):
     model = Tokenizer.from_file(path)
     ends = np.zeros(model.get_vocab_size() + 1, bool)
     ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
+    four, merge = [i.to_bytes(4, "little") for i in range(len(ends))], model.model.tokenize
 
     def plain(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,27 +114,31 @@ def _encoder(path: str):
     def learn(words: set[bytes]) -> None:
         simple, odd, split = [], [], []
         for w in words:
-            if w.isalpha():
-                simple.append(w)
-                continue
-            letters = w.rstrip(SIGNS)
-            if not letters or not (letters.isalpha() or _simple(letters.decode())):
+            if not (m := PLAIN.fullmatch(w)):
                 odd.append(w)
-            elif len(letters) == len(w):
+            elif m[2]:
+                split.append((w, m[1], m[2]))
+            else:
                 simple.append(w)
-            else:  # signs after letters are a unit of their own
-                split.append((w, letters, w[len(letters) :]))
         simple += {x for _, x, _ in split} - _WORDS.keys() - words
         odd += {x for _, _, x in split} - _WORDS.keys() - words
-        for i in range(0, len(simple), 64):
-            part = simple[i : i + 64]
-            # simple words in one string: each ends with the token that ends a word
-            ids = np.frombuffer(plain([b" ".join(part).decode()])[0], "<u4")
-            last = np.flatnonzero(ends[ids]) + 1
-            if len(last) == len(part) and last[-1] == len(ids):
-                _WORDS.update(zip(part, (x.tobytes() for x in np.split(ids, last[:-1])), strict=True))
-            else:
-                odd += part
+        ascii_words = [w for w in simple if w.isascii()]
+        for w in ascii_words:  # no normalizer changes these, so the model itself takes them
+            _WORDS[w] = b"".join([four[t.id] for t in merge(w.decode())])
+        simple = [w for w in simple if not w.isascii()]
+        parts = [simple[i : i + 64] for i in range(0, len(simple), 64)]
+        for i in range(0, len(parts), 64):
+            some = parts[i : i + 64]
+            for part, raw in zip(some, plain([b" ".join(p).decode() for p in some]), strict=True):
+                # plain words in one string: each ends with the token that ends a word
+                last = np.flatnonzero(ends[np.frombuffer(raw, "<u4")])
+                if len(last) != len(part):
+                    odd += part
+                    continue
+                at = 0
+                for w, end in zip(part, (last * 4 + 4).tolist(), strict=True):
+                    _WORDS[w] = raw[at:end]
+                    at = end
         for i in range(0, len(odd), 5000):
             part = odd[i : i + 5000]
             _WORDS.update(zip(part, plain([w.decode() for w in part]), strict=True))
@@ -148,9 +150,13 @@ def _encoder(path: str):
         if len(_WORDS) > WORDS_KEPT:
             _WORDS.clear()
         split = [None if t and b"<|" in t else (t or b"").lower().split() for t in texts]
-        learn(set().union(*filter(None, split)) - _WORDS.keys())
-        for t, words in zip(texts, split, strict=True):
-            yield plain([t.decode()])[0] if words is None else b"".join(map(_WORDS.__getitem__, words))
+        known = [list(map(_WORDS.get, words or ())) for words in split]
+        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in known]
+        learn({words[i] for words, at in zip(split, holes, strict=True) for i in at})
+        for t, words, ids, at in zip(texts, split, known, holes, strict=True):
+            for i in at:
+                ids[i] = _WORDS[words[i]]
+            yield plain([t.decode()])[0] if words is None else b"".join(ids)
 
     return encode
 
