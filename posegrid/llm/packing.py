@@ -120,8 +120,9 @@ def _encoder(path: str):
                 split.append((w, m[1], m[2]))
             else:
                 simple.append(w)
-        simple += {x for _, x, _ in split} - _WORDS.keys() - words
-        odd += {x for _, _, x in split} - _WORDS.keys() - words
+        # a set minus the table's keys would walk the whole table, so each part is looked up
+        simple += {x for _, x, _ in split if x not in _WORDS and x not in words}
+        odd += {x for _, _, x in split if x not in _WORDS and x not in words}
         ascii_words = [w for w in simple if w.isascii()]
         for w in ascii_words:  # no normalizer changes these, so the model itself takes them
             _WORDS[w] = b"".join([four[t.id] for t in merge(w.decode())])
