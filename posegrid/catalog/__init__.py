@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("points", "frames", "surfaces", "pipelines")
+MODULES = ("points", "frames", "surfaces", "pipelines", "known")
 
 
 def load():

@@ -44,25 +44,16 @@ PALETTE52_CLASS = [
 ]
 
 
-def palette_array(palette) -> Column:
-    """The palette as a constant array, so lookups need no join."""
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("id"), F.lit(float(r)).alias("r"), F.lit(float(g)).alias("g"), F.lit(float(b)).alias("b"))
-            for i, (r, g, b) in enumerate(palette)
-        ]
-    )
-
-
 def nearest_color(r: Column, g: Column, b: Column, palette=CLASS_COLORS, norm: str = "l2") -> Column:
-    """Index of the closest palette entry; ties go to the lowest index."""
+    """Index of the closest palette entry; ties go to the lowest index. The entries are written out, so the choice stays in generated code."""
 
-    def cost(p):
-        d = [r - p["r"], g - p["g"], b - p["b"]]
+    def cost(i: int, entry) -> Column:
+        d = [c - F.lit(float(v)) for c, v in zip((r, g, b), entry)]
         terms = [F.abs(c) if norm == "l1" else c * c for c in d]
-        return F.struct((terms[0] + terms[1] + terms[2]).alias("d"), p["id"].alias("id"))
+        return F.struct((terms[0] + terms[1] + terms[2]).alias("d"), F.lit(i).alias("id"))
 
-    return F.array_min(F.transform(palette_array(palette), cost))["id"]
+    costs = [cost(i, entry) for i, entry in enumerate(palette)]
+    return (F.least(*costs) if len(costs) > 1 else costs[0])["id"]
 
 
 def int_map(key: Column, mapping: dict[int, int], default: int | None) -> Column:

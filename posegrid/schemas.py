@@ -24,6 +24,7 @@ POSE = _table(
 PIXEL = _table("seq_id:string frame_idx:int v:int u:int r:double g:double b:double depth:double sem:int")
 VERTEX = _table("scene_id:string vid:long x:double y:double z:double r:int g:int b:int")
 FACE = _table("scene_id:string fid:long v0:long v1:long v2:long object_id:long label:int")
+QUAD = _table("scene_id:string fid:long v0:long v1:long v2:long v3:long object_id:long label:int")
 SIM3 = _table(
     "m00:double m01:double m02:double m10:double m11:double m12:double m20:double m21:double m22:double "
     "t0:double t1:double t2:double"

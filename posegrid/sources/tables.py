@@ -40,10 +40,10 @@ def instance_labels(faces: DataFrame, instances: DataFrame, class_to_six: dict[i
 
 
 def read_mesh(spark: SparkSession, vertex_path: str, face_path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces; faces with a fourth corner ``v3`` are quads and keep it."""
     v = schemas.conform(spark.read.parquet(vertex_path), schemas.VERTEX, "vertex")
     faces = spark.read.parquet(face_path)
-    wanted = schemas.FACE if "v3" in faces.columns else None
-    return v, faces if wanted is None else schemas.conform(faces, wanted, "face")
+    return v, schemas.conform(faces, schemas.QUAD if "v3" in faces.columns else schemas.FACE, "face")
 
 
 def export_rows(cloud: DataFrame, hide=(4,)) -> DataFrame:
