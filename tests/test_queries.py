@@ -8,7 +8,7 @@ from posegrid.catalog import load
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load()
-FAST = [n for n in ORACLES if n[0] in "apfu" or n.startswith(("j01", "j03", "j07", "w0", "s04", "t0"))]
+FAST = [n for n in ORACLES if n[0] in "apfu" or n.startswith(("j01", "j03", "j07", "j10", "w0", "s0", "s1", "t0", "c10"))]
 
 
 @pytest.fixture(scope="module")
