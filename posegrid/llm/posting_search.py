@@ -2,8 +2,9 @@
 
 Centroids of a bounded sample (k-means with a price on full clusters) name the lists. Every vector goes to its nearest centroid and, near
 a boundary, to further ones that lie in other directions. A graph of the centroids, held in memory by each task, is walked to find the
-nearest centroids of a vector or a query; a query visits the lists whose distance is within a ratio of its nearest. Inner products are
-turned to distances by one more coordinate that gives all vectors the same length.
+nearest centroids of a vector; a query is compared with all centroids and visits every list whose distance is within a ratio of its
+nearest. It visits its nearest lists first, and the others return only what reaches the last place found there. Inner products are turned
+to distances by one more coordinate that gives all vectors the same length.
 
 Equal vectors are one entry with their smallest ids, so a vector that a third of all rows share is searched once. Lists are scored in
 blocks of bounded size, queries too.
@@ -27,8 +28,8 @@ from .common import column, frozen, map_arrow
 class Settings:
     """Centroids come from ``sample`` distinct vectors, one for ``per_list`` vectors of the corpus, ``most_lists`` at most. A vector has
     up to ``copies`` entries, in lists within ``copy_ratio`` of its nearest whose centroids are at least ``apart`` times as far from each
-    other as from the vector; a query visits its ``least_probes`` nearest lists and up to
-    ``most_probes`` within a ratio that finds ``recall`` of the neighbours in the sample."""
+    other as from the vector; a query visits its ``least_probes`` nearest lists and all others within a ratio that finds ``recall`` of
+    the neighbours in the sample."""
 
     sample: int = 20_000
     per_list: int = 256
@@ -38,7 +39,6 @@ class Settings:
     copy_ratio: float = 1.05
     apart: float = 0.5
     least_probes: int = 16
-    most_probes: int = 128
     recall: float = 0.96
     degree: int = 24
     beam: int = 32
@@ -179,15 +179,19 @@ def matrix(column_: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(items), "<f8").reshape(len(items), -1) if items else np.zeros((0, 1))
 
 
-def _best(q: np.ndarray, c: np.ndarray, ids: list[np.ndarray], k: int) -> Iterator[tuple[list[int], list[float]]]:
-    """For each query the ``k`` ids with the largest inner products, ties to the smaller id."""
+def _best(q: np.ndarray, c: np.ndarray, ids: list[np.ndarray], k: int, floor: np.ndarray) -> Iterator[tuple[list[int], list[float]]]:
+    """For each query the ``k`` ids with the largest inner products that reach its ``floor``, ties to the smaller id."""
     rough = q @ c.T
-    for row, v in zip(rough, q, strict=True):
-        near = np.arange(len(c))
-        if len(c) > k:
-            least = np.partition(row, len(c) - k)[len(c) - k]
-            near = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
+    for row, v, low in zip(rough, q, floor, strict=True):
+        near = np.flatnonzero(row >= low - 1e-9 * max(1.0, abs(low))) if np.isfinite(low) else np.arange(len(c))
+        if len(near) > k:
+            least = np.partition(row[near], len(near) - k)[len(near) - k]
+            near = near[row[near] >= least - 1e-9 * max(1.0, abs(least))]
         exact = (c[near] * v).sum(axis=1)
+        near, exact = near[exact >= low], exact[exact >= low]
+        if not len(near):
+            yield [], []
+            continue
         flat = np.concatenate([ids[i] for i in near])
         score = np.repeat(exact, [len(ids[i]) for i in near])
         order = np.lexsort((flat, -score))[:k]
@@ -231,35 +235,51 @@ def search(rows: DataFrame, is_query, k: int = 20, s: Settings = Settings(), id_
                 yield {"list": ids[r, j], "vec": column(part, "vec").take(take), "ids": column(part, "ids").take(take)}
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """The nearest lists of each vector where ``floor`` is null, else all further ones within the ratio, or all where it is infinite."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids, dist = shared.value.nearest(shared.value.pointed(matrix(column(part, "vec"))), s.most_probes, s.most_probes)
-                go = dist <= dist[:, :1] * shared.value.ratio
-                go[:, : s.least_probes] = True
+                floor = column(part, "floor")
+                later = floor.is_valid().to_numpy(zero_copy_only=False)
+                dist = np.sqrt(np.maximum(_squared(shared.value.pointed(matrix(column(part, "vec"))), shared.value.centroids), 0))
+                first = np.argsort(dist, axis=1, kind="stable")[:, : s.least_probes]
+                reach = np.where(np.isneginf(floor.fill_null(0.0).to_numpy()), np.inf, dist.min(axis=1) * shared.value.ratio)
+                go = later[:, None] & (dist <= reach[:, None])
+                np.put_along_axis(go, first, ~later[:, None], axis=1)
                 r, j = np.nonzero(go)
-                yield {"list": ids[r, j], "vec": column(part, "vec").take(pa.array(r))}
+                take = pa.array(r)
+                yield {"list": j, "vec": column(part, "vec").take(take), "floor": floor.take(take).fill_null(-np.inf)}
 
     asked = plain.filter(is_query).distinct()
     posted = frozen(map_arrow(distinct, entries, "list int, vec binary, ids array<long>"), "postings")
-    asking = frozen(map_arrow(asked.select("vec").distinct(), probes, "list int, vec binary"), "probes")
     blocks = lambda df: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("n"))
-    cb, qb = blocks(posted).withColumnRenamed("n", "cn"), blocks(asking).withColumnRenamed("n", "qn")
-    both = frozen(cb.join(qb, "list"), "blocks")  # one row for each list
-    place = lambda own, many: F.pmod(F.xxhash64("vec"), F.col(own)).cast("int")
-    left = posted.join(both, "list").withColumn("c", place("cn", None)).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).select("list", "c", "q", "vec", "ids")
-    right = asking.join(both, "list").withColumn("q", place("qn", None)).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))).select("list", "c", "q", "vec")
+    cb = frozen(blocks(posted).withColumnRenamed("n", "cn"), "blocks")  # one row for each list
+    place = lambda own: F.pmod(F.xxhash64("vec"), F.col(own)).cast("int")
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"vec": [], "ids": [], "scores": []})
-        found = list(_best(matrix(b["vec"]), matrix(a["vec"]), [np.asarray(i) for i in a["ids"]], k + 1))
-        return pd.DataFrame({"vec": b["vec"], "ids": [f[0] for f in found], "scores": [f[1] for f in found]})
+        found = list(_best(matrix(b["vec"]), matrix(a["vec"]), [np.asarray(i) for i in a["ids"]], k + 1, b["floor"].to_numpy()))
+        some = [len(f[0]) > 0 for f in found]
+        return pd.DataFrame({"vec": b["vec"], "ids": [f[0] for f in found], "scores": [f[1] for f in found]})[some]
+
+    def visited(vectors: DataFrame, name: str) -> DataFrame:
+        """vec, id, score of what the lists that ``vectors`` (vec, floor) ask for return."""
+        asking = frozen(map_arrow(vectors, probes, "list int, vec binary, floor double"), name)
+        both = frozen(cb.join(blocks(asking).withColumnRenamed("n", "qn"), "list"), name + "-blocks")
+        left = posted.join(both, "list").withColumn("c", place("cn")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).select("list", "c", "q", "vec", "ids")
+        right = asking.join(both, "list").withColumn("q", place("qn")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))).select("list", "c", "q", "vec", "floor")
+        found = left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q")).applyInPandas(score, "vec binary, ids array<long>, scores array<double>")
+        return found.select("vec", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("vec", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
 
-    found = left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q")).applyInPandas(score, "vec binary, ids array<long>, scores array<double>")
-    pairs = found.select("vec", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("vec", F.col("x.ids").alias("id")).agg(F.max("x.scores").alias("score"))
     order = [F.desc("score"), F.col("id")]
-    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy(*order))).filter(F.col("n") <= k + 1)
+    ahead = F.row_number().over(Window.partitionBy("vec").orderBy(*order))
+    top = lambda pairs: pairs.groupBy("vec", "id").agg(F.max("score").alias("score")).withColumn("n", ahead).filter(F.col("n") <= k + 1)
+    vectors = asked.select("vec").distinct()
+    nearby = frozen(top(visited(vectors.withColumn("floor", F.lit(None).cast("double")), "probes")), "nearby")
+    last = nearby.filter(F.col("n") == k + 1).select("vec", F.col("score").alias("floor"))
+    wider = visited(vectors.join(last, "vec", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "wider")
+    near = top(nearby.drop("n").unionByName(wider))
     mine = asked.withColumnRenamed("id", "query_id").join(near.drop("n"), "vec").filter("id <> query_id")
     ranks = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     assert dims > 0

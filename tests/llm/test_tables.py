@@ -158,6 +158,18 @@ def test_search_of_awkward_vectors(spark):
     assert posting_search.search(few.limit(0), F.col("id") % 20 == 0).collect() == []
 
 
+def test_search_of_many_lists(spark):
+    x = np.random.default_rng(6).normal(size=(4000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in posting_search.search(rows, F.col("id") % 20 == 0, 20, posting_search.Settings(per_list=4)).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x @ x.T
+    want = {q: set(np.argsort(-np.delete(score[q], q))[:20]) for q in range(0, 4000, 20)}
+    want = {q: {int(i) + (i >= q) for i in found} for q, found in want.items()}
+    assert got.keys() == want.keys() and np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.95
+
+
 def test_graph_walk_finds_the_nearest():
     x = np.random.default_rng(4).normal(size=(3000, 8))
     index = posting_search.fit(x, 200, float(np.linalg.norm(x, axis=1).max()), posting_search.Settings())
