@@ -2,7 +2,8 @@
 
 A candidate is a maximal run of characters that keys are written in. Windows slide over it with counts updated by the character that
 enters and the one that leaves, so the Shannon entropy of each window costs the same whatever its width. The class of a candidate
-(digits and a-f, letters and digits, or with the other key characters) sets width and bits; strings on the allow-list are passed over.
+(digits and a-f, letters and digits, or with the other key characters; letters of one case and digits) sets width and bits. The
+allow-list takes out the parts of a candidate that it names, and what is left is looked at.
 """
 
 from __future__ import annotations
@@ -34,35 +35,63 @@ KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
 @dataclass(frozen=True)
 class Entropy:
-    """Window width and least bits by class: hex digits, letters with digits, all key characters."""
+    """Window width and least bits by class: hex digits, letters with digits, all key characters, letters of one case with digits. A
+    placeholder's word excuses windows within ``near`` characters of it."""
 
     shortest: int = 20
-    width: tuple[int, int, int] = (24, 20, 20)
-    bits: tuple[float, float, float] = (3.1, 3.6, 3.7)
-
-
-#: Candidates that look random and are no secrets: placeholders, digests that name their algorithm, UUIDs, paths and plain numbers.
-ALLOWED = (
-    re.compile(rb"(?i)example|sample|placeholder|changeme|your[-_]?(api|key|token|secret)|dummy|redacted|xxxx|lorem|abcdefgh|01234567"),
-    re.compile(rb"(?i)^(sha(1|224|256|384|512)|md5)[-=_]"),
-    re.compile(rb"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
-    re.compile(rb"^/|//|/.*/.*/"),
-    re.compile(rb"^[0-9+=_-]+$"),
-)
-
-
-def window_spans(s: bytes, e: Entropy = Entropy()) -> list[tuple[int, int]]:
-    """Merged windows of a candidate that reach the bits of its class."""
-    if len(s) < e.shortest or any(a.search(s) for a in ALLOWED):
-        return []
-    lower, upper, digit = (any(lo <= c <= hi for c in s) for lo, hi in ((97, 122), (65, 90), (48, 57)))
-    hexadecimal = all(c in b"0123456789abcdefABCDEF" for c in s)
-    if not digit or not (lower or upper) or not hexadecimal and not (lower and upper):
-        return []  # words, names in capitals, slugs and numbers
-    kind = 0 if hexadecimal else 1 if s.isalnum() else 2
-    w, bits = min(len(s), e.width[kind]), e.bits[kind]
+    width: tuple[int, int, int, int] = (24, 20, 20, 20)
+    bits: tuple[float, float, float, float] = (3.1, 3.6, 3.7, 3.6)
+    near: int = 40
+
+
+#: What looks random and is no secret: words of placeholders near a window, and spans of plain numbers.
+PLACEHOLDER = re.compile(rb"(?i)example|sample|placeholder|changeme|your[-_]?(api|key|token|secret)|dummy|redacted|xxxx|lorem|abcdefgh|01234567")
+NUMBERS = re.compile(rb"^[0-9+=_-]+$")
+ALLOWED = (PLACEHOLDER, NUMBERS)
+#: Parts taken out of a candidate: digests that name their algorithm, as long as its digests are, and UUIDs.
+_DIGESTS = "|".join(f"{name}[-=_](?:[0-9a-f]{{{size * 2}}}|[a-z0-9+/_-]{{1,{-(-size * 4 // 3)}}}={{0,2}})" for name, size in (("md5", 16), ("sha1", 20), ("sha224", 28), ("sha256", 32), ("sha384", 48), ("sha512", 64)))
+NAMED = re.compile(rf"(?i)(?<![a-z0-9])(?:{_DIGESTS}|[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}(?![a-z0-9]))".encode())
+#: A segment of a path that reads as words and numbers.
+_WORD = rb"(?:[a-z]*(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]*"
+WORDS = re.compile(rb"(?:" + _WORD + rb"[-_=+])*" + _WORD)
+SEGMENT = re.compile(rb"[^/]+")
+ALNUM = re.compile(rb"[A-Za-z0-9]+")
+
+
+def _pieces(s: bytes) -> list[tuple[int, int]]:
+    """What is left of a candidate without named digests, UUIDs, and the segments of paths that read as words."""
+    out = [m.span() for m in NAMED.finditer(s)]
+    if b"/" in s:
+        out += [m.span() for m in SEGMENT.finditer(s) if WORDS.fullmatch(m[0])]
+    pieces, end = [], 0
+    for a, b in sorted(out):
+        if a > end:
+            pieces.append((end, a))
+        end = max(end, b)
+    return pieces + [(end, len(s))]
+
+
+def _classes(s: bytes, e: Entropy) -> Iterator[tuple[int, int, int]]:
+    """Start, end and class of what is looked at in a piece; words, names in capitals, slugs and numbers are not."""
+
+    def holds(x: bytes) -> tuple[bool, bool, bool, bool]:
+        lower, upper, digit = (any(lo <= c <= hi for c in x) for lo, hi in ((97, 122), (65, 90), (48, 57)))
+        return lower, upper, digit, all(c in b"0123456789abcdefABCDEF" for c in x)
+
+    lower, upper, digit, hexadecimal = holds(s)
+    if digit and lower and upper and not hexadecimal:
+        yield 0, len(s), 1 if s.isalnum() else 2
+    for m in ALNUM.finditer(s):  # a key of one case has no other class, whatever it is joined to
+        if len(m[0]) >= e.shortest:
+            lower, upper, digit, hexadecimal = holds(m[0])
+            if digit and (lower or upper) and (hexadecimal or not (lower and upper) and not WORDS.fullmatch(m[0])):
+                yield *m.span(), 0 if hexadecimal else 3
+
+
+def _windows(s: bytes, w: int, bits: float) -> Iterator[int]:
+    """Starts of the windows that reach the bits."""
     clog = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
-    counts, total, out = [0] * 256, 0.0, []
+    counts, total = [0] * 256, 0.0
     for i, c in enumerate(s):
         total += clog[counts[c] + 1] - clog[counts[c]]
         counts[c] += 1
@@ -71,11 +100,32 @@ def window_spans(s: bytes, e: Entropy = Entropy()) -> list[tuple[int, int]]:
             total += clog[counts[d] - 1] - clog[counts[d]]
             counts[d] -= 1
         if i >= w - 1 and math.log2(w) - total / w >= bits:
-            if out and i - w + 1 <= out[-1][1]:
-                out[-1] = (out[-1][0], i + 1)
-            else:
-                out.append((i - w + 1, i + 1))
-    return out
+            yield i - w + 1
+
+
+def window_spans(s: bytes, e: Entropy = Entropy()) -> list[tuple[int, int]]:
+    """Merged windows of a candidate that reach the bits of their class."""
+    if len(s) < e.shortest:
+        return []
+    excused = [(m.start() - e.near, m.end() + e.near) for m in PLACEHOLDER.finditer(s)]
+    found, out = [], []
+    for a, b in _pieces(s):
+        if b - a < e.shortest:
+            continue
+        for x, y, kind in _classes(s[a:b], e):
+            w, k = min(y - x, e.width[kind]), 0
+            for i in _windows(s[a + x : a + y], w, e.bits[kind]):
+                i += a + x
+                while k < len(excused) and excused[k][1] < i + w:
+                    k += 1
+                if k == len(excused) or i < excused[k][0]:
+                    found.append((i, i + w))
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return [(a, b) for a, b in out if not NUMBERS.search(s[a:b])]
 
 
 def scan(texts: pa.Array, e: Entropy = Entropy()) -> Iterator[list[tuple[str, int, int]]]:

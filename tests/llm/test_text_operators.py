@@ -177,6 +177,22 @@ def test_windows_by_counts():
         assert hit <= {x for a, b in got for x in range(a, b)}
 
 
+def test_keys_of_any_length_and_case_are_found():
+    rng = np.random.default_rng(8)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    found = lambda s: sum(b - a for a, b in secret_scan.window_spans(s.encode())) / len(s)
+    for n in (40, 64, 88, 400, 1600):
+        assert np.mean([found(drawn(base64, n)) > 0.5 for _ in range(300)]) >= 0.98
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        assert np.mean([found(drawn(letters, 32)) > 0.5 for _ in range(300)]) >= 0.95
+    key = drawn(base64, 400)
+    for s in ("sample" + key, key[:200] + "xxxx" + key[200:], "sha256-" + key, "/usr/local/share/" + key, "123e4567-e89b-12d3-a456-426614174000/" + key):
+        assert found(s) > 0.5
+    for s in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "/home/user/MyProject2/src/MainWindow/file-name_v2", "some-long-slug-of-2024-with-123456-numbers", "averylonglowercaseidentifier2"):
+        assert found(s) == 0
+
+
 def test_masked_texts(spark, docs):
     rows = [(i, t, f"k{i}") for i, t in enumerate(SECRETS)]
     out = {r.doc_id: r for r in secret_scan.masked(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
