@@ -135,7 +135,7 @@ def robust_axis(cloud: DataFrame, keys, thresh_deg: float = 5.0, iters: int = 10
 def gravity_axis(cloud: DataFrame, keys, thresh_deg: float = 5.0, iters: int = 1000, order: Column | None = None) -> DataFrame:
     """Upward axis from floor (3) and ceiling (5) normals, oriented so the ceiling is above.
 
-    Keys without floor and ceiling points are absent from the result.
+    Keys without floor and ceiling points are absent from the result; ``physical_registration`` gives their runs a row and a status.
     """
     keys = list(keys)
     flat = cloud.filter(F.col("label").isin(3, 5))

@@ -89,11 +89,15 @@ def get_method(name: str) -> Method:
 
 
 def prepare(cloud: DataFrame, keys, cfg: Config) -> DataFrame:
-    """Normals where the cloud has none, then class-preserving down-sampling."""
+    """Normals of the clouds that have none, then class-preserving down-sampling."""
     keys = list(keys)
-    has = "nx" in cloud.columns and cloud.filter(F.col("nx").isNotNull()).limit(1).count() > 0
-    if not has:
+    if "nx" not in cloud.columns:
         cloud = C.estimate_normals(cloud, cfg.normal_radius, cfg.normal_max_nn, keys)
+    else:
+        bare = small_table(cloud.groupBy(*keys).agg(F.count("nx").alias("_n")).filter("_n = 0").select(*keys))
+        if not bare.isEmpty():
+            made = C.estimate_normals(cloud.join(bare, keys, "left_semi"), cfg.normal_radius, cfg.normal_max_nn, keys)
+            cloud = cloud.join(bare, keys, "left_anti").unionByName(made)
     down = C.voxel_downsample(cloud, cfg.voxel_size, keys)
     pid = F.xxhash64(*keys, "label", "vx", "vy", "vz")
     out = down.select(*keys, pid.alias("point_id"), "label", *nn.XYZ, "nx", "ny", "nz")
@@ -288,7 +292,11 @@ def seed_candidates(src: DataFrame, dst: DataFrame, cfg: Config) -> DataFrame:
 @register_method("proposed")
 def physical_registration(src: DataFrame, dst: DataFrame, cfg: Config, trace: list | None = None) -> DataFrame:
     """Rotation from labelled planes, four seeded alignments at once, best by inlier ratio, a
-    centroid-seeded second alignment, and the lower chamfer of the two."""
+    centroid-seeded second alignment, and the lower chamfer of the two.
+
+    Every source cloud has one row. Its ``status`` is ``ok``, or says what its transform is NULL for: ``no destination``, or
+    ``no frame`` where floor, ceiling or wall normals do not name the axes of either cloud.
+    """
     s, d = prepare(src, SRC, cfg), prepare(dst, DST, cfg)
     target = Target(d, cfg.max_corr_dist)
     stage1: list | None = [] if trace is not None else None
@@ -310,7 +318,9 @@ def physical_registration(src: DataFrame, dst: DataFrame, cfg: Config, trace: li
     target.release()
     if trace is not None:
         trace.extend([x.join(final.select(*RUN), RUN, "left_semi") for x in (stage1 or []) + (stage2 or [])])
-    return final.select(*SRC, *SIM3)
+    every = s.select(*SRC).distinct().join(d.select(*DST).distinct().withColumn("_dst", F.lit(True)), DST, "left")
+    status = F.when(F.col("m00").isNotNull(), "ok").when(F.col("_dst").isNull(), "no destination").otherwise("no frame")
+    return every.join(final, SRC, "left").select(*SRC, *SIM3, status.alias("status"))
 
 
 def point_to_point(src: DataFrame, dst: DataFrame, gate: float = 0.1, iters: int = 30, init: DataFrame | None = None, with_scaling: bool = False) -> DataFrame:
@@ -352,11 +362,12 @@ def robustness(src: DataFrame, dst: DataFrame, method: str, trials: DataFrame, c
 
 
 def direct_quality(src: DataFrame, dst: DataFrame, transform: DataFrame, threshold: float) -> DataFrame:
-    """Scale, class inlier ratio and chamfer of one transform per source cloud."""
-    runs = transform.withColumn("candidate", F.lit(0)).select(*RUN, *SIM3)
+    """Scale, class inlier ratio and chamfer of one transform per source cloud, NULL where the transform is."""
+    every = transform.withColumn("candidate", F.lit(0)).select(*RUN, *SIM3)
+    runs = every.filter(F.col("m00").isNotNull())
     target = Target(dst, threshold)
     ratio = inlier_ratios(src, dst, runs, target).select(*RUN, "ratio")
-    out = materialize(runs.join(ratio, RUN).join(run_chamfer(src, dst, runs), RUN).withColumn("scale", g.sim3_scale(g.mat("m"))), "quality")
+    out = materialize(every.join(ratio, RUN, "left").join(run_chamfer(src, dst, runs), RUN, "left").withColumn("scale", g.sim3_scale(g.mat("m"))), "quality")
     target.release()
     return out.select(*SRC, "scale", "ratio", "chamfer")
 

@@ -89,6 +89,22 @@ def test_end_to_end(spark, room):
     assert e.rot_deg < 3 and e.trans < 0.1 and e.scale_ratio < 0.05
 
 
+def test_every_scene_has_a_row(spark, room):
+    """A scene without normals, one without floor and ceiling, one without walls, one without a destination."""
+    named = lambda df, name: df.withColumn("scene_id", F.lit(name))
+    bare = named(room, "bare").withColumns({c: F.lit(None).cast("double") for c in ("nx", "ny", "nz")})
+    src = room.unionByName(bare).unionByName(named(room, "walls").filter("label = 1")).unionByName(named(room, "flat").filter("label <> 1")).unionByName(named(room, "alone"))
+    src = materialize(src, "src")
+    dst = materialize(_transform(src.filter("scene_id <> 'alone'"), (0, 0, 1), 0, 1.0, (0.1, 0.1, 0.1)).drop("trial_id"), "dst")
+    cfg = R.Config(voxel_size=0.3, normal_radius=0.3, ransac_iters=50, max_iter=2, max_corr_dist=0.5, tukey_c=0.5)
+    out = materialize(R.get_method("proposed")(src, dst, cfg), "out")
+    got = {r.scene_id: r for r in out.collect()}
+    assert {k: r.status for k, r in got.items()} == {"room": "ok", "bare": "ok", "walls": "no frame", "flat": "no frame", "alone": "no destination"}
+    assert all((r.m00 is None) == (r.status != "ok") for r in got.values())
+    quality = {r.scene_id: r for r in R.direct_quality(src, dst, out, 0.5).collect()}
+    assert quality.keys() == got.keys() and all((r.chamfer is None) == (got[k].status != "ok") for k, r in quality.items())
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_axis_of_repeated_normals(spark, seed):
     """Most normals are one value and a tenth another: the larger group wins whatever its hash."""
