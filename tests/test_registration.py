@@ -134,3 +134,10 @@ def test_two_pair_sequences_are_scored(spark):
     est = gt.withColumn("tx", F.col("tx") + 5)
     got = {r.seq_id: r for r in E.trajectory_evaluation(gt, est).collect()}
     assert got.keys() == {1, 2} and got[1].pairs == 2 and all(r.rmse < 1e-6 for r in got.values())
+
+
+def test_runs_without_a_transform_are_no_successes(spark):
+    from posegrid.operators.sampling import benchmark_summary
+
+    trials = spark.createDataFrame([("m", 1.0, 0.0, 0.0), ("m", None, None, None)], "method string, rot_deg double, trans double, scale_ratio double")
+    assert benchmark_summary(trials).first().success_rate == 0.5
