@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import chat_format, chunk_pieces, line_rules, near_dup, packing, posting_search, quality_model, secret_scan, url_rules, warc_store
+from . import chat_format, chunk_pieces, divergence_audit, line_dedup, line_rules, near_dup, packing, posting_search, quality_model, secret_scan, spelling_groups, url_rules, warc_store
 from .common import table
 
 
@@ -84,11 +84,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the lines that a smaller document holds; keys of at least 10 code points."""
+    rows = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2("clean", 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of ``documents`` with their forms and roots."""
+    return spelling_groups.spelling_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of the sources of each language of ``documents``, and the terms they use most."""
+    return divergence_audit.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_warc, op3_secret_scans, op4_chat_formatting, op5_quality_rules, op6_sentencepiece, op7_posting_list_search,
-        op8_best_fit_packing, op9_url_filters, op10_minhash_near_dedup,
+        op8_best_fit_packing, op9_url_filters, op10_minhash_near_dedup, op11_line_dedup, op12_spelling_variants, op13_source_divergence,
     )
 }
 
@@ -138,4 +154,41 @@ SELECT u.page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v
   WHEN regexp_matches(host || path, '(?s)^(?:(?:ads|ad|tracker|track|pixel)\.[^/]*/|[^/]*\.doubleclick\.net/|.*/(?:ads|adserver)/|.*/pixel\.gif|.*\.(?:jpg|png|gif|mp4|zip|exe)$)') THEN 'block'
   WHEN host = '' THEN 'block' ELSE 'allow' END AS verdict
 FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) m USING (page_id)""",
+    "op11_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS pos FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+k AS (SELECT *, translate(trim(line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (SELECT k.*, coalesce(k.doc_id <> f.first, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE c(i, v, k) AS (SELECT i, i, 0 FROM range(0, 256) AS r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1 FROM c WHERE k < 8),
+t AS (SELECT list(v ORDER BY i) AS crc FROM c WHERE k = 8),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id || ':' || w)) AS x FROM o GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda a, b: xor(crc[1 + (xor(a, b) & 255)], a >> 8), 4294967295), 4294967295) AS h FROM d, t),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+e AS (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS cut FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near FROM e a JOIN e b USING (i, cut) WHERE a.word <> b.word
+  UNION SELECT e.word, v.word FROM e JOIN v ON v.word = e.cut UNION SELECT v.word, e.word FROM e JOIN v ON v.word = e.cut),
+b AS (SELECT p.word, count(*) AS n_near, max(v.n) AS best FROM p JOIN v ON v.word = p.near GROUP BY p.word),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.best >= 2 * v.n THEN b.best END AS form_n,
+  CASE WHEN b.best >= 2 * v.n THEN (SELECT min(p.near) FROM p JOIN v AS u ON u.word = p.near WHERE p.word = v.word AND u.n = b.best) END AS form FROM v LEFT JOIN b USING (word)),
+r(word, up, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT r.word, f.form, k + 1 FROM r JOIN f ON f.word = r.up WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, arg_max(r.up, r.k) AS root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) GROUP BY ALL""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+o AS (SELECT doc_id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 10), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL), q AS (SELECT DISTINCT lang, source FROM d),
+g AS (SELECT q.lang, q.source, coalesce(sum(n.n), 0)::HUGEINT AS total FROM q LEFT JOIN n USING (lang, source) GROUP BY ALL),
+m AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (g.total + 2 * v.v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+w AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n.n) + 2)) // ((SELECT sum(x.n) FROM n x WHERE x.lang = n.lang) + 2 * any_value(v.v)) AS q FROM n JOIN v USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM q a JOIN q b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT m.lang, m.source, 'term', m.term, ((m.p - w.q) * (m.p - w.q) // (m.p + w.q))::BIGINT FROM m JOIN w USING (lang, term) WHERE m.n > 0 AND m.p > w.q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 10""",
 }
