@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..fixtures import r4
 from ..functions import geometry as g
-from ..functions import linalg
+from ..functions import linalg, rand
 from ..operators import mesh as M
 from ..operators import neighbors as nn
 from ..operators import segmentation as S
 from ..operators import trajectory as T
 from ..plans import evaluation as E
-from ..plans import geometric  # noqa: F401  (registers the baseline method)
+from ..plans import geometric
 from ..plans import registration as R
 from ..session import shared_dir
 from ..sources import poses as P
@@ -148,9 +149,42 @@ def _(fx):
     return R.get_method("proposed")(*_sides(fx), CFG)
 
 
-@query("c03_geometry_registration")
+def _turned(df, names=nn.XYZ):
+    """Turned by 30 degrees about the vertical and shifted by (1, 2, 0.5)."""
+    c, s = math.cos(math.pi / 6), math.sin(math.pi / 6)
+    x, y, z = (F.col(a) for a in nn.XYZ)
+    return df.withColumns(dict(zip(names, (x * c - y * s + 1.0, x * s + y * c + 2.0, z + 0.5))))
+
+
+TURNED_SQL = "r4(sqrt(3) / 2) AS m00, -0.5::DOUBLE AS m01, 0.0::DOUBLE AS m02, 1.0::DOUBLE AS m22, 1.0::DOUBLE AS t0, 2.0::DOUBLE AS t1, 0.5::DOUBLE AS t2"
+TURNED = ("m00", "m01", "m02", "m22", "t0", "t1", "t2")
+
+
+@query("c03_geometry_registration", f"SELECT 'scene' AS scene_id, {TURNED_SQL}")
+def _(fx):
+    """A cloud against its turned self, with the default number of hypotheses. Voxels are so small that they move with the cloud; their
+    normals are upright, which a turn about the vertical keeps."""
+    src, _dst = _sides(fx)
+    cfg = R.Config(voxel_size=0.001, feature_radius=0.5)
+    return R.get_method("baseline")(src, _turned(src.drop("trial_id")), cfg).select("scene_id", *[r4(c).alias(c) for c in TURNED])
+
+
+@query(
+    "c03_hypothesis_rounds",
+    f"""SELECT 'scene' AS scene_id, k::BIGINT AS trial_id, count(*) FILTER (point_id % k = 0) AS hits, true AS confident, {TURNED_SQL}
+    FROM fx_cloud, (VALUES (1), (2), (4)) AS v(k) WHERE side = 0 GROUP BY k""",
+)
 def _(fx):
-    return R.get_method("baseline")(*_sides(fx), CFG)
+    """Matches of three runs, of which all, a half and a quarter are true."""
+    src, _dst = _sides(fx)
+    every = src.drop("trial_id").withColumn("trial_id", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 4)])))
+    moved = _turned(every.withColumns({f"s{a}": F.col(a) for a in nn.XYZ}))
+    true = F.col("point_id") % F.col("trial_id") == 0
+    ends = [F.when(true, F.col(a)).otherwise(rand.uniform("point_id", "trial_id", seed=i) * 10.0).alias(f"d{a}") for i, a in enumerate(nn.XYZ)]
+    matches = moved.select(*R.SRC, F.col("point_id").alias("src_id"), F.col("point_id").alias("dst_id"), "sx", "sy", "sz", *ends)
+    found = geometric.search_hypotheses(matches, R.Config(hypothesis_dist=0.02))
+    confident = (F.col("drawn") >= F.col("needed")) & (F.col("needed") < R.Config.hypotheses)
+    return found.select(*R.SRC, "hits", confident.alias("confident"), *[r4(c).alias(c) for c in TURNED])
 
 
 @query("c04_point_to_point")
@@ -165,12 +199,22 @@ def _scene_mesh(fx):
     return v, M.gather_corners(t, v, ["scene_id"])
 
 
-@query("c06_reconstruction_evaluation")
+@query("c06_reconstruction_evaluation", "SELECT 'scene' AS scene_id, 450000::BIGINT AS n_points, true AS accuracy_near, true AS completion_near, true AS ratio_near")
 def _(fx):
+    """A mesh shifted by 5 cm against itself. Once aligned, n even draws on an area A lie sqrt(A / n) / 2 from their nearest in the mean,
+    and closer than r with a chance of 1 - exp(-pi r^2 n / A); where sheets cross, somewhat closer."""
+    n = 450_000
     v, faces = _scene_mesh(fx)
     shifted = v.withColumn("x", F.col("x") + 0.05)
     moved = faces.withColumns({f"p{i}x": F.col(f"p{i}x") + 0.05 for i in range(3)})
-    return E.reconstruction_evaluation(moved, faces, shifted, v, n_points=450_000, gate=0.2)
+    scores = E.reconstruction_evaluation(moved, faces, shifted, v, n_points=n, gate=0.2)
+    area = M.face_geometry(faces).groupBy("scene_id").agg(F.sum("area").alias("area"))
+    mean = F.sqrt(F.col("area") / n) * 50.0
+    ratio = (1.0 - F.exp(-math.pi * 0.05**2 * n / F.col("area"))) * 100.0
+    near = lambda c: F.col(c).between(mean * 0.9, mean * 1.05)
+    return scores.join(area, "scene_id").select(
+        "scene_id", F.lit(n).cast("long").alias("n_points"), near("accuracy_cm").alias("accuracy_near"), near("completion_cm").alias("completion_near"), F.col("completion_ratio_pct").between(ratio - 0.5, ratio + 4.0).alias("ratio_near")
+    )
 
 
 @query("c08_robustness_benchmark")

@@ -1,14 +1,14 @@
 """Exact nearest-neighbour joins on grid-cell keys.
 
-Two strategies share one contract. Every result is exact, ties go to the lowest destination id,
+The strategies share one contract. Every result is exact, ties go to the lowest destination id,
 and no task ever sees all pairs of a dense region:
 
 * ``gated`` search with cells as wide as the gate: the destination is copied to its 27 neighbour
   cells once and the join is an equi-join.  Used when a counted limit on points per cell holds.
-* ``descent`` over cells halved level by level: a source cell keeps only the destination cells that
-  can still hold one of its k nearest points. Cell tables shrink with the level, so almost all
-  pruning happens on tables far smaller than the points, and the last join meets leaf cells with a
-  bounded number of points however unevenly the points lie.
+* the single closest point without a gate, or in cells that are too full, comes from the packed tree
+  of ``packed``, whose nodes hold equally many points whatever their density.
+* several neighbours in too full cells come from a ``descent`` over cells halved level by level: a
+  source cell keeps only the destination cells that can still hold one of its k nearest points.
 
 Identical destination points are collapsed first, so a pile of copies counts once.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import packed
 from .skew import hot_keys, salted_join
 
 XYZ = ("x", "y", "z")
@@ -218,11 +219,6 @@ def spread_destination(dst: DataFrame, keys, h: float) -> DataFrame:
     return out
 
 
-def _point_lists(points: DataFrame, keys) -> DataFrame:
-    """One row per cell with its points; the grid plan has counted that the lists are short."""
-    return points.groupBy(*keys, *CELL).agg(F.collect_list(F.struct("dst_id", "dx", "dy", "dz")).alias("_pts"))
-
-
 def index_destination(dst: DataFrame, keys, grid: Grid) -> DataFrame:
     """The probe-ready form of a destination for gated search; worth caching when probed often.
 
@@ -234,15 +230,6 @@ def index_destination(dst: DataFrame, keys, grid: Grid) -> DataFrame:
     return spread.withColumn("rank", F.row_number().over(w))
 
 
-def _closest_of_list() -> Column:
-    def score(p):
-        d = [p["d" + a] - F.col("s" + a) for a in XYZ]
-        d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-        return F.struct(d2.alias("d2"), p["dst_id"].alias("dst_id"), p["dx"].alias("dx"), p["dy"].alias("dy"), p["dz"].alias("dz"))
-
-    return F.array_min(F.transform("_pts", score))
-
-
 def _probe(src: DataFrame, keys, h: float, names=CELL) -> DataFrame:
     return src.select(*keys, "src_id", *[F.col(a).alias("s" + a) for a in XYZ], *_cells(h, names))
 
@@ -318,16 +305,10 @@ def nearest(src: DataFrame, dst: DataFrame, keys=(), radius: float | None = None
     ``keys, src_id, dst_id, d2, dx, dy, dz``. With a radius, sources without a hit are absent.
     """
     keys = list(keys)
-    spots = _distinct_points(dst, keys, 1)
-    grid = grid or plan_grid(src, dst, keys, radius)
-    if grid.gated:
+    grid = grid or (plan_grid(src, dst, keys, radius) if radius is not None else None)
+    if grid is not None and grid.gated:
         return probe_index(src, index_destination(dst, keys, grid), keys, grid, radius, inclusive)
-    probe, hot = _leaf_probe(src, spots, keys, grid, 1, radius)
-    lists = _point_lists(_leaves(spots, keys, grid.width(grid.levels)), keys)
-    per_cell = salted_join(probe, lists, keys + list(CELL), [F.col("src_id")], hot).select(*keys, "src_id", _closest_of_list().alias("_b"))
-    best = per_cell.groupBy(*keys, "src_id").agg(F.min("_b").alias("_b"))
-    out = best.select(*keys, "src_id", "_b.dst_id", "_b.d2", "_b.dx", "_b.dy", "_b.dz")
-    return out.filter(_gate(radius, inclusive))
+    return packed.nearest(src, dst, keys, radius).filter(_gate(radius, inclusive))
 
 
 def neighborhoods(src: DataFrame, dst: DataFrame, radius: float | None, max_nn: int, keys=(), inclusive: bool = True, grid: Grid | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Geometry-only registration: local shape histograms, mutual matches, scored hypotheses, refinement.
 
 No labels are used. Neighbour pairs come from the grid search with at most ``feature_max_nn`` rows
-per point, the number of hypotheses per cloud is a parameter, and each hypothesis is scored by sums
-that combine before the shuffle.
+per point, hypotheses are drawn in rounds until a stated confidence, and each hypothesis is scored by
+sums that combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -68,36 +68,92 @@ def shape_histograms(cloud: DataFrame, keys, radius: float, max_nn: int) -> Data
     return cells.select(*keys, F.col("src_id").alias("point_id"), vec.alias("vec"))
 
 
-def hypotheses(matches: DataFrame, cfg: Config, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rigid transforms from random groups of four matches that each fit their own group, and the
-    numbered matches they were drawn from."""
-    numbered = materialize(rank_within(matches.withColumn("_u", rand.uniform(*SRC, "src_id", "dst_id", seed=seed)), SRC, ["_u", "src_id"], "i").drop("_u"), "matches")
-    sizes = numbered.groupBy(*SRC).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 4")
-    slots = F.explode(F.sequence(F.lit(0), F.lit(3)))
-    draws = (
-        sizes.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(cfg.hypotheses - 1))))
-        .withColumn("slot", slots)
-        .withColumn("i", F.floor(rand.uniform(*SRC, "candidate", "slot", seed=seed + 1) * F.col("_n")))
-    )
-    # Draws with a repeated match cannot define a rotation and are dropped.
-    picked = draws.select(*RUN, "i").distinct().join(numbered, [*SRC, "i"])
-    whole = picked.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n")).filter("n = 4").select(*RUN)
-    groups = materialize(picked.join(whole, RUN, "left_semi"), "draws")
-    solved = fit.umeyama(groups, RUN, with_scaling=False).select(*RUN, *SIM3)
-    moved = g.apply_sim3(*g.sim3(), g.vec("sx", "sy", "sz"))
-    gap = g.norm(g.sub(moved, g.vec("dx", "dy", "dz")))
-    fits = groups.join(solved, RUN).groupBy(*RUN).agg(F.max(gap).alias("worst")).filter(F.col("worst") < cfg.hypothesis_dist)
-    return materialize(solved.join(fits.select(*RUN), RUN), "hypotheses"), numbered
+def distinct_draws(draws: DataFrame, size: str, of, seed: int) -> DataFrame:
+    """Four different numbers below ``size`` for each row, as ``i0`` to ``i3``: the k-th is drawn from ``size - k`` places and moved past
+    those taken before it."""
+    taken: list = []
+    for k in range(4):
+        u = F.floor(rand.uniform(*of, F.lit(k), seed=seed) * (F.col(size) - k)).cast("long")
+        for_taken = F.array_sort(F.array(*taken)) if taken else None
+        place = F.aggregate(for_taken, u, lambda v, t: v + F.when(v >= t, 1).otherwise(0)) if taken else u
+        draws = draws.withColumn(f"i{k}", place)
+        taken.append(F.col(f"i{k}"))
+    return draws
 
 
-def best_hypothesis(solved: DataFrame, matches: DataFrame, cfg: Config) -> DataFrame:
-    """Most matches within reach, then the smallest error; the identity where none survived."""
+def _gap():
     moved = g.apply_sim3(*g.sim3(), g.vec("sx", "sy", "sz"))
-    gap = g.norm(g.sub(moved, g.vec("dx", "dy", "dz")))
-    near = gap < cfg.hypothesis_dist
-    scored = matches.join(solved, SRC).groupBy(*RUN, *SIM3).agg(F.sum(near.cast("long")).alias("hits"), F.avg(F.when(near, gap * gap)).alias("err"))
-    order = F.struct(F.col("hits"), -F.coalesce("err", F.lit(float("inf"))), -F.col("candidate"))
-    return scored.groupBy(*SRC).agg(F.max_by(F.struct(*SIM3), order).alias("b")).select(*SRC, "b.*")
+    return g.norm(g.sub(moved, g.vec("dx", "dy", "dz")))
+
+
+def fitted_groups(draws: DataFrame, numbered: DataFrame, reach: float) -> DataFrame:
+    """``RUN, sim3`` of the drawn groups whose own transform brings each of their matches within reach.
+
+    A group whose edges differ by twice the reach between source and destination can't fit, and is dropped before it is solved.
+    """
+    match = F.struct("slot", "sx", "sy", "sz", "dx", "dy", "dz")
+    slots = draws.select(*RUN, F.posexplode(F.array(*[f"i{k}" for k in range(4)])).alias("slot", "i"))
+    groups = slots.join(numbered, [*SRC, "i"]).groupBy(*RUN).agg(F.sort_array(F.collect_list(match)).alias("m"))
+    edge = lambda a, b, side: g.norm([F.col("m")[a][side + x] - F.col("m")[b][side + x] for x in nn.XYZ])
+    fits = None
+    for a in range(4):
+        for b in range(a + 1, 4):
+            same = F.abs(edge(a, b, "s") - edge(a, b, "d")) <= 2.0 * reach * (1 + 1e-9)
+            fits = same if fits is None else fits & same
+    rows = materialize(groups.filter(fits).select(*RUN, F.explode("m").alias("p")).select(*RUN, "p.*").drop("slot"), "groups")
+    solved = materialize(fit.umeyama(rows, RUN, with_scaling=False).select(*RUN, *SIM3), "solved")
+    worst = rows.join(solved, RUN).groupBy(*RUN).agg(F.max(_gap()).alias("worst")).filter(F.col("worst") < reach)
+    return solved.join(worst.select(*RUN), RUN)
+
+
+def scored_hypotheses(solved: DataFrame, numbered: DataFrame, reach: float, per_task: int = 1024) -> DataFrame:
+    """Matches within reach and their mean squared error for each hypothesis. Hypotheses are dealt into buckets that each meet the
+    matches of their run, so no run is one task."""
+    bucket = F.shiftright("candidate", per_task.bit_length() - 1)
+    dealt = solved.withColumn("bucket", bucket)
+    buckets = dealt.select(*SRC, "bucket").distinct()
+    pairs = numbered.join(buckets, SRC).join(dealt, [*SRC, "bucket"])
+    near = F.col("gap") < reach
+    return pairs.withColumn("gap", _gap()).groupBy(*RUN, *SIM3).agg(F.sum(near.cast("long")).alias("hits"), F.avg(F.when(near, F.col("gap") * F.col("gap"))).alias("err"))
+
+
+def search_hypotheses(matches: DataFrame, cfg: Config, seed: int = 0, trace: list | None = None) -> DataFrame:
+    """Rounds of random hypotheses for all runs in lockstep: ``SRC, n, drawn, needed, hits, err, sim3``, NULL where nothing fitted.
+
+    A run draws until the chance to have missed a group of true matches is below ``1 - confidence``: with a share w of its matches
+    within reach of the best transform, after log(1 - confidence) / log(1 - w^4) draws; at most ``hypotheses``. Each round doubles
+    the draws, runs that are done draw no more. The best has most matches within reach, then the smallest error, then came first.
+    ``trace`` receives the table of each round.
+    """
+    order = rank_within(matches.withColumn("_u", rand.uniform(*SRC, "src_id", "dst_id", seed=seed)), SRC, ["_u", "src_id", "dst_id"], "i").drop("_u")
+    numbered = materialize(order, "matches")
+    none = [F.lit(None).cast("double").alias(c) for c in ("err", *SIM3)]
+    sizes = numbered.groupBy(*SRC).agg(F.count(F.lit(1)).alias("n")).filter("n >= 4")
+    start = [F.lit(0).cast("long").alias("drawn"), F.lit(cfg.hypotheses).cast("long").alias("needed"), F.lit(0).cast("long").alias("hits"), F.lit(None).cast("long").alias("candidate")]
+    state = materialize(sizes.select(*SRC, "n", *start, *none), "rounds")
+    size = cfg.first_draws
+    while True:
+        active = state.filter("drawn < needed")
+        if active.isEmpty():
+            return state
+        upto = F.least(F.col("drawn") + size, F.col("needed"))
+        draws = active.select(*SRC, "n", F.explode(F.sequence("drawn", upto - 1)).alias("candidate"))
+        draws = distinct_draws(draws, "n", (*SRC, "candidate"), seed + 1)
+        solved = materialize(fitted_groups(draws, numbered, cfg.hypothesis_dist), "hypotheses")
+        score = F.struct("hits", (-F.coalesce("err", F.lit(float("inf")))).alias("e"), (-F.col("candidate")).alias("c"))
+        scored = scored_hypotheses(solved, numbered, cfg.hypothesis_dist)
+        best = scored.groupBy(*SRC).agg(F.max_by(F.struct("hits", "err", "candidate", *SIM3), score).alias("b"))
+        j = state.join(best, SRC, "left")
+        won = F.coalesce((F.col("b.hits") > F.col("hits")) | ((F.col("b.hits") == F.col("hits")) & F.coalesce(F.col("b.err") < F.col("err"), F.lit(True))), F.lit(False))
+        kept = {c: F.when(won, F.col(f"b.{c}")).otherwise(F.col(c)).alias(c) for c in ("hits", "candidate", "err", *SIM3)}
+        j = j.select(*SRC, "n", F.when(F.col("drawn") < F.col("needed"), upto).otherwise(F.col("drawn")).alias("drawn"), "needed", *kept.values())
+        share = F.col("hits") / F.col("n")
+        enough = F.ceil(math.log(1.0 - cfg.confidence) / F.log(1.0 - share**4)).cast("long")
+        needed = F.when(F.col("hits") == 0, F.lit(cfg.hypotheses)).when(F.col("hits") == F.col("n"), F.lit(1)).otherwise(F.least(F.lit(cfg.hypotheses).cast("long"), enough))
+        state = materialize(j.withColumn("needed", needed.cast("long")), "rounds")
+        if trace is not None:
+            trace.append(state)
+        size = min(2 * size, cfg.most_draws)
 
 
 @register_method("baseline")
@@ -114,8 +170,7 @@ def geometric_registration(src: DataFrame, dst: DataFrame, cfg: Config, trace: l
     dp = d.select(*DST, F.col("point_id").alias("b_id"), *[F.col(x).alias("d" + x) for x in nn.XYZ])
     cols = [F.col("a_id").alias("src_id"), F.col("b_id").alias("dst_id")]
     matches = m.join(sp, [*SRC, "a_id"]).join(dp, [*DST, "b_id"]).select(*SRC, *cols, "sx", "sy", "sz", "dx", "dy", "dz")
-    solved, numbered = hypotheses(matches, cfg)
-    best = best_hypothesis(solved, numbered, cfg)
+    best = search_hypotheses(materialize(matches, "matches"), cfg).filter("hits > 0").select(*SRC, *SIM3)
     eye = {c: F.coalesce(F.col(c), F.lit(1.0 if c in ("m00", "m11", "m22") else 0.0)) for c in SIM3}
     init = trials.join(best, SRC, "left").withColumns(eye).withColumn("candidate", F.lit(0))
     icp = Config(max_iter=cfg.icp_iters, max_corr_dist=cfg.icp_dist, tukey_c=None, with_scaling=True, convergence_delta=1e-6)

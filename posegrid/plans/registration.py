@@ -51,7 +51,10 @@ class Config:
     feature_radius: float = 0.25
     feature_max_nn: int = 100
     hypothesis_dist: float = 0.075
-    hypotheses: int = 4000
+    hypotheses: int = 4_000_000
+    confidence: float = 0.999
+    first_draws: int = 1024  # of a run in the first round; each round doubles them
+    most_draws: int = 131_072
     icp_dist: float = 0.15
     icp_iters: int = 30
     # perturbation benchmark

@@ -29,7 +29,7 @@ def test_search_equals_brute_force(spark, clustered):
     pa, a = _cloud(spark, rng, 300, "src_id", clustered)
     pb, b = _cloud(spark, rng, 400, "dst_id", clustered)
     d = _distances(pa, pb)
-    free = nn.nearest(a, b, ["g"], grid=nn.plan_grid(a, b, ["g"], leaf=16)).toPandas().set_index("src_id").sort_index()
+    free = nn.nearest(a, b, ["g"]).toPandas().set_index("src_id").sort_index()
     assert (free.dst_id.to_numpy() == d.argmin(1)).all()
     hit = np.sqrt(d.min(1)) < 0.4
     for grid in (nn.Grid(0.4, 0, True), nn.Grid(0.4, 2, False)):
@@ -67,3 +67,43 @@ def test_salted_join_keeps_every_row(spark):
     hot = hot_keys(probe.groupBy("k").count(), ["k"], 100)
     out = salted_join(probe, build, ["k"], [F.col("id")], hot)
     assert out.count() == 1000 and out.filter("v != k * 10").count() == 0
+
+
+def _tree_equals_brute_force(spark, p, q, radius=None):
+    from posegrid.operators import packed
+
+    src = spark.createDataFrame(pd.DataFrame({"src_id": np.arange(len(p)), **{a: p[:, i] for i, a in enumerate("xyz")}}))
+    dst = spark.createDataFrame(pd.DataFrame({"dst_id": np.arange(len(q))[::-1], **{a: q[:, i] for i, a in enumerate("xyz")}}))
+    got = packed.nearest(src, dst, radius=radius).toPandas().set_index("src_id").sort_index()
+    d = np.stack([((x - q) ** 2)[:, 0] + ((x - q) ** 2)[:, 1] + ((x - q) ** 2)[:, 2] for x in p])[:, ::-1]
+    keep = d.min(1) <= (np.inf if radius is None else radius * radius)
+    assert list(got.index) == list(np.flatnonzero(keep))
+    assert (got.d2.to_numpy() == d.min(1)[keep]).all() and (got.dst_id.to_numpy() == d.argmin(1)[keep]).all()
+
+
+def test_most_sources_in_one_cell(spark):
+    rng = np.random.default_rng(8)
+    p = rng.uniform(size=(9000, 3)) * 100
+    p[:8100] = 50 + p[:8100] * 1e-9
+    _tree_equals_brute_force(spark, p, rng.uniform(size=(6000, 3)) * 100)
+
+
+def test_sources_amid_a_shell_meet_every_leaf_in_parts(spark, monkeypatch):
+    from posegrid.operators import packed
+
+    monkeypatch.setattr(packed, "PART_LEAVES", 10)
+    rng = np.random.default_rng(9)
+    q = rng.normal(size=(5000, 3))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    _tree_equals_brute_force(spark, rng.normal(size=(300, 3)) * 1e-4, q)
+    _tree_equals_brute_force(spark, np.zeros((2, 3)), np.array([[1.0, 0, 0], [0, -1.0, 0], [0, 0, 1.0], [1.0, 0, 0]]))
+
+
+def test_tree_on_piles_gates_and_empty_tables(spark):
+    rng = np.random.default_rng(10)
+    q = rng.normal(size=(3000, 3))
+    q[:1500] = q[0]
+    _tree_equals_brute_force(spark, np.vstack([q[:500], rng.normal(size=(500, 3)) * 3]), q, 0.3)
+    src = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "src_id long, x double, y double, z double")
+    dst = src.withColumnRenamed("src_id", "dst_id")
+    assert nn.nearest(src, dst.limit(0)).count() == 0 and nn.nearest(src.limit(0), dst).count() == 0

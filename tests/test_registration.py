@@ -141,3 +141,32 @@ def test_runs_without_a_transform_are_no_successes(spark):
 
     trials = spark.createDataFrame([("m", 1.0, 0.0, 0.0), ("m", None, None, None)], "method string, rot_deg double, trans double, scale_ratio double")
     assert benchmark_summary(trials).first().success_rate == 0.5
+
+
+def test_draws_never_repeat_a_match(spark):
+    from posegrid.plans import geometric
+
+    rows = spark.range(3000).select(F.col("id").alias("candidate"), (F.col("id") % 7 + 4).alias("n"))
+    d = geometric.distinct_draws(rows, "n", ["candidate"], 3).select("n", F.array(*[f"i{k}" for k in range(4)]).alias("i"))
+    assert d.filter((F.size(F.array_distinct("i")) < 4) | (F.array_min("i") < 0) | (F.array_max("i") >= F.col("n"))).count() == 0
+    # every place is drawn about equally often
+    share = d.filter("n = 4").select(F.explode("i").alias("i")).groupBy("i").count().toPandas()
+    assert len(share) == 4 and share["count"].nunique() == 1
+
+
+def test_rounds_stop_at_the_stated_confidence(spark):
+    from posegrid.plans import geometric
+    from posegrid.plans import registration as R
+
+    pts = spark.range(120).select(F.lit("s").alias("scene_id"), F.lit(0).cast("long").alias("trial_id"), F.col("id").alias("src_id"), F.col("id").alias("dst_id"), *[(F.col("id") * k % 101 / 10.0).alias("s" + a) for a, k in zip("xyz", (7, 13, 29))])
+    true = F.col("src_id") % 3 == 0
+    matches = pts.select("*", *[F.when(true, F.col("s" + a) + 1.0).otherwise(F.col("src_id") * k % 89 / 8.0).alias("d" + a) for a, k in zip("xyz", (31, 17, 3))])
+    matches = matches.unionByName(pts.limit(3).withColumn("trial_id", F.lit(1).cast("long")).select("*", *[F.col("s" + a).alias("d" + a) for a in "xyz"]))  # too few
+    trace = []
+    (got,) = geometric.search_hypotheses(matches, R.Config(hypothesis_dist=0.01, first_draws=64), trace=trace).collect()
+    assert got.n == 120 and got.hits == 40 and abs(got.t0 - 1) < 1e-6 and abs(got.m00 - 1) < 1e-6
+    assert got.needed == 557 and got.needed <= got.drawn < 2 * got.needed  # log(0.001) / log(1 - 3**-4), rounded up
+    assert [t.first()["drawn"] for t in trace] == sorted(t.first()["drawn"] for t in trace) and len(trace) <= 5
+    scrambled = matches.withColumns({"d" + a: F.xxhash64("src_id", F.lit(i)) % 1000 / 10.0 for i, a in enumerate("xyz")})
+    (lost,) = geometric.search_hypotheses(scrambled, R.Config(hypothesis_dist=1e-9, hypotheses=300, first_draws=200)).collect()
+    assert lost.drawn == 300 and lost.hits == 0 and lost.m00 is None
