@@ -104,6 +104,49 @@ def _(fx):
     return E.trajectory_evaluation(fx.pose, fx.pose_est)
 
 
+#: Stamps of one sequence that stand alone: a frame and its twin 0.2 s later must not meet another frame's.
+ALONE_SQL = """WITH p AS (SELECT seq_id, ts, any_value(tx) AS tx, any_value(ty) AS ty, any_value(tz) AS tz, count(*) AS n FROM fx_pose GROUP BY seq_id, ts),
+    o AS (SELECT *, lag(ts) OVER w AS prev, lead(ts) OVER w AS next FROM p WINDOW w AS (PARTITION BY seq_id ORDER BY ts)),
+    q AS (SELECT * FROM o WHERE n = 1 AND coalesce(ts - prev, 9) > 1 AND coalesce(next - ts, 9) > 1)"""
+
+
+def _timed_tracks(fx):
+    """Each frame twice, the second time 0.2 s later; the estimate is turned, half as large, 0.5 s late, and 1 to 5 cm (by sequence) off
+    upwards at the first time and downwards at the second, which leaves the best alignment as it is."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("seq_id").orderBy("ts")
+    p = fx.pose.groupBy("seq_id", "ts").agg(F.count(F.lit(1)).alias("n"), *[F.min("t" + a).alias("t" + a) for a in nn.XYZ])
+    p = p.withColumns({"prev": F.lag("ts").over(w), "next": F.lead("ts").over(w)}).filter("n = 1 AND coalesce(ts - prev, 9) > 1 AND coalesce(next - ts, 9) > 1")
+    both = p.withColumn("twin", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ts", F.col("ts") + F.col("twin") * 0.2)
+    off = (F.col("seq_id") % 5 + 1) * 0.01 * (1 - 2 * F.col("twin"))
+    est = _turned(both.select("seq_id", F.col("tx").alias("x"), F.col("ty").alias("y"), (F.col("tz") + off).alias("z"), (F.col("ts") - 0.497).alias("ts")))
+    return both.select("seq_id", "ts", "tx", "ty", "tz"), est.select("seq_id", "ts", *[(F.col(a) / 2.0).alias("t" + a) for a in nn.XYZ])
+
+
+@query(
+    "c07_timed_evaluation",
+    ALONE_SQL + """ SELECT seq_id, 2 * count(*) AS pairs, seq_id % 5 + 1.0::DOUBLE AS rmse, seq_id % 5 + 1.0::DOUBLE AS mean, 0.0::DOUBLE AS std,
+    seq_id % 5 + 1.0::DOUBLE AS min, seq_id % 5 + 1.0::DOUBLE AS max, seq_id % 5 + 1.0::DOUBLE AS median FROM q GROUP BY seq_id""",
+)
+def _(fx):
+    stats, _pairs, _aligned = E.timed_trajectory_evaluation(*_timed_tracks(fx), offset=0.5, scale=2.0)
+    return stats.select("seq_id", "pairs", *[r4(c).alias(c) for c in ("rmse", "mean", "std", "min", "max", "median")])
+
+
+@query(
+    "c07_association_lines",
+    ALONE_SQL + """ SELECT seq_id, round(ts + 0.2 * k, 6) AS a, round(ts + 0.2 * k - 0.497, 6) AS b, r4(tx) AS ax, r4(ty) AS ay, r4(tz) AS az FROM q, (VALUES (0), (1)) AS v(k)""",
+)
+def _(fx):
+    _stats, pairs, _aligned = E.timed_trajectory_evaluation(*_timed_tracks(fx), offset=0.5, scale=2.0)
+    path = _scratch(fx, "associations")
+    sinks.write_associations(pairs, path)
+    v = F.split("value", " ").cast("array<double>")
+    lines = fx.spark.read.text(path).select(F.col("seq_id").cast("long").alias("seq_id"), v.alias("v"))
+    return lines.select("seq_id", F.col("v")[0].alias("a"), F.col("v")[4].alias("b"), *[r4(F.col("v")[i]).alias(c) for i, c in ((1, "ax"), (2, "ay"), (3, "az"))])
+
+
 ERR = "degrees(acos(least(greatest(((a.m00*b.m00+a.m01*b.m01+a.m10*b.m10+a.m11*b.m11+a.m22*b.m22)/(a.s*b.s)-1.0)/2.0,-1.0),1.0)))"
 
 

@@ -12,7 +12,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 ROWS_PER_BLOCK = 2_000_000
+ID_BITS = 33  # row numbers inside a partition, as ``monotonically_increasing_id`` lays them out
+
+
+def numbered(df: DataFrame, order, name: str, drop=()) -> tuple[DataFrame, int]:
+    """The rows written in order, with ``_at``, their number in it, and the bits the numbers take. A range shuffle sorts them, so numbers
+    grow along the order and leave gaps only between partitions; shifted right, they name runs of bounded length."""
+    order = list(order)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*drop).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(placed, name)
+    row = F.col("_id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    width, parts = (int(v or 0).bit_length() for v in placed.agg(F.max(row), F.max(F.shiftright("_id", ID_BITS))).first())
+    return placed.withColumn("_at", F.shiftleft(F.shiftright("_id", ID_BITS), width).bitwiseOR(row)).drop("_id"), width + parts
 
 
 def block_cuts(df: DataFrame, order: str, rows_per_block: int) -> list[float]:
@@ -43,6 +57,16 @@ def block_of(value: Column, cuts: list[float]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * k + fine)
 
 
+def _join_blocks(rows: DataFrame, blocks: DataFrame, on) -> DataFrame:
+    """Rows with the values of their block. Null-safe equality keeps the optimizer from copying the block expression to the other side,
+    where its inner lambda would lose the column it reads."""
+    named = blocks.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return rows.join(named, same).drop(*[f"_r_{c}" for c in on])
+
+
 def rank_within(df: DataFrame, keys, order, out: str = "rn", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """0-based position of each row within its keys, ordered by ``order`` (first one numeric)."""
     keys, order = list(keys), list(order)
@@ -60,7 +84,7 @@ def rank_within(df: DataFrame, keys, order, out: str = "rn", rows_per_block: int
     w = Window.partitionBy(*keys, "_blk").orderBy(*order)
     return (
         b.withColumn(out, F.row_number().over(w).cast("long") - 1)
-        .join(offsets, keys + ["_blk"])
+        .transform(_join_blocks, offsets, [*keys, "_blk"])
         .withColumn(out, F.col(out) + F.col("_off"))
         .drop("_blk", "_off")
     )
@@ -134,7 +158,7 @@ def percentiles(df: DataFrame, keys, value: str, outputs: dict[str, float], lowe
         .select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("_tot"))
     )
     run = Window.partitionBy(*keys, "_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("_c", F.sum("count").over(run)).join(blocks, keys + ["_blk"]).withColumn("_c", F.col("_c") + F.col("_off"))
+    cum = _join_blocks(hist.withColumn("_c", F.sum("count").over(run)), blocks, [*keys, "_blk"]).withColumn("_c", F.col("_c") + F.col("_off"))
     aggs = []
     for n, p in outputs.items():
         if lower:

@@ -28,8 +28,18 @@ def write_trajectory(deviation: DataFrame, path: str) -> None:
     out.write.mode("overwrite").csv(path, header=True)
 
 
+def _six_decimals(df: DataFrame, columns) -> DataFrame:
+    return df.select("seq_id", F.concat_ws(" ", *[F.format_string("%.6f", F.col(c)) for c in columns]).alias("line"))
+
+
 def write_associations(pairs: DataFrame, path: str) -> None:
-    pairs.write.mode("overwrite").csv(path, sep=" ")
+    """Lines ``a ax ay az b bx by bz`` of matched stamps, in a folder for each sequence."""
+    _six_decimals(pairs, ["a", "ax", "ay", "az", "b", "bx", "by", "bz"]).repartition("seq_id").write.mode("overwrite").partitionBy("seq_id").text(path)
+
+
+def write_aligned(track: DataFrame, path: str) -> None:
+    """Lines ``ts x y z`` of aligned trajectories, in a folder for each sequence."""
+    _six_decimals(track, ["ts", "tx", "ty", "tz"]).repartition("seq_id").write.mode("overwrite").partitionBy("seq_id").text(path)
 
 
 def save_transform(transform: DataFrame, path: str) -> None:

@@ -79,3 +79,38 @@ def test_one_to_one_equals_greedy(spark):
         fb = spark.createDataFrame([(float(x),) for x in b], "ts double")
         got = matching.match_one_to_one(fa, fb, max_difference=1.0).toPandas()
         assert set(zip(got.a, got.b)) == want
+
+
+def greedy(a, b, gate):
+    """Best-first pairs over all candidates."""
+    left, right, out = set(a), set(b), []
+    for _, x, y in sorted((abs(x - y), x, y) for x in a for y in b if abs(x - y) < gate):
+        if x in left and y in right:
+            left.discard(x)
+            right.discard(y)
+            out.append((x, y))
+    return sorted(out)
+
+
+def test_blocks_of_stamps_pair_like_one(spark):
+    from posegrid.operators import matching
+
+    rng = np.random.default_rng(21)
+    for gate, span in ((0.5, 400), (3.0, 60)):
+        a, b = (sorted(set(np.round(rng.uniform(0, span, 300), 2).tolist())) for _ in range(2))
+        fa, fb = (spark.createDataFrame([(x,) for x in v], "ts double") for v in (a, b))
+        got = matching.match_one_to_one(fa, fb, max_difference=gate, block_bits=5).collect()
+        assert sorted((r.a, r.b) for r in got) == greedy(a, b, gate)
+
+
+def test_growing_gaps_are_one_pass(spark, monkeypatch):
+    """A chain in which each pair hangs on the one before: rounds of mutual nearest stamps would need one round for each."""
+    from posegrid.operators import matching
+
+    n, rounds = 100_000, []
+    real = matching._solved_blocks
+    monkeypatch.setattr(matching, "_solved_blocks", lambda *x: rounds.append(1) or real(*x))
+    t = np.cumsum(1.0 + np.arange(n) * 1e-6)
+    stamps = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "ts": t}))
+    got = matching.match_one_to_one(stamps.filter("i % 2 = 0"), stamps.filter("i % 2 = 1"), max_difference=2.0, block_bits=15)
+    assert got.count() == n // 2 and got.filter("b < a").count() == 0 and len(rounds) <= 6
