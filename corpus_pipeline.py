@@ -24,10 +24,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; documents without an id are in no group."""
-    found = near_dup.near_duplicates(docs)
-    one = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(one, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near duplicates, the one with the smallest id. Rows are compared by their texts alone: of rows that share
+    an id, or lack one, all stay that are near nothing else."""
+    given = docs.columns
+    rows = near_dup.told_apart(docs, "doc_id", "text", "_row_no")
+    found = near_dup.near_duplicates(rows.select(F.col("_row_no").alias("doc_id"), "text"))
+    one = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row_no"))
+    kept = rows.join(one, "_row_no", "left_semi")
+    return kept.select(*(F.col(f"`{c}`") for c in given))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

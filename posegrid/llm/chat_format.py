@@ -59,6 +59,9 @@ def fingerprint(paths) -> str:
 
 
 BY_PRINT = {fingerprint(x.paths): x for x in LAYOUTS}
+BY_SIZE = sorted(LAYOUTS, key=lambda x: -len(x.paths))
+#: A field that may stand beside the fields of any layout.
+SYSTEM = "system"
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -87,11 +90,11 @@ def _message(role: str, text: str):
 def turns_of(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """id, place, role, text of a table whose column types say its layout. Null roles and texts are empty.
 
-    Columns that other layouts also name change the fingerprint; then the layout with the most fields among those present counts.
-    Raises if there is none.
+    Columns that other layouts also name change the fingerprint; then the layout with the most fields among those present counts. A
+    column ``system`` beside any layout but turn rows is a first turn. Raises if there is no layout.
     """
     paths = schema_paths(records.schema)
-    layout = BY_PRINT.get(fingerprint(paths)) or max((x for x in LAYOUTS if x.paths <= set(paths)), key=lambda x: len(x.paths), default=None)
+    layout = BY_PRINT.get(fingerprint(paths)) or next((x for x in BY_SIZE if x.paths <= set(paths)), None)
     if layout is None:
         raise ValueError(f"no mapping for the fields {sorted(paths)}")
     if layout.row:
@@ -102,22 +105,32 @@ def turns_of(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
     else:
         parts = [_turn(F.lit(i), F.lit(role), F.col(path)) for i, (role, path) in enumerate(layout.turns)]
         found = records.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array(*parts)).alias("t"))
+    if SYSTEM in paths and not layout.row and SYSTEM not in layout.paths:
+        said = records.filter(F.col(SYSTEM).isNotNull())
+        found = found.unionByName(said.select(F.col(f"`{id_col}`").alias("id"), _turn(F.lit(-1), F.lit(SYSTEM), F.col(SYSTEM)).alias("t")))
     return found.select("id", "t.*")
 
 
 def json_turns(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """id, fingerprint, layout, place, role, text of JSON records, each with a layout of its own.
 
-    A record of unknown layout, malformed or null, gives one row with a null layout, so that none is lost unseen.
+    Paths are those of all elements of a list, so a message may lack its role. A record whose fingerprint no layout has takes the
+    layout with the most fields among its own; a ``system`` text beside any layout is a first turn, at place -1. A record with the
+    fields of no layout, malformed or null, gives one row with a null layout, so that none is lost unseen.
     """
     lists = sorted({x.each[0] for x in LAYOUTS if x.each})
     rows = records.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{record_col}`").alias("record"))
     top = F.coalesce(F.json_object_keys("record"), F.array().cast("array<string>"))
-    nested = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object("record", f"$.{x}[0]")), F.array().cast("array<string>")), _prefixed(x)) for x in lists]
+    elements = lambda x: F.coalesce(F.from_json(F.get_json_object("record", f"$.{x}"), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
+    nested = [F.transform(F.array_distinct(F.flatten(F.transform(elements(x), lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))), _prefixed(x)) for x in lists]
     paths = F.array_intersect(F.concat(top, *nested), F.array(*map(F.lit, KNOWN)))
-    rows = rows.withColumn("fingerprint", F.sha2(F.array_join(F.array_sort(paths), "\n"), 256))
-    name, made = F.lit(None).cast("string"), F.lit(None).cast("array<struct<place:bigint,role:string,text:string>>")
-    for key, x in BY_PRINT.items():
+    rows = rows.withColumn("paths", paths).withColumn("fingerprint", F.sha2(F.array_join(F.array_sort("paths"), "\n"), 256))
+    prints = F.create_map(*(F.lit(v) for key, x in BY_PRINT.items() for v in (key, x.name)))
+    covered = F.coalesce(*(F.when(F.size(F.array_except(F.array(*map(F.lit, sorted(x.paths))), F.col("paths"))) == 0, x.name) for x in BY_SIZE))
+    rows = rows.withColumn("name", F.coalesce(prints[F.col("fingerprint")], covered))
+    system = F.get_json_object("record", f"$.{SYSTEM}")
+    made = F.lit(None).cast("array<struct<place:bigint,role:string,text:string>>")
+    for x in LAYOUTS:
         if x.each:
             items = F.from_json(F.get_json_object("record", f"$.{x.each[0]}"), f"array<struct<`{x.each[1]}`:string,`{x.each[2]}`:string>>")
             turns = F.transform(items, _message(x.each[1], x.each[2]))
@@ -125,8 +138,10 @@ def json_turns(records: DataFrame, id_col: str = "conv_id", record_col: str = "r
             turns = F.array(_turn(F.get_json_object("record", f"$.{x.row[0]}"), *(F.get_json_object("record", f"$.{c}") for c in x.row[1:])))
         else:
             turns = F.array(*(_turn(F.lit(i), F.lit(role), F.get_json_object("record", f"$.{path}")) for i, (role, path) in enumerate(x.turns)))
-        name, made = F.when(F.col("fingerprint") == key, x.name).otherwise(name), F.when(F.col("fingerprint") == key, turns).otherwise(made)
-    return rows.select("id", "fingerprint", name.alias("layout"), F.explode_outer(made).alias("t")).select("id", "fingerprint", "layout", "t.*")
+        if not x.row and SYSTEM not in x.paths:
+            turns = F.when(system.isNotNull(), F.concat(F.array(_turn(F.lit(-1), F.lit(SYSTEM), system)), turns)).otherwise(turns)
+        made = F.when(F.col("name") == x.name, turns).otherwise(made)
+    return rows.select("id", "fingerprint", F.col("name").alias("layout"), F.explode_outer(made).alias("t")).select("id", "fingerprint", "layout", "t.*")
 
 
 def escaped(text: Column) -> Column:

@@ -16,14 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow
+from .packing import word_table
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_TABLE: dict[str, str] = {}
+#: Ids of marked words by the path of their model: a worker outlives the query it was started for.
+_TABLES: dict[str, dict[str, str]] = {}
 #: Distinct marked words a worker remembers; beyond that it starts afresh.
 WORDS_KEPT = 300_000
 
 
+#: Texts that tell whether a model leaves texts as they are but for one marker before them.
+PROBES = ("Hello  big World", " a ", "ﬁne ① ＡＢ Ⅷ", "e\u0301 é\u00a0x", "tab\tline\nend\x00", "", "A" * 40)
+
+
 def crossing_pieces(model) -> list[str]:
     """Pieces with a marker after another character; with any of them words can't be segmented alone."""
     return [p for p in map(model.id_to_piece, range(model.get_piece_size())) if MARK in p.lstrip(MARK)]
@@ -37,23 +43,33 @@ class Codec:
         if crossing_pieces(self.model):
             raise ValueError("this model has pieces that cross word markers")
         self.end = self.model.eos_id()
+        self.table = word_table(_TABLES, path)
+        # a model that normalizes texts, or puts no marker first, is asked for whole texts
+        self.plain = True
+        self.plain = self.encode(list(PROBES)) == self._whole(list(PROBES))
+
+    def _whole(self, texts: list[str]) -> list[str]:
+        return ["".join(f"{i} " for i in ids) + str(self.end) for ids in self.model.encode(texts, num_threads=1)]
 
     def encode(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by one space, end id included."""
-        if len(_TABLE) > WORDS_KEPT:
-            _TABLE.clear()
+        if not self.plain:
+            return self._whole(texts)
+        known = self.table
+        if len(known) > WORDS_KEPT:
+            known.clear()
         # the model puts one marker before a text that is not empty
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         unknown: dict[str, None] = {}
         for words in split:
-            unknown.update(dict.fromkeys(w for w in words if w not in _TABLE))
+            unknown.update(dict.fromkeys(w for w in words if w not in known))
         fresh = list(unknown)
         for i in range(0, len(fresh), 10_000):
             part = fresh[i : i + 10_000]
             for w, ids in zip(part, self.model.encode([w[1:] for w in part], num_threads=1), strict=True):
                 # a lone marker is what the model adds to nothing, so it is asked for by its piece
-                _TABLE[w] = "".join(f"{i} " for i in ids) if len(w) > 1 else f"{self.model.piece_to_id(MARK)} "
-        return ["".join(map(_TABLE.__getitem__, words)) + str(self.end) for words in split]
+                known[w] = "".join(f"{i} " for i in ids) if len(w) > 1 else f"{self.model.piece_to_id(MARK)} "
+        return ["".join(map(known.__getitem__, words)) + str(self.end) for words in split]
 
     def decode(self, ids: list[str]) -> list[str]:
         return self.model.decode([list(map(int, t.split(" "))) for t in ids], num_threads=1)

@@ -45,6 +45,14 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch], str], Iterator[pa.RecordBatch]], text_col: str) -> DataFrame:
+    """``fn`` changes or drops rows; columns go in and come out by position, so dots in their names and repeated names do no harm. It
+    is told which column has the text."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    text = f"c{df.columns.index(text_col)}"
+    return plain.mapInArrow(lambda batches: fn(batches, text), plain.schema).toDF(*df.columns)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

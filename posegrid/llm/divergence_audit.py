@@ -25,7 +25,7 @@ PART = 31_250
 COUNTS = "lang string, source string, term string, n long, docs long"
 KEYS = ["lang", "source", "term"]
 #: Rows of partial counts a task holds before it hands them on, and numbers in a block of a shard's matrix.
-HELD_ROWS = 400_000
+HELD_ROWS = 200_000
 BLOCK_CELLS = 1 << 20
 
 
@@ -81,7 +81,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
     for batch in batches:
         texts = column(batch, "text").cast(pa.large_string()).fill_null("")
-        for i, j, _, _ in text_chunks(texts, 2 * CHUNK_BYTES):
+        for i, j, _, _ in text_chunks(texts, CHUNK_BYTES):
             held.append(chunk_counts(texts.slice(i, j - i), column(batch, "lang").slice(i, j - i), column(batch, "source").slice(i, j - i)))
         if sum(t.num_rows for t in held) > merged_rows + HELD_ROWS:
             held = [merged(held)]

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, frozen, map_arrow, mix, shingle_sets
@@ -235,6 +235,24 @@ def _across(open_: DataFrame, one: DataFrame, sets: DataFrame, p: Similarity, me
     return found.groupBy(*group).applyInPandas(confirmed, "a binary, b binary")
 
 
+def told_apart(docs: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """The rows with a number of their own in ``out``: their id, but for rows that share an id or lack one. Of those with an id the one
+    with the smallest hash of its text keeps it; the others get numbers above all ids."""
+    ids = docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n"))
+    shared = frozen(ids.filter(F.col(id_col).isNull() | (F.col("n") > 1)).select(F.col(id_col).alias("_told_id")), "shared-ids")
+    plain = docs.withColumn(out, F.col(id_col).cast("long"))
+    if shared.isEmpty():
+        return plain
+    top = docs.agg(F.max(id_col)).first()[0]
+    same = F.col(id_col).eqNullSafe(F.col("_told_id"))
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.hash(text_col))
+    many = docs.join(shared, same, "left_semi").withColumn("_told_turn", F.row_number().over(first)).withColumn("_told_number", F.monotonically_increasing_id())
+    # written, so that the numbers stay whatever is computed again
+    many = frozen(many, "shared-rows")
+    number = F.when(F.col(id_col).isNotNull() & (F.col("_told_turn") == 1), F.col(id_col)).otherwise(F.col("_told_number") + F.lit((-1 if top is None else int(top)) + 1))
+    return docs.join(shared, same, "left_anti").withColumn(out, F.col(id_col).cast("long")).unionByName(many.withColumn(out, number.cast("long")).drop("_told_turn", "_told_number"))
+
+
 def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: the id, n_shingles, component_id (smallest id reachable over links and equal ids).
 

@@ -91,7 +91,8 @@ def best_fit(lengths: list[int], counts: list[int], b: Bin) -> list[tuple[int, i
     return slots
 
 
-_WORDS: dict[bytes, bytes] = {}
+#: Words of one tokenizer, by the path of its file: a worker outlives the query it was started for.
+_TABLES: dict[str, dict[bytes, bytes]] = {}
 #: Distinct words a worker remembers; beyond that it starts afresh.
 WORDS_KEPT = 900_000
 #: Letters (after ASCII lower-casing; A-Z elsewhere in Latin-1 and Latin Extended-A, without the one that lower-cases to two) and signs
@@ -99,6 +100,24 @@ WORDS_KEPT = 900_000
 PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
+def word_table(tables: dict[str, dict], path: str) -> dict:
+    """The table of a tokenizer; those of other tokenizers go."""
+    for other in [p for p in tables if p != path]:
+        del tables[other]
+    return tables.setdefault(path, {})
+
+
+#: Texts that tell whether words can be encoded one by one in lower case.
+PROBES = ("Hello Big  World", "a,b\tC.d\n e'S 12x ", "É Straße naïve", "x\x0by\rz")
+
+
+def ends_words(model) -> bool:
+    """Whether a tokenizer lower-cases, and ends words at white space with tokens of their own, as the table of words asks for."""
+    ids = lambda t: model.encode(t, add_special_tokens=False).ids
+    whole = all(ids(t) == [i for w in t.encode().lower().split() for i in ids(w.decode())] for t in PROBES)
+    return whole and any(t.endswith("</w>") for t in model.get_vocab())
+
+
 def _encoder(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -111,6 +130,10 @@ def _encoder(path: str):
     def plain(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    if not ends_words(model):
+        return lambda texts: iter(plain([(t or b"").decode() for t in texts]))
+    known_words = word_table(_TABLES, path)
+
     def learn(words: set[bytes]) -> None:
         simple, odd, split = [], [], []
         for w in words:
@@ -121,11 +144,11 @@ def _encoder(path: str):
             else:
                 simple.append(w)
         # a set minus the table's keys would walk the whole table, so each part is looked up
-        simple += {x for _, x, _ in split if x not in _WORDS and x not in words}
-        odd += {x for _, _, x in split if x not in _WORDS and x not in words}
+        simple += {x for _, x, _ in split if x not in known_words and x not in words}
+        odd += {x for _, _, x in split if x not in known_words and x not in words}
         ascii_words = [w for w in simple if w.isascii()]
         for w in ascii_words:  # no normalizer changes these, so the model itself takes them
-            _WORDS[w] = b"".join([four[t.id] for t in merge(w.decode())])
+            known_words[w] = b"".join([four[t.id] for t in merge(w.decode())])
         simple = [w for w in simple if not w.isascii()]
         parts = [simple[i : i + 64] for i in range(0, len(simple), 64)]
         for i in range(0, len(parts), 64):
@@ -138,25 +161,25 @@ def _encoder(path: str):
                     continue
                 at = 0
                 for w, end in zip(part, (last * 4 + 4).tolist(), strict=True):
-                    _WORDS[w] = raw[at:end]
+                    known_words[w] = raw[at:end]
                     at = end
         for i in range(0, len(odd), 5000):
             part = odd[i : i + 5000]
-            _WORDS.update(zip(part, plain([w.decode() for w in part]), strict=True))
-        _WORDS.update({w: _WORDS[x] + _WORDS[y] for w, x, y in split})
+            known_words.update(zip(part, plain([w.decode() for w in part]), strict=True))
+        known_words.update({w: known_words[x] + known_words[y] for w, x, y in split})
 
     def encode(texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text, little-endian. White space ends a word for this tokenizer, so each distinct word is encoded once; strings of
         special tokens keep their case and their neighbours."""
-        if len(_WORDS) > WORDS_KEPT:
-            _WORDS.clear()
+        if len(known_words) > WORDS_KEPT:
+            known_words.clear()
         split = [None if t and b"<|" in t else (t or b"").lower().split() for t in texts]
-        known = [list(map(_WORDS.get, words or ())) for words in split]
+        known = [list(map(known_words.get, words or ())) for words in split]
         holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in known]
         learn({words[i] for words, at in zip(split, holes, strict=True) for i in at})
         for t, words, ids, at in zip(texts, split, known, holes, strict=True):
             for i in at:
-                ids[i] = _WORDS[words[i]]
+                ids[i] = known_words[words[i]]
             yield plain([t.decode()])[0] if words is None else b"".join(ids)
 
     return encode

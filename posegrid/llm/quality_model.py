@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_spans, column, map_arrow, span_hashes, text_chunks
+from .common import class_spans, column, map_arrow, map_rows, span_hashes, text_chunks
 
 #: 0 separates tokens; letters include all bytes of characters outside ASCII.
 TOKEN = np.full(256, 3, np.uint8)
@@ -209,9 +209,9 @@ def kept(docs: DataFrame, vectors: np.ndarray, net: Network, s: Settings = Setti
     """The rows whose text is predicted to be of quality, all columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
         w, n = shared.value
         for batch in batches:
-            yield batch.filter(pa.array(n.score(pooled(column(batch, "text"), w, s)) >= s.threshold))
+            yield batch.filter(pa.array(n.score(pooled(column(batch, text), w, s)) >= s.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, "text")

@@ -35,7 +35,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     archive = warc_store.Archive(f"{shared_dir(spark)}/llm-warc-{uuid.uuid4().hex}")
     warc_store.write(table(spark, sf_dir, "pages"), archive)
-    return warc_store.described(warc_store.records(spark, archive)).drop("url")
+    return warc_store.described(warc_store.reread(warc_store.warc(warc_store.records(spark, archive)))).drop("url")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

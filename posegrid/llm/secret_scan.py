@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_spans, column, map_arrow, text_chunks
+from .common import class_spans, column, map_arrow, map_rows, text_chunks
 
 KINDS = ("assign", "access", "hex", "entropy")
 # The base patterns of the contract, on UTF-8 bytes; their letters are ASCII only.
@@ -35,22 +35,23 @@ KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
 @dataclass(frozen=True)
 class Entropy:
-    """Window width and least bits by class: hex digits, letters with digits, all key characters, letters of one case with digits. A
-    placeholder's word excuses windows within ``near`` characters of it."""
+    """Window width and least bits by class: hex digits, letters with digits, all key characters, letters of one case with digits,
+    letters of both cases. A placeholder's word excuses the windows that it is in, in part at least."""
 
     shortest: int = 20
-    width: tuple[int, int, int, int] = (24, 20, 20, 20)
-    bits: tuple[float, float, float, float] = (3.1, 3.6, 3.7, 3.6)
-    near: int = 40
+    width: tuple[int, int, int, int, int] = (24, 20, 20, 20, 32)
+    bits: tuple[float, float, float, float, float] = (3.1, 3.6, 3.7, 3.6, 4.35)
 
 
-#: What looks random and is no secret: words of placeholders near a window, and spans of plain numbers.
+#: What looks random and is no secret: words of placeholders in a window, and spans of plain numbers.
 PLACEHOLDER = re.compile(rb"(?i)example|sample|placeholder|changeme|your[-_]?(api|key|token|secret)|dummy|redacted|xxxx|lorem|abcdefgh|01234567")
 NUMBERS = re.compile(rb"^[0-9+=_-]+$")
 ALLOWED = (PLACEHOLDER, NUMBERS)
 #: Parts taken out of a candidate: digests that name their algorithm, as long as its digests are, and UUIDs.
 _DIGESTS = "|".join(f"{name}[-=_](?:[0-9a-f]{{{size * 2}}}|[a-z0-9+/_-]{{1,{-(-size * 4 // 3)}}}={{0,2}})" for name, size in (("md5", 16), ("sha1", 20), ("sha224", 28), ("sha256", 32), ("sha384", 48), ("sha512", 64)))
 NAMED = re.compile(rf"(?i)(?<![a-z0-9])(?:{_DIGESTS}|[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}(?![a-z0-9]))".encode())
+#: A key that documentation uses as its example.
+SHOWN = re.compile(rb"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
 #: A segment of a path that reads as words and numbers.
 _WORD = rb"(?:[a-z]*(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]*"
 WORDS = re.compile(rb"(?:" + _WORD + rb"[-_=+])*" + _WORD)
@@ -60,7 +61,7 @@ ALNUM = re.compile(rb"[A-Za-z0-9]+")
 
 def _pieces(s: bytes) -> list[tuple[int, int]]:
     """What is left of a candidate without named digests, UUIDs, and the segments of paths that read as words."""
-    out = [m.span() for m in NAMED.finditer(s)]
+    out = [m.span() for p in (NAMED, SHOWN) for m in p.finditer(s)]
     if b"/" in s:
         out += [m.span() for m in SEGMENT.finditer(s) if WORDS.fullmatch(m[0])]
     pieces, end = [], 0
@@ -86,6 +87,8 @@ def _classes(s: bytes, e: Entropy) -> Iterator[tuple[int, int, int]]:
             lower, upper, digit, hexadecimal = holds(m[0])
             if digit and (lower or upper) and (hexadecimal or not (lower and upper) and not WORDS.fullmatch(m[0])):
                 yield *m.span(), 0 if hexadecimal else 3
+            elif lower and upper and not digit and len(m[0]) >= e.width[4] and not WORDS.fullmatch(m[0]):
+                yield *m.span(), 4
 
 
 def _windows(s: bytes, w: int, bits: float) -> Iterator[int]:
@@ -107,7 +110,7 @@ def window_spans(s: bytes, e: Entropy = Entropy()) -> list[tuple[int, int]]:
     """Merged windows of a candidate that reach the bits of their class."""
     if len(s) < e.shortest:
         return []
-    excused = [(m.start() - e.near, m.end() + e.near) for m in PLACEHOLDER.finditer(s)]
+    excused = [m.span() for m in PLACEHOLDER.finditer(s)]
     found, out = [], []
     for a, b in _pieces(s):
         if b - a < e.shortest:
@@ -116,9 +119,9 @@ def window_spans(s: bytes, e: Entropy = Entropy()) -> list[tuple[int, int]]:
             w, k = min(y - x, e.width[kind]), 0
             for i in _windows(s[a + x : a + y], w, e.bits[kind]):
                 i += a + x
-                while k < len(excused) and excused[k][1] < i + w:
+                while k < len(excused) and excused[k][1] <= i:
                     k += 1
-                if k == len(excused) or i < excused[k][0]:
+                if k == len(excused) or i + w <= excused[k][0]:
                     found.append((i, i + w))
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
@@ -177,11 +180,10 @@ def scanned(docs: DataFrame, e: Entropy = Entropy(), id_col: str = "doc_id", tex
 def masked(docs: DataFrame, e: Entropy = Entropy(), mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """The rows with every span of a text, overlapping ones merged, replaced by ``mark``; texts without secrets, nulls and all other
     columns stay as they are."""
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column(batch, text_col)
+            texts = column(batch, text)
             out = texts.to_pylist()
             for n, spans in enumerate(scan(texts, e)):
                 if spans:
@@ -191,6 +193,7 @@ def masked(docs: DataFrame, e: Entropy = Entropy(), mark: str = "[SECRET]", text
                             parts += [t[end:a], mark]
                         end = max(end, b)
                     out[n] = "".join(parts) + t[end:]
-            yield pa.RecordBatch.from_arrays([pa.array(out, texts.type) if n == text_col else column(batch, n) for n in names], names=names)
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([pa.array(out, texts.type) if n == text else column(batch, n) for n in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, text_col)

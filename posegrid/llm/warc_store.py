@@ -43,9 +43,25 @@ def _keyed(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Dat
     return rows.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
 
 
+#: What ``uri_written`` makes: the code of a control character, or of a percent sign before what looks like such a code.
+CODE = "(?:[01][0-9A-F]|7F|25)"
+
+
+def uri_written(url: Column) -> Column:
+    """A url on one line: control characters by their codes. A percent sign turns into its code only where a code could be read after it."""
+    safe = F.regexp_replace(url, f"%(?=(?i:{CODE}))", "%25")
+    coded = F.transform(F.split(safe, ""), lambda c: F.when(c.rlike(r"^[\x00-\x1F\x7F]$"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.when(safe.rlike(r"[\x00-\x1F\x7F]"), F.array_join(coded, "")).otherwise(safe)
+
+
+def uri_read(written: Column) -> Column:
+    """The url that ``uri_written`` was given."""
+    others = F.replace(F.regexp_replace(written, f"%(?!{CODE})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.when(written.rlike(f"%{CODE}"), F.url_decode(others)).otherwise(written)
+
+
 def _head(revisit: Column) -> Column:
-    # a header is one line: control characters of a url are written as in URIs
-    uri = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A"), "\\p{Cntrl}", "%00")
+    uri = uri_written(F.coalesce("url", F.lit("")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     length = F.length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     name = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
@@ -87,6 +103,15 @@ def warc(rows: DataFrame) -> DataFrame:
     return rows.withColumn("record", F.concat(F.col("head").cast("binary"), body, F.lit(b"\r\n\r\n")))
 
 
+def reread(rows: DataFrame) -> DataFrame:
+    """The rows of ``warc`` with ``head`` taken from the bytes of the record: its first two blocks. Fails if their lengths don't match."""
+    head = F.concat(F.substring_index(F.col("record").cast("string"), CRLF * 2, 2), F.lit(CRLF * 2))
+    block = F.octet_length(F.substring_index(head, CRLF * 2, 1)) + 4
+    said = F.regexp_extract(head, r"\r\nContent-Length: (\d+)\r\n\r\n", 1).try_cast("long")
+    checked = F.when(F.octet_length("record") == block + said + 4, head).otherwise(F.raise_error(F.concat(F.lit("damaged record "), head)))
+    return rows.withColumn("head", checked)
+
+
 def field(name: str) -> Column:
     """A header field of the record, null if it has none."""
     return F.nullif(F.regexp_extract("head", rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
@@ -97,5 +122,5 @@ def described(rows: DataFrame) -> DataFrame:
     page = lambda name: F.regexp_extract("head", rf"\r\n{name}: <urn:page:(-?\d+)>\r\n", 1).try_cast("long")
     return rows.select(
         page("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.substring(field("WARC-Payload-Digest"), 6, 32).alias("payload_digest"),
-        field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("url"),
+        field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), uri_read(field("WARC-Target-URI")).alias("url"),
     )
