@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..fixtures import r4
+from ..fixtures import r4, seconds
 from ..functions import geometry as g
 from ..functions import linalg, rand
 from ..operators import mesh as M
@@ -61,12 +61,12 @@ def _(fx):
     return _pose_out(back)
 
 
-@query("s02_pose_directory", "SELECT frame AS frame_idx, r4(r00) AS r00, r4(r02) AS r02, r4(r21) AS r21, r4(tx) AS tx, r4(ty) AS ty FROM fx_view")
+@query("s02_pose_directory", "SELECT frame AS frame_idx, r4(r00) AS r00, r4(r02) AS r02, r4(r21) AS r21, r4(tx) AS tx, r4(ty) AS ty FROM fx_current")
 def _(fx):
     path = _scratch(fx, "pose_dir")
     r = g.flip_camera(g.mat("r"))
     rows = [F.concat_ws(" ", *[c.cast("string") for c in [*r[i], F.col(t)]]) for i, t in enumerate(("tx", "ty", "tz"))]
-    text = fx.view.select(F.format_string("%06d", F.col("frame")).alias("f"), F.concat_ws("\n", *rows, F.lit("0 0 0 1")).alias("value"))
+    text = fx.current.select(F.format_string("%06d", F.col("frame")).alias("f"), F.concat_ws("\n", *rows, F.lit("0 0 0 1")).alias("value"))
     text.repartition("f").write.partitionBy("f").text(path)
     files = fx.spark.read.text(path, wholetext=True).select(F.col("f").cast("int").alias("frame_idx"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").cast("array<double>").alias("_v"))
     return files.select("frame_idx", *P._pose_columns(F.col("_v"))).select("frame_idx", *[r4(c).alias(c) for c in ("r00", "r02", "r21", "tx", "ty")])
@@ -325,8 +325,6 @@ def _stream(fx, name: str):
 
 
 def _seconds_stream(fx):
-    from ..fixtures import seconds
-
     return _stream(fx, "events").select("event_id", "user_id", "event_type", "value", seconds(F.col("ts")).alias("sec"))
 
 
@@ -349,6 +347,45 @@ def _(fx):
     return ST.nearest_association(ST.drain(c, "append", "association")).select("image_id", "other_id", r4("dt").alias("dt"))
 
 
+def _timed_stream(fx, rows, name: str, rest: int, slices: int = 4, **closing):
+    """``rows`` with ``ts`` as a stream of several micro-batches, slice of time after slice, and the delay that covers a slice's disorder.
+    A last row ``rest`` seconds later, of sequence -1, tells the watermark that the stream is over."""
+    lo, hi = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    path, step = _scratch(fx, name), (hi - lo) // slices + 1
+    for k in range(slices):
+        start = lo + k * step
+        rows.filter(F.unix_micros("ts").between(start, start + step - 1)).write.mode("append").parquet(path)
+    end = F.timestamp_micros(F.lit(hi + step * 2 + rest * 1_000_000))
+    values = {"seq_id": F.lit(-1), "ts": end} | {c: F.lit(v) for c, v in closing.items()}
+    one = fx.spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    one.write.mode("append").parquet(path)
+    files = max(len(fx.table("events").inputFiles()), 1)
+    stream = fx.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return stream, f"{step // 1_000_000 + 1} seconds"
+
+
+def _timed_events(fx):
+    e = fx.table("events")
+    return e.select((F.col("user_id")).alias("seq_id"), "event_id", "event_type", "value", F.timestamp_micros((seconds(F.col("ts")) * 1e6 + 0.5).cast("long")).alias("ts"))
+
+
+@query(
+    "x02_stream_frames",
+    """WITH s AS (SELECT user_id % 7 AS seq_id, event_type, event_id AS id, epoch_us(ts) AS us FROM events),
+    n AS (SELECT i.seq_id, i.id AS image_id, o.event_type AS kind, o.id AS oid, abs(i.us - o.us) AS dt, row_number() OVER (PARTITION BY i.id, o.event_type ORDER BY abs(i.us - o.us), o.us, o.id) AS rn
+      FROM s i JOIN s o ON i.seq_id = o.seq_id AND i.event_type = 'view' AND o.event_type IN ('click', 'purchase') AND abs(i.us - o.us) < 7200000000)
+    SELECT d.seq_id, d.image_id, d.oid AS depth_id, r4(d.dt / 1e6) AS depth_dt, p.oid AS pose_id, r4(p.dt / 1e6) AS pose_dt FROM n d JOIN n p ON d.image_id = p.image_id AND d.rn = 1 AND p.rn = 1
+      AND d.kind = 'click' AND p.kind = 'purchase'""",
+)
+def _(fx):
+    t = F.col("event_type")
+    kind = F.when(t == "view", "image").when(t == "click", "depth").when(t == "purchase", "pose").otherwise("other")
+    e = _timed_events(fx).select((F.col("seq_id") % 7).alias("seq_id"), kind.alias("kind"), F.col("event_id").alias("id"), "ts")
+    s, delay = _timed_stream(fx, e, "stamps", 30 * 86400, kind="depth", id=-1)
+    out = ST.drain(ST.associate_stream(s, "2 hours", delay=delay), "append", "frames")
+    return out.select("seq_id", "image_id", "depth_id", r4("depth_dt").alias("depth_dt"), "pose_id", r4("pose_dt").alias("pose_dt"))
+
+
 @query(
     "x03_streaming_thinning",
     """WITH RECURSIVE k AS (SELECT seq_id, frame_idx, ts, ts AS last FROM fx_pose WHERE frame_idx = 0 UNION ALL
@@ -356,8 +393,15 @@ def _(fx):
     SELECT seq_id, r4(ts) AS ts FROM k WHERE ts = last""",
 )
 def _(fx):
-    s = _seconds_stream(fx).select(F.col("user_id").alias("seq_id"), F.col("sec").alias("ts"))
-    return ST.drain(ST.thin_stream(s, 50000.0), "append", "thin").select("seq_id", r4("ts").alias("ts"))
+    s, delay = _timed_stream(fx, _timed_events(fx).select("seq_id", "ts"), "thin", 86400)
+    out = ST.drain(ST.thin_stream(s, "50000 seconds", delay=delay), "append", "thin").filter("seq_id >= 0")
+    return out.select("seq_id", r4(F.unix_micros("ts") / 1e6).alias("ts"))
+
+
+def _tracked(fx):
+    return _timed_events(fx).select(
+        "seq_id", F.col("event_id").alias("frame_idx"), (F.col("value") / 100.0).alias("tx"), ((F.col("event_id") % 100).cast("double") / 25.0).alias("ty"), F.lit(1.5).alias("tz"), "ts"
+    )
 
 
 @query(
@@ -365,10 +409,21 @@ def _(fx):
     """SELECT seq_id, event_id, r4(coalesce(2 * lag(tx, 1) OVER w - lag(tx, 2) OVER w, lag(tx, 1) OVER w)) AS pred_tx FROM fx_pose WINDOW w AS (PARTITION BY seq_id ORDER BY frame_idx)""",
 )
 def _(fx):
-    s = _seconds_stream(fx).select(
-        F.col("user_id").alias("seq_id"), F.col("event_id").alias("frame_idx"), (F.col("value") / 100.0).alias("tx"), ((F.col("event_id") % 100).cast("double") / 25.0).alias("ty"), F.lit(1.5).alias("tz")
-    )
-    return ST.drain(ST.predict_stream(s), "append", "predict").select("seq_id", F.col("frame_idx").alias("event_id"), r4("pred_tx").alias("pred_tx"))
+    s, delay = _timed_stream(fx, _tracked(fx), "poses", 86400, frame_idx=-1, tx=0, ty=0, tz=0)
+    out = ST.drain(ST.predict_stream(s, idle="400 days", delay=delay), "append", "predict").filter("seq_id >= 0")
+    return out.select("seq_id", F.col("frame_idx").alias("event_id"), r4("pred_tx").alias("pred_tx"))
+
+
+@query(
+    "x04_prediction_after_rest",
+    """WITH g AS (SELECT *, lag(tx, 1) OVER w AS one, lag(tx, 2) OVER w AS two, lag(ty, 1) OVER w AS yone, lag(ty, 2) OVER w AS ytwo, ts - lag(ts, 1) OVER w <= 36000 AS near, lag(ts, 1) OVER w - lag(ts, 2) OVER w <= 36000 AS nearer
+      FROM fx_pose WINDOW w AS (PARTITION BY seq_id ORDER BY frame_idx))
+    SELECT seq_id, event_id, r4(CASE WHEN near AND nearer THEN 2 * one - two WHEN near THEN one END) AS pred_tx, r4(CASE WHEN near AND nearer THEN 2 * yone - ytwo WHEN near THEN yone END) AS pred_ty FROM g""",
+)
+def _(fx):
+    s, delay = _timed_stream(fx, _tracked(fx), "rests", 86400, frame_idx=-1, tx=0, ty=0, tz=0)
+    out = ST.drain(ST.predict_stream(s, idle="10 hours", delay=delay), "append", "rests").filter("seq_id >= 0")
+    return out.select("seq_id", F.col("frame_idx").alias("event_id"), r4("pred_tx").alias("pred_tx"), r4("pred_ty").alias("pred_ty"))
 
 
 @query(

@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import rays
 from ..session import shared_dir
+from . import ordered_state as state
 
 
 def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
@@ -75,47 +73,44 @@ def nearest_association(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("image_id").agg(best.alias("b")).select("image_id", "b.*")
 
 
-def thin_stream(samples: DataFrame, min_gap: float, key: str = "seq_id") -> DataFrame:
-    """Minimum-gap thinning with the last kept stamp as state (``key long, ts double``)."""
+def associate_stream(stamps: DataFrame, max_dt: str, width: str | None = None, with_pose: bool = True, delay: str = "10 minutes") -> DataFrame:
+    """The nearest depth and pose stamps of every image, by sequence, decided inside the stream.
 
-    def keep(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        stamps = sorted(t for b in batches for t in b["ts"])
-        out = []
-        for t in stamps:
-            if last is None or t - last > min_gap:
-                out.append(t)
-                last = t
-        state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(out), "ts": out})
+    ``stamps`` has ``seq_id long, kind string (image, depth, pose), id long, ts timestamp``. An image needs a depth stamp, and with
+    ``with_pose`` a pose stamp, less than ``max_dt`` away; without, the pose is null where none is. State is kept by sequence and block
+    of ``width`` of time (64 gates if not given), so that a long sequence is many keys, and a block leaves the state when its images are
+    emitted: once the watermark has passed its end by the gate. Ties go to the earlier stamp, then to the smaller id; stamps of other
+    kinds or without a time take no part.
+    """
+    gate = state.micros(max_dt)
+    out = state.nearest_frames(stamps, gate, 64 * gate if width is None else state.micros(width), with_pose, delay)
+    gaps = [(F.col(n + "_us") / 1e6).alias(n + "_dt") for n in ("depth", "pose")]
+    return out.select("seq_id", "image_id", F.timestamp_micros("image_us").alias("image_ts"), "depth_id", gaps[0], "pose_id", gaps[1])
 
-    return samples.select(key, "ts").groupBy(key).applyInPandasWithState(
-        keep, f"{key} long, ts double", "last double", "append", GroupStateTimeout.NoTimeout
-    )
 
+def thin_stream(samples: DataFrame, min_gap: str, key: str = "seq_id", delay: str = "10 minutes") -> DataFrame:
+    """Minimum-gap thinning in order of time (``key long, ts timestamp``).
 
-def predict_stream(poses: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Constant-speed prediction of ``tx, ty, tz`` with the last two poses as state."""
-    axes = ("tx", "ty", "tz")
+    What is remembered of a key, its last kept stamp, leaves the state when ``min_gap`` has passed: it decides nothing after that.
+    """
+    gap = state.micros(min_gap)
+    out = state.in_order(samples.select(key, "ts"), state.thinned(gap), [key], ["us"], "us long", "at long, last long", "us long", gap, "ts", delay)
+    return out.select(key, F.timestamp_micros("us").alias("ts"))
 
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, *prev = state.get if state.exists else (0, *[0.0] * 6)
-        one, two = list(prev[:3]), list(prev[3:])
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        out = []
-        for r in rows.itertuples(index=False):
-            now = [r.tx, r.ty, r.tz]
-            guess = [None] * 3 if n == 0 else list(one) if n == 1 else [2 * p - q for p, q in zip(one, two)]
-            out.append((k[0], r.frame_idx, *guess))
-            two, one, n = one, now, min(n + 1, 2)
-        state.update((n, *one, *two))
-        yield pd.DataFrame(out, columns=[key, "frame_idx", *["pred_" + a for a in axes]])
-
-    cols = ", ".join(f"pred_{a} double" for a in axes)
-    memory = "n int, " + ", ".join(f"{p}{a} double" for p in ("a", "b") for a in axes)
-    return poses.select(key, "frame_idx", *axes).groupBy(key).applyInPandasWithState(
-        step, f"{key} long, frame_idx long, {cols}", memory, "append", GroupStateTimeout.NoTimeout
-    )
+
+def predict_stream(poses: DataFrame, key: str = "seq_id", idle: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Constant-speed prediction of ``tx, ty, tz`` from the two poses before, in order of ``ts`` and ``frame_idx``.
+
+    A pose more than ``idle`` after the one before starts a new track: its prediction is null, the next one's is the pose before. By
+    then the key has left the state.
+    """
+    axes = ("tx", "ty", "tz")
+    cols = [", ".join(f"{p}{a} double" for a in axes) for p in ("", "a", "b", "pred_")]
+    rest = state.micros(idle)
+    return state.in_order(
+        poses, state.predicted(axes, rest), [key], ["us", "frame_idx", *axes], f"us long, frame_idx long, {cols[0]}",
+        f"at long, before long, known int, {cols[1]}, {cols[2]}", f"frame_idx long, {cols[3]}", rest, "ts", delay,
+    ).select(key, "frame_idx", *[F.nanvl(F.col("pred_" + a), F.lit(None).cast("double")).alias("pred_" + a) for a in axes])
 
 
 def every_nth_stream(frames: DataFrame, step: int) -> DataFrame:
