@@ -84,7 +84,6 @@ def _(fx):
     return fx.pose.select("seq_id", "frame_idx", *[r4(F.col(c) / 2.5).alias(c) for c in ("tx", "ty", "tz")])
 
 
-VIEW_PIXEL = "fx_pixel p JOIN fx_view w ON p.frame = w.frame"
 RAY = {
     a: f"(r{i}0*((u-3.5)/6.0)+r{i}1*(-(v-5.5)/6.0)+r{i}2*(-1.0))" for i, a in enumerate(XYZ)
 }
@@ -92,29 +91,29 @@ RAY = {
 
 @query(
     "p18_back_projection",
-    f"""SELECT p.frame, v, u, {', '.join(f'r4({RAY[a]}) AS d{a}' for a in XYZ)}, {', '.join(f'r4(t{a}+{RAY[a]}*depth) AS {a}' for a in XYZ)} FROM {VIEW_PIXEL}""",
+    f"""SELECT frame, v, u, {', '.join(f'r4({RAY[a]}) AS d{a}' for a in XYZ)}, {', '.join(f'r4(t{a}+{RAY[a]}*depth) AS {a}' for a in XYZ)} FROM fx_view_pixel""",
 )
 def _(fx):
-    p = fx.pixel.join(fx.view, "frame")
+    p = fx.view_pixel
     u, v = F.col("u").cast("double"), F.col("v").cast("double")
     d = g.pixel_ray(u, v, CAMERA, g.mat("r"))
     q = g.back_project(u, v, F.col("depth"), CAMERA, g.mat("r"), g.vec("tx", "ty", "tz"))
     return p.select("frame", "v", "u", *[r4(c).alias("d" + a) for a, c in zip(XYZ, d)], *[r4(c).alias(a) for a, c in zip(XYZ, q)])
 
 
-PROJECT_SQL = """SELECT c.point_id, w.frame, c.scene_id, (r00*(x-tx)+r10*(y-ty)+r20*(z-tz)) AS cx, (r01*(x-tx)+r11*(y-ty)+r21*(z-tz)) AS cy, (r02*(x-tx)+r12*(y-ty)+r22*(z-tz)) AS cz
+PROJECT_SQL = """SELECT c.point_id, w.frame, w.image, c.scene_id, (r00*(x-tx)+r10*(y-ty)+r20*(z-tz)) AS cx, (r01*(x-tx)+r11*(y-ty)+r21*(z-tz)) AS cy, (r02*(x-tx)+r12*(y-ty)+r22*(z-tz)) AS cz
       FROM fx_keyed_cloud c JOIN fx_view w ON w.scene_id = c.scene_id"""
-UV_SQL = f"""SELECT point_id, frame, scene_id, (6.0*(-cx)+3.5*cz)/(cz+1e-5) AS u, (6.0*cy+5.5*cz)/(cz+1e-5) AS v, cz+1e-5 AS z FROM ({PROJECT_SQL})"""
+UV_SQL = f"""SELECT point_id, frame, image, scene_id, (6.0*(-cx)+3.5*cz)/(cz+1e-5) AS u, (6.0*cy+5.5*cz)/(cz+1e-5) AS v, cz+1e-5 AS z FROM ({PROJECT_SQL})"""
 
 
 @query(
     "p19_world_to_pixel",
-    """WITH q AS (SELECT p.frame, p.u AS pu, p.v AS pv, r00, r01, r02, r10, r11, r12, r20, r21, r22, (p.v::DOUBLE/4.0 - tx) AS x, (p.u::DOUBLE/2.0 - ty) AS y, (p.depth - tz) AS z FROM fx_pixel p JOIN fx_view w ON p.frame = w.frame),
+    """WITH q AS (SELECT frame, u AS pu, v AS pv, r00, r01, r02, r10, r11, r12, r20, r21, r22, (v::DOUBLE/4.0 - tx) AS x, (u::DOUBLE/2.0 - ty) AS y, (depth - tz) AS z FROM fx_view_pixel),
     c AS (SELECT *, r00*x+r10*y+r20*z AS cx, r01*x+r11*y+r21*z AS cy, r02*x+r12*y+r22*z AS cz FROM q)
     SELECT frame, pu, pv, round((6.0*(-cx)+3.5*cz)/(cz+1e-5), 2) AS u, round((6.0*cy+5.5*cz)/(cz+1e-5), 2) AS v, r4(cz+1e-5) AS z FROM c WHERE abs(cz) > 0.01""",
 )
 def _(fx):
-    p = fx.pixel.join(fx.view, "frame")
+    p = fx.view_pixel
     pt = [F.col("v").cast("double") / 4.0, F.col("u").cast("double") / 2.0, F.col("depth")]
     q = g.project(pt, CAMERA, g.mat("r"), g.vec("tx", "ty", "tz"))
     out = p.select("frame", F.col("u").alias("pu"), F.col("v").alias("pv"), F.round(q["u"], 2).alias("u"), F.round(q["v"], 2).alias("v"), q["z"].alias("z"))
@@ -518,15 +517,15 @@ def _(fx):
 
 @query(
     "w08_unmeasured_rays",
-    f"""WITH p AS (SELECT event_id AS ray_id, tx AS ox, ty AS oy, tz AS oz, {', '.join(f'{RAY[a]} + 0.0137 AS d{a}' for a in XYZ)} FROM {VIEW_PIXEL} WHERE depth <= 0),
+    f"""WITH p AS (SELECT frame * 1000000000 + event_id AS ray_id, tx AS ox, ty AS oy, tz AS oz, {', '.join(f'{RAY[a]} + 0.0137 AS d{a}' for a in XYZ)} FROM fx_view_pixel WHERE depth <= 0),
     f AS (SELECT *, least(greatest((-1.0-ox)/dx, (6.0-ox)/dx), greatest((-1.0-oy)/dy, (5.0-oy)/dy), greatest((-1.0-oz)/dz, (4.0-oz)/dz)) + 0.01 AS far FROM p)
     SELECT ray_id, i AS k, r4(far*(i/15.0)) AS z FROM f, range(16) t(i)""",
 )
 def _(fx):
-    p = fx.pixel.join(fx.view, "frame")
+    p = fx.view_pixel
     d = g.pixel_ray(F.col("u").cast("double"), F.col("v").cast("double"), CAMERA, g.mat("r"))
     rays = p.select(
-        F.col("event_id").alias("ray_id"), "depth", *[F.col("t" + a).alias("o" + a) for a in XYZ], *[(c + 0.0137).alias("d" + a) for a, c in zip(XYZ, d)]
+        (F.col("frame") * 1_000_000_000 + F.col("event_id")).alias("ray_id"), "depth", *[F.col("t" + a).alias("o" + a) for a in XYZ], *[(c + 0.0137).alias("d" + a) for a, c in zip(XYZ, d)]
     )
     return R.unmeasured_samples(rays, (-1, -1, -1), (6, 5, 4), 16).select("ray_id", "k", r4("z").alias("z"))
 

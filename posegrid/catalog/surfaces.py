@@ -13,7 +13,7 @@ from ..operators import visibility as V
 from ..operators.rays import overlap_samples
 from ..sources import manifest as files
 from ..sources import tables
-from .frames import RAY, UV_SQL, VIEW_PIXEL
+from .frames import RAY, UV_SQL
 from .registry import query
 
 XYZ = ("x", "y", "z")
@@ -177,37 +177,39 @@ def _(fx):
 
 # -- visibility --------------------------------------------------------------------------------
 
-SEEN_SQL = f"vis AS (SELECT * FROM ({UV_SQL}) WHERE -z >= 0 AND u < 8 AND u > 0 AND v < 12 AND v > 0)"
+#: Pairs are listed for the newest camera of every user; what is counted or reduced meets every camera.
+SEEN_SQL = f"vis AS (SELECT * FROM ({UV_SQL.replace('fx_view', 'fx_current')}) WHERE -z >= 0 AND u < 8 AND u > 0 AND v < 12 AND v > 0)"
 
 
-def _visible(fx, **kw):
-    return V.visible_points(fx.view, fx.keyed_cloud, CAMERA, ["scene_id"], ["frame"], ["point_id"], **kw)
+def _visible(fx, views, **kw):
+    return V.visible_points(views, fx.keyed_cloud, CAMERA, ["scene_id"], ["frame"], ["point_id"], **kw)
 
 
 @query("j06_visible_pairs", f"WITH {SEEN_SQL} SELECT frame, point_id, round(u, 2) AS u, round(v, 2) AS v, r4(z) AS z FROM vis")
 def _(fx):
-    return _visible(fx).select("frame", "point_id", F.round("u", 2).alias("u"), F.round("v", 2).alias("v"), r4("z").alias("z"))
+    return _visible(fx, fx.current).select("frame", "point_id", F.round("u", 2).alias("u"), F.round("v", 2).alias("v"), r4("z").alias("z"))
 
 
 @query(
     "f05_frustum_strict_front",
-    f"SELECT frame, count(*) AS n FROM ({UV_SQL}) WHERE z < 0 AND u < 7 AND u > 1 AND v < 11 AND v > 1 GROUP BY frame",
+    f"SELECT frame, count(*) AS n FROM ({UV_SQL.replace('fx_view', 'fx_current')}) WHERE z < 0 AND u < 7 AND u > 1 AND v < 11 AND v > 1 GROUP BY frame",
 )
 def _(fx):
-    return _visible(fx, edge=1.0, strict_front=True).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
+    return _visible(fx, fx.current, edge=1.0, strict_front=True).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
 
 
 OCCLUDED_SQL = f"""WITH {SEEN_SQL}, s AS (SELECT *, u/8.0*7.0 AS sx, v/12.0*11.0 AS sy FROM vis), f AS (SELECT *, floor(sx)::BIGINT AS u0, floor(sy)::BIGINT AS v0, sx-floor(sx) AS ax, sy-floor(sy) AS ay FROM s),
     d AS (SELECT f.*, (1-ax)*(1-ay)*coalesce(p00.depth,0.0) + (1-ax)*ay*coalesce(p01.depth,0.0) + ax*(1-ay)*coalesce(p10.depth,0.0) + ax*ay*coalesce(p11.depth,0.0) AS ds FROM f
-      LEFT JOIN fx_pixel p00 ON p00.frame = f.frame AND p00.u = u0 AND p00.v = v0 LEFT JOIN fx_pixel p01 ON p01.frame = f.frame AND p01.u = u0 AND p01.v = v0 + 1
-      LEFT JOIN fx_pixel p10 ON p10.frame = f.frame AND p10.u = u0 + 1 AND p10.v = v0 LEFT JOIN fx_pixel p11 ON p11.frame = f.frame AND p11.u = u0 + 1 AND p11.v = v0 + 1),
+      LEFT JOIN fx_pixel p00 ON p00.frame = f.image AND p00.u = u0 AND p00.v = v0 LEFT JOIN fx_pixel p01 ON p01.frame = f.image AND p01.u = u0 AND p01.v = v0 + 1
+      LEFT JOIN fx_pixel p10 ON p10.frame = f.image AND p10.u = u0 + 1 AND p10.v = v0 LEFT JOIN fx_pixel p11 ON p11.frame = f.image AND p11.u = u0 + 1 AND p11.v = v0 + 1),
     ok AS (SELECT * FROM d WHERE ds + 0.06 >= -z)"""
 
 
 def _unoccluded(fx):
-    near = V.with_depth_reach(fx.view, fx.pixel, ["frame"], 0.06)
-    seen = V.visible_points(near, fx.keyed_cloud, CAMERA, ["scene_id"], ["frame"], ["point_id"])
-    return V.not_occluded(seen, fx.pixel, CAMERA, ["scene_id"], ["frame"], ["point_id"], 0.06)
+    depth = fx.pixel.withColumnRenamed("frame", "image")
+    near = V.with_depth_reach(fx.current, depth, ["image"], 0.06)
+    seen = V.visible_points(near, fx.keyed_cloud, CAMERA, ["scene_id"], ["frame", "image"], ["point_id"])
+    return V.not_occluded(seen, depth, CAMERA, ["scene_id"], ["frame"], ["point_id"], 0.06, ["image"])
 
 
 @query("f06_occlusion_test", OCCLUDED_SQL + " SELECT frame, point_id, r4(ds) AS depth_sample FROM ok")
@@ -215,20 +217,42 @@ def _(fx):
     return _unoccluded(fx).select("frame", "point_id", r4("depth_sample").alias("depth_sample"))
 
 
-@query("u03_never_seen_points", f"WITH {SEEN_SQL} SELECT point_id, label FROM fx_keyed_cloud c WHERE NOT EXISTS (SELECT 1 FROM vis WHERE vis.point_id = c.point_id)")
-def _(fx):
-    return fx.keyed_cloud.join(_visible(fx).select("point_id").distinct(), "point_id", "left_anti").select("point_id", "label")
+#: The cloud spread over three times the room's size, so that some of it is out of every camera's sight.
+FAR_CLOUD_SQL = "(SELECT point_id, scene_id, label, 3.0*x AS x, 3.0*y AS y, 3.0*z - 3.0 AS z FROM fx_keyed_cloud)"
+
+
+def _spread(points, *keep):
+    return points.select(*keep, *[(F.col(a) * 3.0 - (3.0 if a == "z" else 0.0)).alias(a) for a in XYZ])
 
 
-CULL_SQL = f"""WITH w AS (SELECT v.vid, (r00*(x-tx)+r10*(y-ty)+r20*(z-tz)) AS cx, (r01*(x-tx)+r11*(y-ty)+r21*(z-tz)) AS cy, (r02*(x-tx)+r12*(y-ty)+r22*(z-tz)) AS cz FROM fx_vertex v, fx_view),
-    seen AS (SELECT DISTINCT vid FROM (SELECT vid, (6.0*(-cx)+3.5*cz)/(cz+1e-5) AS u, (6.0*cy+5.5*cz)/(cz+1e-5) AS v, cz+1e-5 AS z FROM w) WHERE -z >= 0 AND u < 8 AND u > 0 AND v < 12 AND v > 0),
+@query(
+    "u03_never_seen_points",
+    f"""WITH vis AS (SELECT DISTINCT point_id FROM ({UV_SQL.replace("fx_keyed_cloud c", FAR_CLOUD_SQL + " c")}) WHERE -z >= 0 AND u < 8 AND u > 0 AND v < 12 AND v > 0)
+    SELECT point_id, label FROM fx_keyed_cloud WHERE point_id NOT IN (SELECT point_id FROM vis)""",
+)
+def _(fx):
+    cloud = _spread(fx.keyed_cloud, "point_id", "scene_id", "label")
+    seen = V.seen_by_any(fx.view, cloud, CAMERA, ["scene_id"], ["frame"], ["point_id"])
+    return cloud.join(seen.select("point_id"), "point_id", "left_anti").select("point_id", "label")
+
+
+#: The mesh spread over three times the room's size, so that much of it is out of sight or behind what the cameras measured.
+SPREAD_SQL = "(SELECT vid, 3.0*x AS x, 3.0*y AS y, 3.0*z - 3.0 AS z FROM fx_vertex)"
+CORNER_SQL = " ".join(f"LEFT JOIN fx_pixel p{a}{b} ON p{a}{b}.frame = f.image AND p{a}{b}.u = u0 + {a} AND p{a}{b}.v = v0 + {b}" for a in (0, 1) for b in (0, 1))
+CULL_SQL = f"""WITH w AS (SELECT v.vid, image, (r00*(x-tx)+r10*(y-ty)+r20*(z-tz)) AS cx, (r01*(x-tx)+r11*(y-ty)+r21*(z-tz)) AS cy, (r02*(x-tx)+r12*(y-ty)+r22*(z-tz)) AS cz FROM {SPREAD_SQL} v, fx_view),
+    vis AS (SELECT * FROM (SELECT vid, image, (6.0*(-cx)+3.5*cz)/(cz+1e-5) AS u, (6.0*cy+5.5*cz)/(cz+1e-5) AS v, cz+1e-5 AS z FROM w) WHERE -z >= 0 AND u < 8 AND u > 0 AND v < 12 AND v > 0),
+    f AS (SELECT *, floor(u/8.0*7.0)::BIGINT AS u0, floor(v/12.0*11.0)::BIGINT AS v0, u/8.0*7.0-floor(u/8.0*7.0) AS ax, v/12.0*11.0-floor(v/12.0*11.0) AS ay FROM vis),
+    seen AS (SELECT DISTINCT vid FROM f {CORNER_SQL}
+      WHERE (1-ax)*(1-ay)*coalesce(p00.depth,0.0) + (1-ax)*ay*coalesce(p01.depth,0.0) + ax*(1-ay)*coalesce(p10.depth,0.0) + ax*ay*coalesce(p11.depth,0.0) + 0.06 >= -z),
     kept AS (SELECT t.* FROM {TRI_SQL} t WHERE a IN (SELECT vid FROM seen) OR b IN (SELECT vid FROM seen) OR c IN (SELECT vid FROM seen)),
     used AS (SELECT DISTINCT v FROM (SELECT a AS v FROM kept UNION ALL SELECT b FROM kept UNION ALL SELECT c FROM kept)),
     idx AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS n FROM used)"""
 
 
 def _culled(fx):
-    seen = V.visible_points(fx.view.withColumn("k", F.lit(0)), fx.vertex.withColumn("k", F.lit(0)), CAMERA, ["k"], ["frame"], ["vid"])
+    spread = _spread(fx.vertex, "vid")
+    depth = fx.pixel.withColumnRenamed("frame", "image")
+    seen = V.seen_by_any(fx.view, spread, CAMERA, [], ["frame"], ["vid"], depth, ["image"], 0.06)
     return M.cull_faces(M.triangulate(fx.face), seen.select("vid"))
 
 
@@ -242,12 +266,12 @@ def _(fx):
     return M.reindex(fx.vertex, M.triangulate(fx.face))[0].select("vid", "new_vid")
 
 
-SAMPLES_SQL = f"""smp AS (SELECT p.frame, w.scene_id, p.event_id, i, tx+{RAY['x']}*zz AS x, ty+{RAY['y']}*zz AS y, tz+{RAY['z']}*zz AS z FROM
-      (SELECT *, depth*0.8*(1-i/7.0)+(depth+0.5)*(i/7.0) AS zz FROM fx_pixel, range(8) t(i) WHERE depth > 0) p JOIN fx_view w ON p.frame = w.frame)"""
+SAMPLES_SQL = f"""smp AS (SELECT w.frame, w.scene_id, p.event_id, i, tx+{RAY['x']}*zz AS x, ty+{RAY['y']}*zz AS y, tz+{RAY['z']}*zz AS z FROM
+      (SELECT *, depth*0.8*(1-i/7.0)+(depth+0.5)*(i/7.0) AS zz FROM fx_pixel, range(8) t(i) WHERE depth > 0) p JOIN fx_current w ON p.frame = w.image)"""
 
 
 def _overlap(fx):
-    p = fx.pixel.join(fx.view, "frame")
+    p = fx.pixel.withColumnRenamed("frame", "image").join(fx.current, "image")
     keep = ["frame", "scene_id", "event_id", "u", "v", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz"]
     s = overlap_samples(p, keep=keep)
     d = g.pixel_ray(F.col("u").cast("double"), F.col("v").cast("double"), CAMERA, g.mat("r"))
@@ -274,13 +298,21 @@ def _(fx):
     return sampling.pick_keyframes(overlap, kf, 4, ["scene_id"])
 
 
+#: Widths off the short decimals, so that no voxel's centre falls on a pixel's edge.
 @query(
     "a28_voxel_fusion",
-    f"""WITH p AS (SELECT p.frame, scene_id, s/8.0*0.8-0.4 AS step, depth, {', '.join(f't{a} AS o{a}, {RAY[a]} AS d{a}' for a in XYZ)} FROM {VIEW_PIXEL}, range(9) t(s) WHERE depth > 0),
-    h AS (SELECT scene_id, frame, floor((ox+dx*(depth+step))/0.2)::BIGINT AS cx, floor((oy+dy*(depth+step))/0.2)::BIGINT AS cy, floor((oz+dz*(depth+step))/0.2)::BIGINT AS cz, -step/0.4 AS sdf FROM p),
-    f AS (SELECT scene_id, frame, cx, cy, cz, avg(sdf) AS sdf FROM h GROUP BY ALL)
-    SELECT scene_id, cx, cy, cz, count(*) AS frames, r4(avg(sdf)) AS sdf FROM f GROUP BY scene_id, cx, cy, cz""",
+    f"""WITH p AS (SELECT scene_id, frame, {', '.join(f't{a}+{RAY[a]}*depth AS {a}' for a in XYZ)} FROM fx_view_pixel WHERE depth > 0 AND u % 2 = 0 AND v % 2 = 0),
+    lo AS (SELECT scene_id, frame, {', '.join(f'floor(({a}-0.4007)/0.8012)::BIGINT AS l{a}, floor(({a}+0.4007)/0.8012)::BIGINT AS h{a}' for a in XYZ)} FROM p),
+    blk AS (SELECT DISTINCT scene_id, frame, lx + i AS gx, ly + j AS gy, lz + k AS gz FROM lo, range(3) a(i), range(3) b(j), range(3) c(k) WHERE lx + i <= hx AND ly + j <= hy AND lz + k <= hz),
+    vox AS (SELECT scene_id, frame, gx * 4 + i AS cx, gy * 4 + j AS cy, gz * 4 + k AS cz FROM blk, range(4) a(i), range(4) b(j), range(4) c(k)),
+    ctr AS (SELECT v.*, image, (cx+0.5)*0.2003::DOUBLE-tx AS x, (cy+0.5)*0.2003::DOUBLE-ty AS y, (cz+0.5)*0.2003::DOUBLE-tz AS z, r00, r01, r02, r10, r11, r12, r20, r21, r22 FROM vox v JOIN fx_view w ON w.frame = v.frame),
+    cam AS (SELECT scene_id, image, cx, cy, cz, r00*x+r10*y+r20*z AS px, r01*x+r11*y+r21*z AS py, -(r02*x+r12*y+r22*z) AS pz FROM ctr),
+    pix AS (SELECT *, floor(3.5+6.0*px/pz+0.5)::BIGINT AS u, floor(5.5-6.0*py/pz+0.5)::BIGINT AS v FROM cam WHERE pz > 0),
+    d AS (SELECT scene_id, cx, cy, cz, (depth-pz)*sqrt(1.0+((q.u-3.5)/6.0)*((q.u-3.5)/6.0)+((q.v-5.5)/6.0)*((q.v-5.5)/6.0)) AS far FROM pix JOIN fx_pixel q ON q.frame = image AND q.u = pix.u AND q.v = pix.v
+      WHERE depth > 0 AND pix.u BETWEEN 0 AND 7 AND pix.v BETWEEN 0 AND 11)
+    SELECT scene_id, cx, cy, cz, count(*) AS frames, r4(avg(least(1.0, far/0.4007))) AS sdf FROM d WHERE far > -0.4007 GROUP BY scene_id, cx, cy, cz""",
 )
 def _(fx):
-    p = fx.pixel.join(fx.view, "frame")
-    return V.fused_voxels(p, CAMERA, ["scene_id"], 0.2, 0.4).select("scene_id", "cx", "cy", "cz", "frames", r4("sdf").alias("sdf"))
+    depth = fx.pixel.withColumnRenamed("frame", "image")
+    out = V.fused_voxels(depth, fx.view, CAMERA, ["scene_id"], ["frame"], ["image"], 0.2003, 0.4007, side=4, stride=2)
+    return out.select("scene_id", "cx", "cy", "cz", "frames", r4("sdf").alias("sdf"))

@@ -61,11 +61,14 @@ SQL: dict[str, str] = {
         SELECT seq_id, frame_idx, ts, event_id,
                {math.cos(math.radians(10))!r} * tx - {math.sin(math.radians(10))!r} * ty + 0.3 + 0.01 * ((event_id % 11) - 5) AS tx,
                {math.sin(math.radians(10))!r} * tx + {math.cos(math.radians(10))!r} * ty - 0.2 AS ty, tz + 0.1 AS tz FROM fx_pose""",
-    # One camera per user at the first event, level and looking along the yaw of that event.
+    # One camera per event, level and looking along its yaw; its picture is the one of its user.
     "fx_view": f"""
-        SELECT seq_id AS frame, seq_id % 5 AS scene_id, -sin(a) AS r00, 0.0::DOUBLE AS r01, -cos(a) AS r02, cos(a) AS r10, 0.0::DOUBLE AS r11,
+        SELECT event_id AS frame, seq_id AS image, seq_id % 5 AS scene_id, -sin(a) AS r00, 0.0::DOUBLE AS r01, -cos(a) AS r02, cos(a) AS r10, 0.0::DOUBLE AS r11,
                -sin(a) AS r12, 0.0::DOUBLE AS r20, 1.0::DOUBLE AS r21, 0.0::DOUBLE AS r22, tx, ty, tz
-        FROM (SELECT *, (event_id % 360)::DOUBLE * {math.pi / 180!r} AS a FROM fx_pose WHERE frame_idx = 0)""",
+        FROM (SELECT *, (event_id % 360)::DOUBLE * {math.pi / 180!r} AS a FROM fx_pose)""",
+    # The newest camera of every user.
+    "fx_current": "SELECT * FROM fx_view WHERE frame IN (SELECT arg_max(event_id, ts) FROM events GROUP BY user_id)",
+    "fx_view_pixel": "SELECT w.*, p.v, p.u, p.depth, p.raw, p.event_id FROM fx_pixel p JOIN fx_view w ON p.frame = w.image",
     "fx_stamps": """
         SELECT CASE event_type WHEN 'view' THEN 'image' WHEN 'click' THEN 'depth' WHEN 'purchase' THEN 'pose' ELSE 'other' END AS kind,
                event_id AS id, epoch_us(ts) / 1e6 AS ts FROM events""",
@@ -221,14 +224,22 @@ class Fixtures:
     def view(self) -> DataFrame:
         a = _d(F.col("event_id") % 360) * (math.pi / 180)
         zero = F.lit(0.0)
-        first = self.table("events").groupBy("user_id").agg(F.min_by(F.struct("event_id", "value"), F.col("ts")).alias("e")).select("user_id", "e.*")
-        return first.select(
-            F.col("user_id").alias("frame"), (F.col("user_id") % 5).alias("scene_id"),
+        return self.table("events").select(
+            F.col("event_id").alias("frame"), F.col("user_id").alias("image"), (F.col("user_id") % 5).alias("scene_id"),
             (-F.sin(a)).alias("r00"), zero.alias("r01"), (-F.cos(a)).alias("r02"), F.cos(a).alias("r10"), zero.alias("r11"), (-F.sin(a)).alias("r12"),
             zero.alias("r20"), F.lit(1.0).alias("r21"), zero.alias("r22"),
             (F.col("value") / 100.0).alias("tx"), (_d(F.col("event_id") % 100) / 25.0).alias("ty"), F.lit(1.5).alias("tz"),
         )
 
+    @cached_property
+    def current(self) -> DataFrame:
+        newest = self.table("events").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("frame"))
+        return self.view.join(newest.select("frame"), "frame", "left_semi")
+
+    @cached_property
+    def view_pixel(self) -> DataFrame:
+        return self.pixel.withColumnRenamed("frame", "image").join(self.view, "image")
+
     @cached_property
     def stamps(self) -> DataFrame:
         t = F.col("event_type")
