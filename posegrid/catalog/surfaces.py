@@ -11,6 +11,7 @@ from ..operators import mesh as M
 from ..operators import sampling
 from ..operators import visibility as V
 from ..operators.rays import overlap_samples
+from ..session import materialize
 from ..sources import manifest as files
 from ..sources import tables
 from .frames import RAY, UV_SQL
@@ -146,6 +147,54 @@ def _(fx):
     return M.sample_elements(_triangles(fx), ["object_id"], ["fid", "half"], 0.05).select("object_id", "fid", "half", "i", *XYZ)
 
 
+#: Elements of a building: an upright panel w wide and a shorter one at a right angle to its end, for each supplier.
+ELEMENT_SIZE = {"w": "(s_acctbal + 1000.0) / 4000.0 + 0.2003717", "h": "2.0 + 0.1 * (s_nationkey % 5)"}
+ELEMENT_NAMES = [*L.ELEMENT_CLASSES, "IfcRoof"]
+ELEMENT_SQL = f"""e AS (SELECT s_suppkey AS element_id, ({ELEMENT_SIZE['w']})::DOUBLE AS w, ({ELEMENT_SIZE['h']})::DOUBLE AS h, [{', '.join(f"'{n}'" for n in ELEMENT_NAMES)}][s_suppkey % {len(ELEMENT_NAMES)} + 1] AS class_name FROM supplier),
+    m AS (SELECT *, CASE class_name {' '.join(f"WHEN '{n}' THEN {i}" for n, i in L.ELEMENT_CLASSES.items())} END AS label FROM e)"""
+
+
+def _elements(fx):
+    """Labelled elements and their triangles. Two panels share the edge at the corner."""
+    name = F.element_at(F.array(*[F.lit(n) for n in ELEMENT_NAMES]), (F.col("s_suppkey") % len(ELEMENT_NAMES) + 1).cast("int"))
+    sized = fx.table("supplier").select(F.col("s_suppkey").alias("element_id"), *[F.expr(c).cast("double").alias(a) for a, c in ELEMENT_SIZE.items()], name.alias("class_name"))
+    elements = M.label_elements(sized)
+    zero, w, h = F.lit(0.0), F.col("w"), F.col("h")
+    corners = [(zero, zero, zero), (w, zero, zero), (w, w / 2.0, zero), (zero, zero, h), (w, zero, h), (w, w / 2.0, h)]
+    vertex = elements.select("element_id", F.posexplode(F.array(*[F.struct(*g.named_vec(list(c), *XYZ)) for c in corners])).alias("vid", "p")).select("element_id", "vid", "p.*")
+    quads = F.array(*[F.struct(F.lit(i).alias("fid"), *[F.lit(v).alias(f"v{k}") for k, v in enumerate(q)]) for i, q in enumerate(((0, 1, 4, 3), (1, 2, 5, 4)))])
+    quad = elements.select("element_id", F.explode(quads).alias("q")).select("element_id", "q.*")
+    return elements, M.face_geometry(M.gather_corners(M.triangulate(quad), vertex, ["element_id"]))
+
+
+@query(
+    "c10_labelled_elements",
+    f"""WITH {ELEMENT_SQL} SELECT element_id, label::BIGINT AS label, greatest(trunc(1.5 * w * h * 500.0)::BIGINT, 10) AS n, true AS spread, true AS on_surface, true AS shared FROM m WHERE label IS NOT NULL""",
+)
+def _(fx):
+    """Samples at the documented density: their number, that none are closer than half the spacing of a perfect packing, that they lie on the panels,
+    and that the panels share them by their areas."""
+    elements, faces = _elements(fx)
+    pts = M.sample_elements(faces, ["element_id"], ["fid", "half"]).join(elements, "element_id")
+    pts = materialize(pts.select("element_id", "label", "w", "h", "fid", F.struct("fid", "half", "i").alias("id"), *XYZ), "samples")
+    n = F.count(F.lit(1))
+    # such points share one of the eight cells around a corner of the doubled grid
+    sizes = pts.groupBy("element_id").agg(n.alias("n"))
+    near = F.sqrt(1.5 * F.col("w") * F.col("h") / F.col("n") / (2.0 * 3.0**0.5))
+    p = pts.join(sizes, "element_id").withColumn("near", near)
+    cells = [F.explode(F.array(*[F.floor(F.col(a) / F.col("near")) + k for k in (0, 1)])).alias("g" + a) for a in XYZ]
+    for c, a in zip(cells, XYZ):
+        p = p.select("*", c)
+    at = ["element_id", "gx", "gy", "gz"]
+    mates = p.select(*at, F.col("id").alias("other"), *[F.col(a).alias("o" + a) for a in XYZ])
+    gap = g.sub(g.vec(*XYZ), g.vec("ox", "oy", "oz"))
+    crowded = p.join(mates, at).filter((F.col("id") < F.col("other")) & (g.dot(gap, gap) < F.col("near") * F.col("near"))).select("element_id").distinct().withColumn("crowded", F.lit(True))
+    flat = F.when(F.col("fid") == 0, (F.abs("y") < 1e-9) & F.col("x").between(0, F.col("w"))).otherwise((F.abs(F.col("x") - F.col("w")) < 1e-9) & F.col("y").between(0, F.col("w") / 2.0))
+    share = F.avg(F.when(F.col("fid") == 0, 1.0).otherwise(0.0))
+    out = pts.groupBy("element_id", "label").agg(n.alias("n"), F.every(flat & F.col("z").between(-1e-9, F.col("h") + 1e-9)).alias("on_surface"), (F.abs(share - 2.0 / 3.0) < 1.0 / F.sqrt(n)).alias("shared"))
+    return out.join(crowded, "element_id", "left").select("element_id", "label", "n", F.col("crowded").isNull().alias("spread"), "on_surface", "shared")
+
+
 @query(
     "c11_zero_crossings",
     """WITH g AS (SELECT scene_id, ix, iy, iz, avg(sdf) AS s FROM fx_grid GROUP BY ALL),

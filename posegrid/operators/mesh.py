@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import rand
+from ..functions.labels import ELEMENT_CLASSES
+from ..session import materialize
+from .elimination import reaches, spread_subset
 from .neighbors import XYZ
 from .ordered import rank_within
 from .skew import small_table
@@ -86,21 +89,20 @@ def element_sizes(faces: DataFrame, keys, density: float = 500.0, minimum: int =
 
 
 def sample_elements(faces: DataFrame, keys, face_id, density: float = 500.0, minimum: int = 10, oversample: int = 5, seed: int = 0) -> DataFrame:
-    """Evenly spread samples per element: draw five times too many, keep one hashed winner per
-    small cell first, then fill up to the wanted count."""
+    """Evenly spread samples per element: draw five times too many, eliminate the most crowded until the wanted count is left."""
     keys, face_id = list(keys), list(face_id)
     sizes = element_sizes(faces, keys, density, minimum)
     f = faces.join(small_table(sizes.select(*keys, F.col("n").alias("_want"), F.col("area").alias("_area"))), keys)
-    pts = sample_surface(f, keys, F.col("_want") * float(oversample), face_id, seed)
-    pitch = F.sqrt(F.col("_area") / F.col("_want")) * 0.7
-    order = rand.uniform(*face_id, "i", seed=seed + 7)
-    cell = [F.floor(F.col(a) / pitch) for a in XYZ]
-    wc = Window.partitionBy(*keys, *[F.col("_c" + a) for a in XYZ]).orderBy("_o", *face_id, "i")
-    p = pts.withColumns({"_c" + a: c for a, c in zip(XYZ, cell)} | {"_o": order})
-    p = p.withColumn("_turn", F.row_number().over(wc))
-    # Turn 1 of every cell precedes turn 2 of any; rank within the element decides the cut.
-    ranked = rank_within(p.withColumn("_turn_o", F.col("_turn") + F.col("_o")), keys, ["_turn_o", *face_id, "i"], "_rank")
-    return ranked.filter(F.col("_rank") < F.col("_want")).drop("_turn", "_turn_o", "_o", "_want", "_area", "_rank", *["_c" + a for a in XYZ])
+    drawn = sample_surface(f, keys, F.col("_want") * float(oversample), face_id, seed)
+    reach, least = reaches(F.col("_area"), F.col("_want"), oversample)
+    drawn = materialize(drawn.withColumns({"_reach": reach, "_least": least}), "drawn")
+    return spread_subset(drawn, keys, [*face_id, "i"], "_want").drop("_want", "_area", "_reach", "_least")
+
+
+def label_elements(elements: DataFrame, name: str = "class_name") -> DataFrame:
+    """Elements whose class has an id, with it as ``label``; elements of other classes have no samples."""
+    pairs = [F.lit(x) for kv in ELEMENT_CLASSES.items() for x in kv]
+    return elements.withColumn("label", F.create_map(*pairs)[F.col(name)]).filter(F.col("label").isNotNull())
 
 
 def reindex(vertices: DataFrame, faces: DataFrame, keys=()) -> tuple[DataFrame, DataFrame]:
