@@ -515,19 +515,50 @@ def _(fx):
     return R.overlap_samples(rays).select("ray_id", "k", r4("z").alias("z"))
 
 
-@query(
-    "w08_unmeasured_rays",
-    f"""WITH p AS (SELECT frame * 1000000000 + event_id AS ray_id, tx AS ox, ty AS oy, tz AS oz, {', '.join(f'{RAY[a]} + 0.0137 AS d{a}' for a in XYZ)} FROM fx_view_pixel WHERE depth <= 0),
-    f AS (SELECT *, least(greatest((-1.0-ox)/dx, (6.0-ox)/dx), greatest((-1.0-oy)/dy, (5.0-oy)/dy), greatest((-1.0-oz)/dz, (4.0-oz)/dz)) + 0.01 AS far FROM p)
-    SELECT ray_id, i AS k, r4(far*(i/15.0)) AS z FROM f, range(16) t(i)""",
-)
-def _(fx):
+BLIND_SQL = f"""p AS (SELECT frame * 1000000000 + event_id AS ray_id, tx AS ox, ty AS oy, tz AS oz, {', '.join(f'{RAY[a]} + 0.0137 AS d{a}' for a in XYZ)} FROM fx_view_pixel WHERE depth <= 0),
+    f AS (SELECT *, least(greatest((-1.0-ox)/dx, (6.0-ox)/dx), greatest((-1.0-oy)/dy, (5.0-oy)/dy), greatest((-1.0-oz)/dz, (4.0-oz)/dz)) + 0.01 AS far FROM p)"""
+
+
+def _blind_rays(fx):
     p = fx.view_pixel
     d = g.pixel_ray(F.col("u").cast("double"), F.col("v").cast("double"), CAMERA, g.mat("r"))
-    rays = p.select(
+    return p.select(
         (F.col("frame") * 1_000_000_000 + F.col("event_id")).alias("ray_id"), "depth", *[F.col("t" + a).alias("o" + a) for a in XYZ], *[(c + 0.0137).alias("d" + a) for a, c in zip(XYZ, d)]
     )
-    return R.unmeasured_samples(rays, (-1, -1, -1), (6, 5, 4), 16).select("ray_id", "k", r4("z").alias("z"))
+
+
+@query("w08_unmeasured_rays", f"WITH {BLIND_SQL} SELECT ray_id, i AS k, r4(far*(i/15.0)) AS z FROM f, range(16) t(i)")
+def _(fx):
+    return R.unmeasured_samples(_blind_rays(fx), (-1, -1, -1), (6, 5, 4), 16).select("ray_id", "k", r4("z").alias("z"))
+
+
+def _soft_ball(samples):
+    """Signed distance, scaled by a tenth, from a ball in the middle of the room."""
+    d = g.sub(g.vec("px", "py", "pz"), [F.lit(2.5), F.lit(2.0), F.lit(1.5)])
+    return samples.withColumn("sdf", (g.norm(d) - 1.0) * 0.1)
+
+
+@query(
+    "w08_chained_samples",
+    f"""WITH {BLIND_SQL}, c AS (SELECT *, far*(i/15.0) AS z, i AS k FROM f, range(16) t(i)),
+    s AS (SELECT ray_id, k, z, (sqrt((ox+dx*z-2.5)*(ox+dx*z-2.5)+(oy+dy*z-2.0)*(oy+dy*z-2.0)+(oz+dz*z-1.5)*(oz+dz*z-1.5)) - 1.0) * 0.1 AS sdf FROM c),
+    a AS (SELECT *, 1.0-exp(-10.0/(1.0+exp(10.0*sdf))) AS alpha FROM s),
+    w AS (SELECT *, alpha * exp(coalesce(sum(ln(1.0-alpha+1e-10)) OVER (PARTITION BY ray_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS w FROM a),
+    mid AS (SELECT ray_id, k, 0.5 * (z + lead(z) OVER o) AS z, 0.5 * (lead(z) OVER o + lead(z, 2) OVER o) AS z_hi, CASE WHEN k < 14 THEN lead(w) OVER o END AS weight FROM w WINDOW o AS (PARTITION BY ray_id ORDER BY k)),
+    cum AS (SELECT *, coalesce(sum(weight) OVER (PARTITION BY ray_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS lo FROM mid WHERE z IS NOT NULL),
+    d AS (SELECT *, lead(lo) OVER (PARTITION BY ray_id ORDER BY k) AS hi FROM cum),
+    h AS (SELECT d.*, u, row_number() OVER (PARTITION BY ray_id, j ORDER BY k DESC) AS rn FROM d JOIN (SELECT j, j / 7.0 AS u FROM range(8) t(j)) ON u >= lo),
+    fine AS (SELECT ray_id, CASE WHEN z_hi IS NULL THEN z ELSE z + (u-lo) / (CASE WHEN hi-lo < 1e-5 THEN 1.0 ELSE hi-lo END) * (z_hi-z) END AS z FROM h WHERE rn = 1),
+    every AS (SELECT ray_id, z, 0 AS fine FROM s UNION ALL SELECT ray_id, z, 1 FROM fine),
+    n AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY z, fine) - 1 AS k FROM every)
+    SELECT ray_id, count(*) AS n, sum(fine)::BIGINT AS n_fine, r4(max(z)) AS far, r4(sum(z * k)) AS by_place, r4(sum(CASE WHEN fine = 1 THEN z END)) AS fine_sum FROM n GROUP BY ray_id""",
+)
+def _(fx):
+    s = R.chained_samples(_blind_rays(fx), (-1, -1, -1), (6, 5, 4), _soft_ball, 16, 8)
+    fine = F.when(F.col("fine"), F.col("z"))
+    return s.groupBy("ray_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(fine).alias("n_fine"), r4(F.max("z")).alias("far"), r4(F.sum(F.col("z") * F.col("k"))).alias("by_place"), r4(F.sum(fine)).alias("fine_sum")
+    )
 
 
 @query("t03_pixel_sampling")

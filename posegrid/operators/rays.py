@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import rand
+from ..session import materialize
 from .ordered import lag_by_index, percentiles, prefix_sum
 from .skew import small_table
 
@@ -162,18 +165,43 @@ def median_error_mask(rays: DataFrame, keys, error: str, factor: float = 10.0, r
     return rays.join(small_table(med), list(keys)).filter(F.col(error) < factor * F.col("_med")).drop("_med")
 
 
-def unmeasured_samples(rays: DataFrame, lo, hi, n: int = 32, keys=("ray_id",)) -> DataFrame:
-    """Evenly spaced depths from 0 to the box exit, for rays without depth (``ox..oz, dx..dz``)."""
+def unmeasured_samples(rays: DataFrame, lo, hi, n: int = 32, keys=("ray_id",), carry=()) -> DataFrame:
+    """Evenly spaced depths from 0 to the box exit, for rays without depth (``ox..oz, dx..dz``); NULL depth counts as none."""
     far = g.box_exit(g.vec("ox", "oy", "oz"), g.vec("dx", "dy", "dz"), lo, hi)
     t = F.col("k") / F.lit(float(max(n - 1, 1)))
     return (
-        rays.filter(F.col("depth") <= 0)
+        rays.filter(F.coalesce(F.col("depth") <= 0, F.lit(True)))
         .withColumn("far", far)
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        .select(*keys, "k", (F.col("far") * t).alias("z"))
+        .select(*keys, "k", (F.col("far") * t).alias("z"), *carry)
     )
 
 
+RAY_COLUMNS = ("ox", "oy", "oz", "dx", "dy", "dz")
+
+
+def chained_samples(
+    rays: DataFrame, lo, hi, field: Callable[[DataFrame], DataFrame], n: int = 32, n_importance: int = 8, keys=("ray_id",), beta: float = 10.0, deterministic: bool = True, seed: int = 0
+) -> DataFrame:
+    """Sorted depths of rays without a measurement: ``n`` samples to the box exit, and ``n_importance`` where their weights say that the
+    surface is.
+
+    ``field`` adds ``sdf`` to samples at px, py, pz (a join with a lattice, or any expression). A ray has ``n + n_importance`` rows at most,
+    so its numbering is one small window. Without ``deterministic`` the coarse samples are jittered and the fine ones drawn.
+    """
+    keys = list(keys)
+    coarse = unmeasured_samples(rays, lo, hi, n, keys, RAY_COLUMNS)
+    if not deterministic:
+        coarse = jitter(coarse, keys, seed=seed)
+    at = g.add(g.vec(*RAY_COLUMNS[:3]), g.scale(g.vec(*RAY_COLUMNS[3:]), F.col("z")))
+    # written once: the bins and the merge both read it
+    coarse = materialize(field(coarse.withColumns(dict(zip(("px", "py", "pz"), at)))).select(*keys, "k", "z", "sdf"), "coarse")
+    fine = sample_pdf(importance_bins(coarse, keys, "k", beta), n_importance, keys, deterministic=deterministic, seed=seed + 1)
+    merged = coarse.select(*keys, "z", F.lit(False).alias("fine"), "k").unionByName(fine.select(*keys, F.col("sample").alias("z"), F.lit(True).alias("fine"), F.col("j").alias("k")))
+    order = Window.partitionBy(*keys).orderBy("z", "fine", "k")
+    return merged.withColumn("k", F.row_number().over(order) - 1).select(*keys, "k", "z", "fine")
+
+
 def importance_bins(samples: DataFrame, keys=("ray_id",), index: str = "k", beta: float = 10.0) -> DataFrame:
     """Nodes for ``sample_pdf`` from composited samples: midpoints as nodes, the weights of the
     inner samples as bin weights."""

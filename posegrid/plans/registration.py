@@ -8,11 +8,16 @@ folder each round, and the clouds are never collected.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
+import os
+import pkgutil
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -78,13 +83,49 @@ def register_method(name: str):
     return wrap
 
 
+def discover(spark: SparkSession, folder: str) -> list[str]:
+    """Import every module of a methods folder, and of its ``experimental`` part where there is one; the names that these register.
+
+    Files also go to the workers, so functions of a method's own can run there. A module keeps its file name, so one that another
+    module already has is refused. Calling again changes nothing.
+    """
+    own = []
+    for place in (folder, os.path.join(folder, "experimental")):
+        for info in sorted(pkgutil.iter_modules([place]), key=lambda m: m.name):
+            if info.ispkg:
+                continue
+            path = os.path.realpath(os.path.join(place, info.name + ".py"))
+            held = sys.modules.get(info.name)
+            if held is None:
+                if importlib.util.find_spec(info.name) is not None:
+                    raise ValueError(f"{path}: another module is named {info.name!r}")
+                spec = importlib.util.spec_from_file_location(info.name, path)
+                held = sys.modules[info.name] = importlib.util.module_from_spec(spec)
+                try:
+                    spec.loader.exec_module(held)
+                except BaseException:
+                    del sys.modules[info.name]
+                    raise
+            elif os.path.realpath(getattr(held, "__file__", None) or "") != path:
+                raise ValueError(f"{path}: another module is named {info.name!r}")
+            if not any(sent.endswith(f"/{info.name}.py") for sent in spark.sparkContext.listFiles):
+                spark.sparkContext.addPyFile(path)
+            own += [name for name, fn in METHODS.items() if fn.__module__ == info.name]
+    return sorted(own)
+
+
 def available_methods() -> list[str]:
+    """Names of all methods: the package's own, whose modules are imported here, and those registered or discovered."""
+    package = importlib.import_module(__package__)
+    for info in pkgutil.iter_modules(package.__path__):
+        importlib.import_module(f"{__package__}.{info.name}")
     return sorted(METHODS)
 
 
 def get_method(name: str) -> Method:
+    known = available_methods()
     if name not in METHODS:
-        raise KeyError(f"unknown method {name!r}; available: {available_methods()}")
+        raise KeyError(f"no method {name!r} among {', '.join(known)}")
     return METHODS[name]
 
 
