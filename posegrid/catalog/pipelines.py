@@ -18,7 +18,7 @@ from ..operators import trajectory as T
 from ..plans import evaluation as E
 from ..plans import geometric
 from ..plans import registration as R
-from ..session import shared_dir
+from ..session import shared_dir, write_folders
 from ..sources import poses as P
 from ..sources import sinks, tables
 from ..streaming import frames as ST
@@ -67,7 +67,7 @@ def _(fx):
     r = g.flip_camera(g.mat("r"))
     rows = [F.concat_ws(" ", *[c.cast("string") for c in [*r[i], F.col(t)]]) for i, t in enumerate(("tx", "ty", "tz"))]
     text = fx.current.select(F.format_string("%06d", F.col("frame")).alias("f"), F.concat_ws("\n", *rows, F.lit("0 0 0 1")).alias("value"))
-    text.repartition("f").write.partitionBy("f").text(path)
+    write_folders(text, path, ["f"])
     files = fx.spark.read.text(path, wholetext=True).select(F.col("f").cast("int").alias("frame_idx"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").cast("array<double>").alias("_v"))
     return files.select("frame_idx", *P._pose_columns(F.col("_v"))).select("frame_idx", *[r4(c).alias(c) for c in ("r00", "r02", "r21", "tx", "ty")])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as g
+from ..session import write_folders
 
 ROT = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
@@ -72,4 +73,4 @@ def write_pose_lines(poses: DataFrame, path: str, keys=("seq_id",)) -> None:
     rows = [[*r[i], F.col(t)] for i, t in enumerate(("tx", "ty", "tz"))]
     text = F.concat_ws(" ", *[c.cast("string") for row in rows for c in row], F.lit("0 0 0 1"))
     out = poses.select(*keys, "frame_idx", text.alias("value"))
-    out.repartition(*keys).sortWithinPartitions(*keys, "frame_idx").select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
+    write_folders(out, path, keys, ["frame_idx"])

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_folders
+
 SIM3 = [f"m{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]
 TRANSFORM = T.StructType([T.StructField("scene_id", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in SIM3])
 
@@ -34,12 +36,12 @@ def _six_decimals(df: DataFrame, columns) -> DataFrame:
 
 def write_associations(pairs: DataFrame, path: str) -> None:
     """Lines ``a ax ay az b bx by bz`` of matched stamps, in a folder for each sequence."""
-    _six_decimals(pairs, ["a", "ax", "ay", "az", "b", "bx", "by", "bz"]).repartition("seq_id").write.mode("overwrite").partitionBy("seq_id").text(path)
+    write_folders(_six_decimals(pairs, ["a", "ax", "ay", "az", "b", "bx", "by", "bz"]), path, ["seq_id"])
 
 
 def write_aligned(track: DataFrame, path: str) -> None:
     """Lines ``ts x y z`` of aligned trajectories, in a folder for each sequence."""
-    _six_decimals(track, ["ts", "tx", "ty", "tz"]).repartition("seq_id").write.mode("overwrite").partitionBy("seq_id").text(path)
+    write_folders(_six_decimals(track, ["ts", "tx", "ty", "tz"]), path, ["seq_id"])
 
 
 def save_transform(transform: DataFrame, path: str) -> None:
