@@ -24,8 +24,10 @@ SCALE = 1_000_000_000
 PART = 31_250
 COUNTS = "lang string, source string, term string, n long, docs long"
 KEYS = ["lang", "source", "term"]
-#: Rows of partial counts a task holds before it hands them on, and numbers in a block of a shard's matrix.
-HELD_ROWS = 200_000
+#: Rows of partial counts a task gathers before it merges them, and the merged rows that it hands on; rows in a batch handed on; and
+#: numbers in a block of a shard's matrix.
+HELD_ROWS = 350_000
+SENT_ROWS = 1 << 16
 BLOCK_CELLS = 1 << 20
 
 
@@ -74,23 +76,27 @@ def chunk_counts(texts: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Table:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     held: list[pa.Table] = []
-    merged_rows = 0
+    rows, merged_rows = 0, 0
 
-    def out(t: pa.Table) -> dict:
-        return {c: t[c].combine_chunks() for c in t.column_names}
+    def out(t: pa.Table) -> Iterator[dict]:
+        for part in t.combine_chunks().to_batches(max_chunksize=SENT_ROWS):
+            yield {c: part.column(c) for c in part.schema.names}
 
     for batch in batches:
         texts = column(batch, "text").cast(pa.large_string()).fill_null("")
         for i, j, _, _ in text_chunks(texts, CHUNK_BYTES):
             held.append(chunk_counts(texts.slice(i, j - i), column(batch, "lang").slice(i, j - i), column(batch, "source").slice(i, j - i)))
-        if sum(t.num_rows for t in held) > merged_rows + HELD_ROWS:
-            held = [merged(held)]
-            merged_rows = held[0].num_rows
-            if merged_rows > HELD_ROWS:
-                yield out(held[0])
-                held, merged_rows = [], 0
+            rows += held[-1].num_rows
+            # asked after each chunk, as a batch may have many
+            if rows > merged_rows + HELD_ROWS:
+                held = [merged(held)]
+                rows = merged_rows = held[0].num_rows
+                if merged_rows > HELD_ROWS:
+                    yield from out(held[0])
+                    held, rows, merged_rows = [], 0, 0
+                    pa.default_memory_pool().release_unused()
     if held:
-        yield out(merged(held))
+        yield from out(merged(held))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

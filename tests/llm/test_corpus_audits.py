@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from posegrid.llm import divergence_audit, line_dedup, spelling_groups
@@ -215,3 +216,24 @@ def test_text_digest_matches(spark, texts):
     got = line_dedup.deduplicated(docs).select("row.doc_id", "n_lines", "n_dropped", F.sha2("clean", 256).alias("h")).collect()
     want = [(d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute_lines(texts)]
     assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_counts_of_one_large_batch_are_handed_on_in_parts(monkeypatch):
+    """A batch of many chunks must not be held whole: nothing handed on passes the bound, and the sums stay right."""
+    monkeypatch.setattr(divergence_audit, "HELD_ROWS", 300)
+    monkeypatch.setattr(divergence_audit, "SENT_ROWS", 64)
+    monkeypatch.setattr(divergence_audit, "CHUNK_BYTES", 1000)
+    held = []
+    merged = divergence_audit.merged
+    monkeypatch.setattr(divergence_audit, "merged", lambda tables: held.append(sum(t.num_rows for t in tables)) or merged(tables))
+    word = lambda k: "W" + chr(97 + k // 26) + chr(97 + k % 26)
+    texts = [" ".join(word((i * 7 + k) % 600) for k in range(40)) for i in range(200)]
+    batch = pa.record_batch({"text": texts, "lang": ["en"] * 200, "source": [f"s{i % 3}" for i in range(200)]})
+    parts = [pa.table(t) for t in divergence_audit._counted(iter([batch, batch.slice(50, 30)]))]
+    assert max(t.num_rows for t in parts) <= 64 and max(held) <= 2 * 300 + 200
+    got, want = Counter(), Counter()
+    for r in pa.concat_tables(parts).to_pylist():
+        got[r["source"], r["term"]] += r["n"]
+    for i in [*range(200), *range(50, 80)]:
+        want.update((f"s{i % 3}", w.lower()) for w in texts[i].split())
+    assert {k: n for k, n in got.items() if k[1]} == want
