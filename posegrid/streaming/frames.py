@@ -94,7 +94,7 @@ def thin_stream(samples: DataFrame, min_gap: str, key: str = "seq_id", delay: st
     What is remembered of a key, its last kept stamp, leaves the state when ``min_gap`` has passed: it decides nothing after that.
     """
     gap = state.micros(min_gap)
-    out = state.in_order(samples.select(key, "ts"), state.thinned(gap), [key], ["us"], "us long", "at long, last long", "us long", gap, "ts", delay)
+    out = state.in_order(samples.select(key, "ts"), state.thinned(gap), [key], ["us"], "at long, last long", "us long", gap, "ts", delay)
     return out.select(key, F.timestamp_micros("us").alias("ts"))
 
 
@@ -105,11 +105,11 @@ def predict_stream(poses: DataFrame, key: str = "seq_id", idle: str = "1 day", d
     then the key has left the state.
     """
     axes = ("tx", "ty", "tz")
-    cols = [", ".join(f"{p}{a} double" for a in axes) for p in ("", "a", "b", "pred_")]
+    cols = [", ".join(f"{p}{a} double" for a in axes) for p in ("a", "b", "pred_")]
     rest = state.micros(idle)
     return state.in_order(
-        poses, state.predicted(axes, rest), [key], ["us", "frame_idx", *axes], f"us long, frame_idx long, {cols[0]}",
-        f"at long, before long, known int, {cols[1]}, {cols[2]}", f"frame_idx long, {cols[3]}", rest, "ts", delay,
+        poses, state.predicted(axes, rest), [key], ["us", "frame_idx", *axes],
+        f"at long, before long, known int, {cols[0]}, {cols[1]}", f"frame_idx long, {cols[2]}", rest, "ts", delay,
     ).select(key, "frame_idx", *[F.nanvl(F.col("pred_" + a), F.lit(None).cast("double")).alias("pred_" + a) for a in axes])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from posegrid.session import shared_dir
 from posegrid.streaming import frames as ST
-from posegrid.streaming.ordered_state import predicted, thinned
+from posegrid.streaming.ordered_state import InOrder, predicted, thinned
 
 START = 1_700_000_000_000_000
 
@@ -79,3 +79,25 @@ def test_rules_do_not_depend_on_where_batches_end():
                 parts.append(out)
             pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole)
             assert memory[0] == end[0]
+
+
+def test_many_sequences_share_few_keys_of_state(spark, monkeypatch):
+    """Calls and requests to the state cost the same however few rows they carry, so they go by shard; a null sequence stays one."""
+    calls = spark.sparkContext.accumulator(0)
+    handle = InOrder.handleInputRows
+
+    def counted(self, key, rows, timers):
+        calls.add(1)
+        return handle(self, key, rows, timers)
+
+    monkeypatch.setattr(InOrder, "handleInputRows", counted)
+    monkeypatch.setattr(InOrder, "__module__", "__main__")  # sent by value, so that workers count, too
+    big = 2**53 + 1
+    seqs = [None, 0, big, big + 1, *range(1, 400)]
+    rows = [(s, START + k * 1_000_000 + (s or 0) % 7) for k in (0, 2, 1, 5, 4, 9) for s in seqs]
+    s = _stream(spark, "many", [rows[: len(rows) // 2], rows[len(rows) // 2 :], [(5000, START + 10**10)]], "seq_id long, us long")
+    monkeypatch.setattr(ST.state.in_order, "__defaults__", (4,))
+    kept = ST.drain(ST.thin_stream(s, "3 seconds", delay="10 seconds"), "append", "many").select("seq_id", F.unix_micros("ts").alias("us")).collect()
+    want = {(s, START + k * 1_000_000 + (s or 0) % 7) for k in (0, 4, 9) for s in seqs}
+    assert {(r.seq_id, r.us) for r in kept} - {(5000, START + 10**10)} == want
+    assert 0 < calls.value <= 4 * 3
