@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from ..functions import geometry as g
 from ..functions import rand
 from ..session import materialize
 from .ordered import lag_by_index, percentiles, prefix_sum
-from .skew import small_table
+from .skew import ROWS_PER_TASK, small_table
 
 
 def jitter_bounds(samples: DataFrame, keys=("ray_id",), index: str = "k", block: int = 1 << 18) -> DataFrame:
@@ -29,11 +30,11 @@ def jitter(samples: DataFrame, keys=("ray_id",), index: str = "k", seed: int = 0
     return b.withColumn("z", F.col("lower") + (F.col("upper") - F.col("lower")) * u).drop("lower", "upper")
 
 
-def composite_weights(samples: DataFrame, keys=("ray_id",), index: str = "k", beta: float = 10.0, block: int = 1 << 18) -> DataFrame:
-    """Front-to-back weights: alpha times the transmittance of all earlier samples."""
+def composite_weights(samples: DataFrame, keys=("ray_id",), index: str = "k", beta: float = 10.0, block: int = 1 << 18, length: int | None = None) -> DataFrame:
+    """Front-to-back weights: alpha times the transmittance of all earlier samples. ``length``, where known, bounds the rows of a ray."""
     alpha = g.sdf_to_alpha(F.col("sdf"), beta)
     s = samples.withColumn("alpha", alpha)
-    s = prefix_sum(s, keys, index, {"_log_t": F.log(1.0 - F.col("alpha") + 1e-10)}, block=block)
+    s = prefix_sum(s, keys, index, {"_log_t": F.log(1.0 - F.col("alpha") + 1e-10)}, block=block, length=length)
     return s.withColumn("w", F.col("alpha") * F.exp("_log_t")).drop("_log_t")
 
 
@@ -46,7 +47,7 @@ def composite(samples: DataFrame, keys=("ray_id",), index: str = "k", beta: floa
     return w.groupBy(*keys).agg(*aggs)
 
 
-def cdf_bins(bins: DataFrame, keys=("ray_id",), index: str = "k", block: int = 1 << 18) -> DataFrame:
+def cdf_bins(bins: DataFrame, keys=("ray_id",), index: str = "k", block: int = 1 << 18, length: int | None = None) -> DataFrame:
     """Bins with their cumulative weight interval.
 
     Bin ``k`` runs from position ``z_k`` to ``z_(k+1)`` and carries ``weight`` of node ``k``. Weights
@@ -54,11 +55,31 @@ def cdf_bins(bins: DataFrame, keys=("ray_id",), index: str = "k", block: int = 1
     end and has no width.
     """
     b = lag_by_index(bins, keys, index, {"z_hi": ("z", -1)}, block)
-    return prefix_sum(b, keys, index, {"cdf_lo": F.coalesce("weight", F.lit(0.0))}, block=block).withColumn(
+    return prefix_sum(b, keys, index, {"cdf_lo": F.coalesce("weight", F.lit(0.0))}, block=block, length=length).withColumn(
         "cdf_hi", F.when(F.col("z_hi").isNotNull(), F.col("cdf_lo") + F.col("weight"))
     )
 
 
+def _even_draws(n: int) -> Column:
+    """Numbers of the evenly spaced uniforms that may fall into a bin; null where none can."""
+    step = 1.0 / max(n - 1, 1)
+    lo = F.floor(F.least(F.col("cdf_lo"), F.lit(2.0)) / step).cast("long") - 1
+    hi = F.floor(F.least(F.coalesce("cdf_hi", F.lit(1.0)), F.lit(1.0)) / step).cast("long") + 1
+    first, last = F.greatest(lo, F.lit(0).cast("long")), F.least(hi, F.lit(n - 1).cast("long"))
+    return F.when(first <= last, F.sequence(first, last))
+
+
+def _owns(u: Column) -> Column:
+    return (u >= F.col("cdf_lo")) & (F.col("cdf_hi").isNull() | (u < F.col("cdf_hi")))
+
+
+def _placed(u: Column) -> Column:
+    """Position of a uniform inside its bin."""
+    width = F.col("cdf_hi") - F.col("cdf_lo")
+    t = (u - F.col("cdf_lo")) / F.when(width < 1e-5, 1.0).otherwise(width)
+    return F.when(F.col("z_hi").isNull(), F.col("z")).otherwise(F.col("z") + t * (F.col("z_hi") - F.col("z")))
+
+
 def sample_pdf(bins: DataFrame, n: int, keys=("ray_id",), index: str = "k", deterministic: bool = True, seed: int = 0, block: int = 1 << 18) -> DataFrame:
     """Inverse-CDF samples: each uniform goes to the last bin starting at or below it.
 
@@ -72,13 +93,9 @@ def sample_pdf(bins: DataFrame, n: int, keys=("ray_id",), index: str = "k", dete
     # Ties: a zero-weight bin shares its start with the next one and the later bin wins.
     owner = (F.col("cdf_hi") > F.col("cdf_lo")) | F.col("cdf_hi").isNull()
     c = c.filter(owner)
-    step = 1.0 / max(n - 1, 1)
     if deterministic:
-        lo = F.floor(F.least(F.col("cdf_lo"), F.lit(2.0)) / step).cast("long") - 1
-        hi = F.floor(F.least(F.coalesce("cdf_hi", F.lit(1.0)), F.lit(1.0)) / step).cast("long") + 1
-        first, last = F.greatest(lo, F.lit(0).cast("long")), F.least(hi, F.lit(n - 1).cast("long"))
-        c = c.withColumn("j", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("u", F.col("j") / F.lit(float(max(n - 1, 1))))
-        c = c.filter((F.col("u") >= F.col("cdf_lo")) & (F.col("cdf_hi").isNull() | (F.col("u") < F.col("cdf_hi"))))
+        c = c.withColumn("j", F.explode(_even_draws(n))).withColumn("u", F.col("j") / F.lit(float(max(n - 1, 1))))
+        c = c.filter(_owns(F.col("u")))
     else:
         lo_b = F.floor(F.least(F.col("cdf_lo"), F.lit(1.0)) * n).cast("long")
         hi_b = F.floor(F.least(F.coalesce("cdf_hi", F.lit(1.0)), F.lit(1.0)) * n).cast("long")
@@ -86,12 +103,8 @@ def sample_pdf(bins: DataFrame, n: int, keys=("ray_id",), index: str = "k", dete
         rays = bins.select(*keys).distinct()
         draws = rays.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         draws = draws.withColumn("u", rand.uniform(*keys, "j", seed=seed)).withColumn("_b", F.floor(F.col("u") * n).cast("long"))
-        hit = (F.col("u") >= F.col("cdf_lo")) & (F.col("cdf_hi").isNull() | (F.col("u") < F.col("cdf_hi")))
-        c = draws.join(spread, keys + ["_b"]).filter(hit)
-    width = F.col("cdf_hi") - F.col("cdf_lo")
-    t = (F.col("u") - F.col("cdf_lo")) / F.when(width < 1e-5, 1.0).otherwise(width)
-    sample = F.when(F.col("z_hi").isNull(), F.col("z")).otherwise(F.col("z") + t * (F.col("z_hi") - F.col("z")))
-    return c.select(*keys, "j", "u", sample.alias("sample"))
+        c = draws.join(spread, keys + ["_b"]).filter(_owns(F.col("u")))
+    return c.select(*keys, "j", "u", _placed(F.col("u")).alias("sample"))
 
 
 def depth_samples(rays: DataFrame, n_free: int = 32, n_surface: int = 8, truncation: float = 0.06, keys=("ray_id",)) -> DataFrame:
@@ -187,27 +200,43 @@ def chained_samples(
     surface is.
 
     ``field`` adds ``sdf`` to samples at px, py, pz (a join with a lattice, or any expression). A ray has ``n + n_importance`` rows at most,
-    so its numbering is one small window. Without ``deterministic`` the coarse samples are jittered and the fine ones drawn.
+    so rays are dealt to tasks once, and all that follows (weights, bins, draws, numbering) is small windows inside a task: no sample is
+    written or shuffled, unless the field does. Without ``deterministic`` the coarse samples are jittered and the fine ones drawn.
     """
     keys = list(keys)
-    coarse = unmeasured_samples(rays, lo, hi, n, keys, RAY_COLUMNS)
+    blind = materialize(rays.filter(F.coalesce(F.col("depth") <= 0, F.lit(True))).select(*keys, "depth", *RAY_COLUMNS), "rays")
+    spark = rays.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(blind.count() * (n + n_importance) / ROWS_PER_TASK))
+    coarse = unmeasured_samples(blind.repartition(tasks, *keys), lo, hi, n, keys, RAY_COLUMNS)
     if not deterministic:
         coarse = jitter(coarse, keys, seed=seed)
     at = g.add(g.vec(*RAY_COLUMNS[:3]), g.scale(g.vec(*RAY_COLUMNS[3:]), F.col("z")))
-    # written once: the bins and the merge both read it
-    coarse = materialize(field(coarse.withColumns(dict(zip(("px", "py", "pz"), at)))).select(*keys, "k", "z", "sdf"), "coarse")
-    fine = sample_pdf(importance_bins(coarse, keys, "k", beta), n_importance, keys, deterministic=deterministic, seed=seed + 1)
-    merged = coarse.select(*keys, "z", F.lit(False).alias("fine"), "k").unionByName(fine.select(*keys, F.col("sample").alias("z"), F.lit(True).alias("fine"), F.col("j").alias("k")))
+    coarse = field(coarse.withColumns(dict(zip(("px", "py", "pz"), at)))).select(*keys, "k", "z", "sdf")
+    # every sample carries the bin that starts at the midpoint behind it, and hands on what is drawn there
+    c = cdf_bins(_nodes(coarse, keys, "k", beta, n).withColumnRenamed("z", "_z").withColumnRenamed("_mid", "z"), keys, "k", length=n)
+    owner = F.col("z").isNotNull() & ((F.col("cdf_hi") > F.col("cdf_lo")) | F.col("cdf_hi").isNull())
+    j, none = F.col("_j"), F.array().cast("array<bigint>")
+    if deterministic:
+        numbers, u = _even_draws(n_importance), j / F.lit(float(max(n_importance - 1, 1)))
+    else:
+        numbers, u = F.sequence(F.lit(0).cast("long"), F.lit(n_importance - 1).cast("long")), rand.uniform(*keys, "_j", seed=seed + 1)
+    # -1 is the sample itself
+    drawn = c.withColumn("_j", F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.coalesce(F.when(owner, numbers), none)))).withColumn("_u", u)
+    place = F.when(j < 0, F.col("_z")).otherwise(_placed(F.col("_u")))
+    merged = drawn.filter((j < 0) | _owns(F.col("_u"))).select(*keys, place.alias("z"), (j >= 0).alias("fine"), F.when(j < 0, F.col("k")).otherwise(j).alias("k"))
     order = Window.partitionBy(*keys).orderBy("z", "fine", "k")
     return merged.withColumn("k", F.row_number().over(order) - 1).select(*keys, "k", "z", "fine")
 
 
+def _nodes(samples: DataFrame, keys, index: str, beta: float, length: int | None = None) -> DataFrame:
+    """Composited samples with ``_mid``, the midpoint to the next one (null for the last), and ``weight``, the next inner sample's."""
+    w = composite_weights(samples, keys, index, beta, length=length)
+    s = lag_by_index(w, keys, index, {"_z1": ("z", -1), "_w1": ("w", -1), "_z2": ("z", -2)})
+    return s.select(*keys, index, "z", (0.5 * (F.col("z") + F.col("_z1"))).alias("_mid"), F.when(F.col("_z2").isNotNull(), F.col("_w1")).alias("weight"))
+
+
 def importance_bins(samples: DataFrame, keys=("ray_id",), index: str = "k", beta: float = 10.0) -> DataFrame:
     """Nodes for ``sample_pdf`` from composited samples: midpoints as nodes, the weights of the
     inner samples as bin weights."""
-    w = composite_weights(samples, keys, index, beta)
-    s = lag_by_index(w, keys, index, {"_z1": ("z", -1), "_w1": ("w", -1), "_z2": ("z", -2)})
-    return s.filter(F.col("_z1").isNotNull()).select(
-        *keys, index, (0.5 * (F.col("z") + F.col("_z1"))).alias("z"), F.when(F.col("_z2").isNotNull(), F.col("_w1")).alias("weight")
-    )
-
+    s = _nodes(samples, keys, index, beta).filter(F.col("_mid").isNotNull())
+    return s.select(*keys, index, F.col("_mid").alias("z"), "weight")
