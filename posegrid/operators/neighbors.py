@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -321,18 +322,74 @@ def neighborhoods(src: DataFrame, dst: DataFrame, radius: float | None, max_nn:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_nn).drop("sx", "sy", "sz")
 
 
-def mutual_nearest_features(a: DataFrame, b: DataFrame, keys=(), rows_per_block: int = 2048) -> DataFrame:
+TILE = 1 << 23  # distances held at a time
+
+
+def _least(own, other, d2, n):
+    """For each of ``n`` owners the partner at the least distance, the first one of several: its index and distance."""
+    order = np.lexsort((other, d2, own))
+    first = order[np.r_[True, np.diff(own[order]) != 0]]
+    at, best = np.zeros(n, np.int64), np.full(n, np.inf)
+    at[own[first]], best[own[first]] = other[first], d2[first]
+    return at, best
+
+
+def nearest_rows(u, v):
+    """Index and squared distance of the nearest row of ``v`` for each row of ``u``, and of ``u`` for each of ``v``; ties go to the first row.
+
+    Distances are sums of squared differences in double precision. A matrix product in single precision says how far rows are apart up to
+    its rounding error; only pairs within that of a minimum are measured. Rows that it can't tell apart are all measured.
+    """
+    a, b = np.einsum("ij,ij->i", u, u), np.einsum("ij,ij->i", v, v)
+    top = a.max() + b.max()
+    slack = (4.0 * u.shape[1] + 64.0) * np.finfo(np.float32).eps * top + 1e-30
+    rough = bool(np.isfinite(top) and top < 1e30)  # squares of longer rows leave single precision
+    one = np.ones((len(v), 1))
+    right = np.hstack([v, b[:, None], one]).astype(np.float32).T if rough else None
+    rows, cols, away, ceiling = [], [], [], np.full(len(v), np.inf)
+    step = max(1, TILE // len(v))
+    for lo in range(0, len(u), step):
+        p = u[lo : lo + step]
+        near = None
+        if rough:
+            left = np.hstack([-2.0 * p, np.ones((len(p), 1)), a[lo : lo + step, None]]).astype(np.float32)
+            d = left @ right
+            ceiling = np.minimum(ceiling, d.min(0))
+            # in single precision a bound may round down: the slack covers twice the error
+            near = np.flatnonzero((d <= (d.min(1) + slack)[:, None]) | (d <= ceiling + slack))
+        if near is None or len(near) > 16 * (len(p) + len(v)):
+            d = np.empty((len(p), len(v)))
+            for i in range(len(p)):
+                gap = v - p[i]
+                d[i] = np.einsum("ij,ij->i", gap, gap)
+            i, j = d.argmin(1), d.argmin(0)
+            own, other = np.r_[np.arange(len(p)), j], np.r_[i, np.arange(len(v))]
+            exact = d[own, other]
+        else:
+            own, other = np.divmod(near, len(v))
+            exact = np.empty(len(own))
+            for k in range(0, len(own), 1 << 15):
+                gap = v[other[k : k + (1 << 15)]] - p[own[k : k + (1 << 15)]]
+                exact[k : k + (1 << 15)] = np.einsum("ij,ij->i", gap, gap)
+        rows.append(own + lo), cols.append(other), away.append(exact)
+    own, other, exact = np.concatenate(rows), np.concatenate(cols), np.concatenate(away)
+    return _least(own, other, exact, len(u)), _least(other, own, exact, len(v))
+
+
+def mutual_nearest_features(a: DataFrame, b: DataFrame, keys=(), rows_per_block: int = 8192) -> DataFrame:
     """Pairs that are each other's nearest vector: ``keys, a_id, b_id, d2``.
 
-    High-dimensional vectors do not prune on grids, so both tables are cut into blocks; block pairs
-    are spread over the cluster and each yields only its per-row minima, never its pairs.
+    High-dimensional vectors do not prune on grids, so both tables are cut into blocks; block pairs are spread over the cluster and each
+    yields only its per-row minima, never its pairs (see ``nearest_rows``). Of equal vectors only the one with the lowest id can be
+    anybody's nearest, so only that one takes part.
     """
-    import numpy as np
     import pandas as pd
 
     keys = list(keys)
 
     def blocks(df: DataFrame, side: str) -> DataFrame:
+        df = df.groupBy(*keys, "vec").agg(F.min(f"{side}_id").alias(f"{side}_id"))
+        df = materialize(df, "vectors")
         n = max(1, -(-df.count() // rows_per_block))
         return df.select(*keys, f"{side}_id", F.col("vec").alias(f"{side}_vec")).withColumn(
             f"{side}_blk", F.pmod(F.xxhash64(f"{side}_id"), F.lit(n)).cast("int")
@@ -352,15 +409,11 @@ def mutual_nearest_features(a: DataFrame, b: DataFrame, keys=(), rows_per_block:
             return pd.DataFrame({**{k: [] for k in keys}, "side": [], "own": [], "other": [], "d2": []})
         x, y = x.sort_values("a_id"), y.sort_values("b_id")
         u, v = np.array(x["a_vec"].tolist(), dtype=float), np.array(y["b_vec"].tolist(), dtype=float)
-        d2 = np.empty((len(u), len(v)))
-        for i in range(len(u)):
-            d = v - u[i]
-            d2[i] = np.einsum("ij,ij->i", d, d)
-        i, j = d2.argmin(1), d2.argmin(0)
+        (j, near), (i, back) = nearest_rows(u, v)
         out = pd.concat(
             [
-                pd.DataFrame({"side": 0, "own": x["a_id"].to_numpy(), "other": y["b_id"].to_numpy()[i], "d2": d2.min(1)}),
-                pd.DataFrame({"side": 1, "own": y["b_id"].to_numpy(), "other": x["a_id"].to_numpy()[j], "d2": d2.min(0)}),
+                pd.DataFrame({"side": 0, "own": x["a_id"].to_numpy(), "other": y["b_id"].to_numpy()[j], "d2": near}),
+                pd.DataFrame({"side": 1, "own": y["b_id"].to_numpy(), "other": x["a_id"].to_numpy()[i], "d2": back}),
             ]
         )
         for n, k in enumerate(keys):
@@ -373,6 +426,7 @@ def mutual_nearest_features(a: DataFrame, b: DataFrame, keys=(), rows_per_block:
     best = parts.groupBy(*keys, "side", "own").agg(
         F.min_by(F.struct("other", "d2"), F.struct("d2", "other")).alias("_b")
     )
+    best = materialize(best, "minima")  # read for each direction
     fwd = best.filter("side = 0").select(*keys, F.col("own").alias("a_id"), F.col("_b.other").alias("b_id"), F.col("_b.d2").alias("d2"))
     bwd = best.filter("side = 1").select(*keys, F.col("own").alias("b_id"), F.col("_b.other").alias("a_id"))
     return fwd.join(bwd, keys + ["a_id", "b_id"])

@@ -1,8 +1,11 @@
 """Operators whose rows must not be written or shuffled once for each sample, voxel or pair."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from posegrid.operators import rays
+from posegrid.operators import neighbors, rays
 
 
 def test_samples_of_a_ray_are_neither_written_nor_shuffled(spark, monkeypatch):
@@ -16,3 +19,35 @@ def test_samples_of_a_ray_are_neither_written_nor_shuffled(spark, monkeypatch):
     assert all(w <= 500 for w in written)
     plan = n._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange") == 1
+
+
+def _brute(u, v):
+    d = np.array([np.einsum("ij,ij->i", v - x, v - x) for x in u])
+    return (d.argmin(1), d.min(1)), (d.argmin(0), d.min(0))
+
+
+def test_nearest_rows_equal_brute_force():
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=(700, 40))
+    cases = [(wide[:300], wide[300:]), (np.round(wide[:300]), np.round(wide[300:])), (wide[:300], wide[100:500]), (wide * 1e-7 + 3.0, wide[::-1] * 1e-7 + 3.0), (wide[:9] * 1e20, wide * 1e20), (wide[:1], wide[:1])]
+    for u, v in cases:
+        for got, want in zip(neighbors.nearest_rows(u, v), _brute(u, v)):
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_blocks_of_vectors_hold_no_table_of_pairs():
+    u = np.random.default_rng(4).normal(size=(8000, 3))
+    tracemalloc.start()
+    neighbors.nearest_rows(u, u + 1e-3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8000 * 8000 * 8 / 2
+
+
+def test_mutual_features_of_copies(spark):
+    rng = np.random.default_rng(5)
+    p, q = np.repeat(rng.normal(size=(40, 5)), 3, 0), np.repeat(rng.normal(size=(50, 5)), 2, 0)
+    side = lambda x, n: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], f"{n} long, vec array<double>")
+    got = neighbors.mutual_nearest_features(side(p, "a_id"), side(q, "b_id"), rows_per_block=16).collect()
+    (j, _), (i, _) = _brute(p, q)
+    assert sorted((r.a_id, r.b_id) for r in got) == [(a, j[a]) for a in range(len(p)) if i[j[a]] == a]
