@@ -5,7 +5,8 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from posegrid.operators import neighbors, rays
+from posegrid.functions.geometry import Camera
+from posegrid.operators import neighbors, rays, visibility
 
 
 def test_samples_of_a_ray_are_neither_written_nor_shuffled(spark, monkeypatch):
@@ -51,3 +52,26 @@ def test_mutual_features_of_copies(spark):
     got = neighbors.mutual_nearest_features(side(p, "a_id"), side(q, "b_id"), rows_per_block=16).collect()
     (j, _), (i, _) = _brute(p, q)
     assert sorted((r.a_id, r.b_id) for r in got) == [(a, j[a]) for a in range(len(p)) if i[j[a]] == a]
+
+
+def test_frames_make_their_voxels_in_their_rows(spark, monkeypatch):
+    cam = Camera(H=12, W=8, fx=6.0, fy=6.0, cx=3.5, cy=5.5)
+    rng = np.random.default_rng(6)
+    pixels = [(m, u, v, float(rng.uniform(1, 3))) for m in range(3) for u in range(8) for v in range(12)] + [(0, 2, 4, 1.5), (1, 9, 2, 2.0), (2, 2, 2, None)]
+    frames = []
+    for i in range(12):
+        a = i * 0.7
+        r = [-np.sin(a), 0.0, -np.cos(a), np.cos(a), 0.0, -np.sin(a), 0.0, 1.0, 0.0]
+        frames.append((i % 2, None if i == 11 else min(i, 9), i % 4, *map(float, r), *map(float, rng.uniform(0, 2, 3))))  # one id comes twice
+    p = spark.createDataFrame(pixels, "image long, u long, v long, depth double")
+    f = spark.createDataFrame(frames, "scene_id long, frame long, image long, " + ", ".join(f"{c} double" for c in visibility.POSE_COLUMNS))
+    args = (cam, ["scene_id"], ["frame"], ["image"], 0.2003, 0.4007, 4, 2)
+    fused = visibility.fused_voxels(p, f, *args)
+    got = {tuple(r[:4]): (r.frames, r.sdf) for r in fused.collect()}
+    hits = visibility._hits_by_join(p.filter("depth > 0"), f, *args).groupBy("scene_id", *visibility.CELL).agg(F.count("_d").alias("n"), F.avg(F.least(F.lit(1.0), F.col("_d") / 0.4007)).alias("sdf"))
+    want = {tuple(r[:4]): (r.n, r.sdf) for r in hits.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - s) < 1e-9 for k, (n, s) in want.items())
+    alone = visibility.fused_voxels(p, f.filter("frame < 9"), *args)
+    plan = alone._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    rows = plan.index("MapInArrow")  # below it frames meet images; above it only sums are dealt
+    assert plan[:rows].count("Exchange hashpartitioning") == 1 and "Join" not in plan[:rows]
