@@ -33,15 +33,17 @@ GATED_POINTS = 256
 MAX_LEVEL = 40
 RANK_BITS = 14  # 27 cells of at most GATED_POINTS points
 START_CELL_PAIRS = 200_000
+SMALL_INDEX = 20_000  # destinations whose 27 copies may be broadcast
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Cell sizes of a search: ``size`` at level 0, halved ``levels`` times."""
+    """Cell sizes of a search: ``size`` at level 0, halved ``levels`` times; and the destinations, where they were counted."""
 
     size: float
     levels: int
     gated: bool
+    points: int | None = None
 
     def width(self, level: int) -> float:
         return self.size / (1 << level)
@@ -51,9 +53,14 @@ def _cells(h: float, names=CELL) -> list[Column]:
     return [F.floor(F.col(a) / F.lit(h)).alias(c) for a, c in zip(XYZ, names)]
 
 
+def _occupancy(points: DataFrame, keys, h: float) -> tuple[int, int]:
+    """Points in the fullest cell, and in all."""
+    top, every = points.groupBy(*keys, *_cells(h)).count().agg(F.max("count"), F.sum("count")).first()
+    return top or 0, every or 0
+
+
 def _densest(points: DataFrame, keys, h: float) -> int:
-    top = points.groupBy(*keys, *_cells(h)).count().agg(F.max("count")).first()[0]
-    return top or 0
+    return _occupancy(points, keys, h)[0]
 
 
 def _distinct_points(dst: DataFrame, keys, k: int) -> DataFrame:
@@ -73,8 +80,9 @@ def plan_grid(src: DataFrame, dst: DataFrame, keys=(), radius: float | None = No
     leaf = leaf or max(LEAF_POINTS, 2 * k)
     spots = dst.select(*keys, *XYZ).distinct()
     if radius is not None:
-        if _densest(spots, keys, radius) <= GATED_POINTS:
-            return Grid(radius, 0, True)
+        densest, points = _occupancy(spots, keys, radius)
+        if densest <= GATED_POINTS:
+            return Grid(radius, 0, True, points)
         size = radius
         level = 1
     else:
@@ -242,8 +250,13 @@ def probe_index(src: DataFrame, index: DataFrame, keys, grid: Grid, radius: floa
     Distance and rank are packed into one long (48 bits of the squared distance relative to the
     gate, then the rank), so the minimum is unique and every aggregation buffer is a plain number:
     pairs flow from the join straight into the hash aggregation and are never sorted or stored.
+
+    The planner knows the files that an index was read from, not its copies, and would broadcast millions of them through the driver;
+    only an index counted as small is left to it.
     """
     keys = list(keys)
+    if grid.points is None or grid.points > SMALL_INDEX:
+        index = index.hint("merge")
     pairs = _probe(src, keys, grid.size).join(index, keys + list(CELL))
     pairs = pairs.withColumn("d2", _d2()).filter(F.col("d2") <= radius * radius)
     order = F.floor(F.col("d2") * (float(1 << 48) / (radius * radius))) * (1 << RANK_BITS) + F.col("rank")

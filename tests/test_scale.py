@@ -75,3 +75,16 @@ def test_frames_make_their_voxels_in_their_rows(spark, monkeypatch):
     plan = alone._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     rows = plan.index("MapInArrow")  # below it frames meet images; above it only sums are dealt
     assert plan[:rows].count("Exchange hashpartitioning") == 1 and "Join" not in plan[:rows]
+
+
+def test_a_large_index_is_not_broadcast(spark, tmp_path):
+    points = spark.range(30_000).select((F.col("id") % 200).cast("double").alias("x"), F.floor(F.col("id") / 200).cast("double").alias("y"), F.lit(0.0).alias("z"), F.col("id"))
+    points.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    plans = {}
+    for n in (300, 30_000):
+        dst = points.filter(F.col("id") < n).withColumnRenamed("id", "dst_id")
+        found = neighbors.nearest(points.withColumnRenamed("id", "src_id").withColumn("x", F.col("x") + 0.1), dst, radius=0.2)
+        assert found.count() == n and found.filter("src_id <> dst_id").isEmpty()
+        plans[n] = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plans[300] and "BroadcastHashJoin" not in plans[30_000] and "SortMergeJoin" in plans[30_000]
