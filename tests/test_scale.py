@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from posegrid.functions.geometry import Camera
-from posegrid.operators import neighbors, rays, visibility
+from posegrid.operators import neighbors, rays, sampling, views, visibility
 
 
 def test_samples_of_a_ray_are_neither_written_nor_shuffled(spark, monkeypatch):
@@ -88,3 +88,40 @@ def test_a_large_index_is_not_broadcast(spark, tmp_path):
         assert found.count() == n and found.filter("src_id <> dst_id").isEmpty()
         plans[n] = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plans[300] and "BroadcastHashJoin" not in plans[30_000] and "SortMergeJoin" in plans[30_000]
+
+
+def test_overlap_forms_no_row_for_a_pair(spark, monkeypatch):
+    cam = Camera(H=12, W=8, fx=6.0, fy=6.0, cx=3.5, cy=5.5)
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(views, "SAMPLES", 40)
+    monkeypatch.setattr(views, "KEYFRAMES", 16)
+    poses = []
+    for i in range(60):
+        a = i * 0.7
+        r = [-np.sin(a), 0.0, -np.cos(a), np.cos(a), 0.0, -np.sin(a), 0.0, 1.0, 0.0]
+        poses.append((None if i == 59 else i % 2, i // 2 * 2, *map(float, r), *map(float, rng.uniform(0, 2, 3))))  # ids come twice
+    points = [(i % 3, 0 if i % 10 else i % 7, i, *map(float, rng.uniform(-1, 3, 3))) for i in range(600)] + [(0, 1, 700, None, 0.0, 0.0), (1, None, 701, 0.0, 0.0, 0.0), (0, 2, 702, float("nan"), 0.0, 0.0)]
+    points += [(0, 5, 800 + i, p[11], p[12], p[13]) for i, p in enumerate(poses[:8])]  # on the apex
+    kf = spark.createDataFrame(poses, "scene_id long, kf long, " + ", ".join(f"{c} double" for c in visibility.POSE_COLUMNS))
+    s = spark.createDataFrame(points, "scene_id long, frame long, point_id long, x double, y double, z double")
+    seen = visibility.visible_points(kf, s.dropna(subset=["x"]).filter("not isnan(x)"), cam, ["scene_id"], ["kf"], ["frame", "point_id"], 1.0, strict_front=True)
+    want = {tuple(r) for r in seen.dropna(subset=["frame"]).groupBy("scene_id", "frame", "kf").count().collect()}
+    got = [tuple(r) for r in views.counts_by_frame(s, kf, cam, ["scene_id"], "frame", 1.0).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+    monkeypatch.setattr(views, "SAMPLES", 1 << 15)
+    whole = views.counts_by_frame(s, kf, cam, ["scene_id"], "frame", 1.0)
+    assert {tuple(r) for r in whole.collect()} == want
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Aggregate" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+
+
+def test_keyframes_are_picked_in_one_pass(spark, monkeypatch):
+    rows = [(0, f, k, 0.0 if f == 3 else k / 10) for f in range(4) for k in range(9)]
+    overlap = spark.createDataFrame(rows, "scene_id long, frame long, kf long, overlap double")
+    passes = []
+    plain = sampling.small_table
+    monkeypatch.setattr(sampling, "small_table", lambda df: passes.append(1) or plain(df))
+    kept = sampling.pick_keyframes(overlap, overlap.select("scene_id", "kf").distinct(), 2, ["scene_id"])
+    assert passes == [1] and "Window" not in kept.filter("reason = 'current'")._jdf.queryExecution().optimizedPlan().toString()
+    by = {(r.frame, r.reason): r["count"] for r in kept.groupBy("frame", "reason").count().collect()}
+    assert by == {(f, w): n for f in range(4) for w, n in (("overlap", 2), ("last", 2), ("current", 1)) if (f, w) != (3, "overlap")}
