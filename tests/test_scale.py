@@ -125,3 +125,32 @@ def test_keyframes_are_picked_in_one_pass(spark, monkeypatch):
     assert passes == [1] and "Window" not in kept.filter("reason = 'current'")._jdf.queryExecution().optimizedPlan().toString()
     by = {(r.frame, r.reason): r["count"] for r in kept.groupBy("frame", "reason").count().collect()}
     assert by == {(f, w): n for f in range(4) for w, n in (("overlap", 2), ("last", 2), ("current", 1)) if (f, w) != (3, "overlap")}
+
+
+def test_views_are_settled_in_blocks(spark, monkeypatch):
+    cam = Camera(H=12, W=8, fx=6.0, fy=6.0, cx=3.5, cy=5.5)
+    rng = np.random.default_rng(9)
+    for name, size in (("POINT_BITS", 7), ("DEEP_BITS", 7), ("FRAMES", 8), ("DEEP_FRAMES", 8)):
+        monkeypatch.setattr(views, name, size)
+    frames = []
+    for i in range(30):
+        a = i * 0.7
+        r = [-np.sin(a), 0.0, -np.cos(a), np.cos(a), 0.0, -np.sin(a), 0.0, 1.0, 0.0]
+        frames.append((None if i == 29 else i % 2, i // 2 * 2, i % 5, *map(float, r), *map(float, rng.uniform(0, 2, 3))))  # ids come twice
+    points = [(i % 3, i // 2, *map(float, rng.uniform(-1, 3, 3))) for i in range(1500)] + [(0, 9, *f[12:]) for f in frames[:4]]
+    pixels = [(m, u, v, None if u + v == 9 else float(rng.uniform(0, 3))) for m in range(4) for u in range(8) for v in range(12)] + [(0, 2, 4, 2.9), (1, 9, 2, 2.0)]
+    f = spark.createDataFrame(frames, "scene_id long, frame long, image long, " + ", ".join(f"{c} double" for c in visibility.POSE_COLUMNS))
+    p = spark.createDataFrame(points, "scene_id long, point_id long, x double, y double, z double")
+    depth = spark.createDataFrame(pixels, "image long, u long, v long, depth double")
+    odd = p.unionByName(spark.createDataFrame([(0, 1, None, 0.0, 0.0), (1, 1, float("nan"), 0.0, 0.0)], p.schema))
+    seen = visibility.visible_points(f, p, cam, ["scene_id"], ["frame"], ["point_id"], 1.0, strict_front=True)
+    got = views.counts_in_view(f, odd, cam, ["scene_id"], ["frame"], 1.0)
+    want = {tuple(r) for r in seen.groupBy("scene_id", "frame").count().collect()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 15
+    near = visibility.with_depth_reach(f, depth, ["image"], 0.06)
+    near = visibility.visible_points(near, p, cam, ["scene_id"], ["frame", "image"], ["point_id"])
+    want = sorted(tuple(r) for r in visibility.not_occluded(near, depth, cam, ["scene_id"], ["frame"], ["point_id"], 0.06, ["image"]).collect())
+    out = views.unoccluded_points(f, odd, depth, cam, ["scene_id"], ["frame"], ["image"], ["point_id"], 0.06)
+    assert sorted(tuple(r) for r in out.collect()) == want and len(want) > 100
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
