@@ -6,6 +6,8 @@ nearest centroids of a vector; a query is compared with all centroids and visits
 nearest. It visits its nearest lists first, and the others return only what reaches the last place found there. Inner products are turned
 to distances by one more coordinate that gives all vectors the same length.
 
+A query goes once to a run of neighbouring lists, with the numbers of those that it visits, so its vector is not copied for each list.
+
 Equal vectors are one entry with their smallest ids, so a vector that a third of all rows share is searched once. Lists are scored in
 blocks of bounded size, queries too.
 """
@@ -29,7 +31,7 @@ class Settings:
     """Centroids come from ``sample`` distinct vectors, one for ``per_list`` vectors of the corpus, ``most_lists`` at most. A vector has
     up to ``copies`` entries, in lists within ``copy_ratio`` of its nearest whose centroids are at least ``apart`` times as far from each
     other as from the vector; a query visits its ``least_probes`` nearest lists and all others within a ratio that finds ``recall`` of
-    the neighbours in the sample."""
+    the neighbours in the sample. It goes to at most ``run`` lists in one row."""
 
     sample: int = 20_000
     per_list: int = 256
@@ -43,6 +45,7 @@ class Settings:
     degree: int = 24
     beam: int = 32
     block: int = 2048
+    run: int = 32
     seed: int = 11
 
 
@@ -179,7 +182,7 @@ def matrix(column_: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(items), "<f8").reshape(len(items), -1) if items else np.zeros((0, 1))
 
 
-def _best(q: np.ndarray, c: np.ndarray, ids: list[np.ndarray], k: int, floor: np.ndarray) -> Iterator[tuple[list[int], list[float]]]:
+def _best(q: np.ndarray, c: np.ndarray, ids: list[np.ndarray], k: int, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the ``k`` ids with the largest inner products that reach its ``floor``, ties to the smaller id."""
     rough = q @ c.T
     for row, v, low in zip(rough, q, floor, strict=True):
@@ -190,12 +193,25 @@ def _best(q: np.ndarray, c: np.ndarray, ids: list[np.ndarray], k: int, floor: np
         exact = (c[near] * v).sum(axis=1)
         near, exact = near[exact >= low], exact[exact >= low]
         if not len(near):
-            yield [], []
+            yield np.zeros(0, np.int64), np.zeros(0)
             continue
         flat = np.concatenate([ids[i] for i in near])
         score = np.repeat(exact, [len(ids[i]) for i in near])
         order = np.lexsort((flat, -score))[:k]
-        yield flat[order].tolist(), score[order].tolist()
+        yield flat[order], score[order]
+
+
+ROWS_AT_ONCE = 8192  # that a task hands on, whatever the number of lists
+
+
+def in_runs(go: np.ndarray, run: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Row, run of lists, and the lists in it, of the marked lists of each row, some thousand of them at a time."""
+    step = max(1, ROWS_AT_ONCE // -(-go.shape[1] // run))
+    for lo in range(0, len(go), step):
+        r, j = np.nonzero(go[lo : lo + step])
+        if len(r):
+            first = np.flatnonzero(np.r_[True, (np.diff(r) != 0) | (np.diff(j // run) != 0)])
+            yield r[first] + lo, j[first] // run, pa.ListArray.from_arrays(pa.array(np.r_[first, len(r)], pa.int32()), pa.array(j, pa.int32()))
 
 
 def search(rows: DataFrame, is_query, k: int = 20, s: Settings = Settings(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -246,30 +262,37 @@ def search(rows: DataFrame, is_query, k: int = 20, s: Settings = Settings(), id_
                 reach = np.where(np.isneginf(floor.fill_null(0.0).to_numpy()), np.inf, dist.min(axis=1) * shared.value.ratio)
                 go = later[:, None] & (dist <= reach[:, None])
                 np.put_along_axis(go, first, ~later[:, None], axis=1)
-                r, j = np.nonzero(go)
-                take = pa.array(r)
-                yield {"list": j, "vec": column(part, "vec").take(take), "floor": floor.take(take).fill_null(-np.inf)}
+                for r, at, wanted in in_runs(go, run):
+                    take = pa.array(r)
+                    yield {"run": at, "vec": column(part, "vec").take(take), "floor": floor.take(take).fill_null(-np.inf), "lists": wanted}
 
     asked = plain.filter(is_query).distinct()
-    posted = frozen(map_arrow(distinct, entries, "list int, vec binary, ids array<long>"), "postings")
-    blocks = lambda df: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("n"))
-    cb = frozen(blocks(posted).withColumnRenamed("n", "cn"), "blocks")  # one row for each list
+    run = max(1, min(s.run, lists // 16))
+    posted = frozen(map_arrow(distinct, entries, "list int, vec binary, ids array<long>"), "postings").withColumn("run", F.floor(F.col("list") / run).cast("int"))
+    blocks = lambda df, rows: df.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("n"))
+    cb = frozen(blocks(posted, s.block * 8).withColumnRenamed("n", "cn"), "blocks")  # one row for each run of lists
     place = lambda own: F.pmod(F.xxhash64("vec"), F.col(own)).cast("int")
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"vec": [], "ids": [], "scores": []})
-        found = list(_best(matrix(b["vec"]), matrix(a["vec"]), [np.asarray(i) for i in a["ids"]], k + 1, b["floor"].to_numpy()))
-        some = [len(f[0]) > 0 for f in found]
-        return pd.DataFrame({"vec": b["vec"], "ids": [f[0] for f in found], "scores": [f[1] for f in found]})[some]
+        c, ids, held = matrix(a["vec"]), [np.asarray(i) for i in a["ids"]], a["list"].to_numpy()
+        q, vec, floor = matrix(b["vec"]), b["vec"].to_numpy(), b["floor"].to_numpy()
+        wanted, who = np.concatenate(b["lists"].to_numpy()), np.repeat(np.arange(len(b)), b["lists"].map(len).to_numpy())
+        out = []
+        for at in np.unique(held):
+            own, asked = np.flatnonzero(held == at), who[wanted == at]
+            found = _best(q[asked], c[own], [ids[i] for i in own], k + 1, floor[asked])
+            out += [(vec[w], *f) for w, f in zip(asked, found, strict=True) if len(f[0])]
+        return pd.DataFrame({n: [o[i] for o in out] for i, n in enumerate(("vec", "ids", "scores"))})
 
     def visited(vectors: DataFrame, name: str) -> DataFrame:
         """vec, id, score of what the lists that ``vectors`` (vec, floor) ask for return."""
-        asking = frozen(map_arrow(vectors, probes, "list int, vec binary, floor double"), name)
-        both = frozen(cb.join(blocks(asking).withColumnRenamed("n", "qn"), "list"), name + "-blocks")
-        left = posted.join(both, "list").withColumn("c", place("cn")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).select("list", "c", "q", "vec", "ids")
-        right = asking.join(both, "list").withColumn("q", place("qn")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))).select("list", "c", "q", "vec", "floor")
-        found = left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q")).applyInPandas(score, "vec binary, ids array<long>, scores array<double>")
+        asking = frozen(map_arrow(vectors, probes, "run int, vec binary, floor double, lists array<int>"), name)
+        both = frozen(cb.join(blocks(asking, s.block).withColumnRenamed("n", "qn"), "run"), name + "-blocks")
+        left = posted.join(both, "run").withColumn("c", place("cn")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).select("run", "c", "q", "list", "vec", "ids")
+        right = asking.join(both, "run").withColumn("q", place("qn")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))).select("run", "c", "q", "vec", "floor", "lists")
+        found = left.groupBy("run", "c", "q").cogroup(right.groupBy("run", "c", "q")).applyInPandas(score, "vec binary, ids array<long>, scores array<double>")
         return found.select("vec", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("vec", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
 
     order = [F.desc("score"), F.col("id")]

@@ -170,6 +170,26 @@ def test_search_of_many_lists(spark):
     assert got.keys() == want.keys() and np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.95
 
 
+def test_queries_go_to_runs_of_lists(spark, monkeypatch):
+    go = np.random.default_rng(7).random((700, 4096)) < 0.8
+    sizes, back = [], np.zeros_like(go)
+    for r, run, lists in posting_search.in_runs(go, 32):
+        sizes.append(len(r))
+        for row, at, own in zip(r, run, lists.to_pylist(), strict=True):
+            assert {i // 32 for i in own} == {at}
+            back[row, own] = True
+    assert (back == go).all() and max(sizes) <= posting_search.ROWS_AT_ONCE
+    assert list(posting_search.in_runs(np.zeros((3, 40), bool), 32)) == []
+    x = np.random.default_rng(6).normal(size=(2000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    kept, plain = {}, posting_search.frozen
+    monkeypatch.setattr(posting_search, "frozen", lambda df, name: kept.setdefault(name, plain(df, name)))
+    posting_search.search(rows, F.col("id") % 20 == 0, 20, posting_search.Settings(per_list=4)).collect()
+    lists = kept["postings"].select("list").distinct().count()
+    visits = kept["wider"].select(F.explode("lists")).count()
+    assert lists > 300 and visits > 5 * kept["wider"].count() and kept["wider"].count() <= 100 * (lists // 16 + 2)
+
+
 def test_graph_walk_finds_the_nearest():
     x = np.random.default_rng(4).normal(size=(3000, 8))
     index = posting_search.fit(x, 200, float(np.linalg.norm(x, axis=1).max()), posting_search.Settings())
