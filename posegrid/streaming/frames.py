@@ -44,27 +44,17 @@ def running_confusion(pairs: DataFrame, keys=("seq_id",)) -> DataFrame:
 
 
 def candidate_associations(images: DataFrame, others: DataFrame, max_dt: float, delay: str = "10 minutes") -> DataFrame:
-    """Stream-stream join of stamps within the gate; the nearest is picked from the joined rows.
+    """Stamps within the gate of an image that can be its nearest; ``nearest_association`` picks it from these rows.
 
-    Both sides have ``id`` and ``ts`` (timestamp). Buckets as wide as the gate give the equi-key,
-    the time bound lets the state expire.
+    Both sides have ``id`` (a whole number) and ``ts`` (timestamp). In each micro-batch an image has a row for the closest new stamp not
+    after it and for the closest new one after it, and at its first for the closest of all, so rows grow with the images however many
+    stamps are within the gate. Of stamps at the same time the smallest id counts. State is kept by blocks of time and expires with them.
     """
-    micros = lambda c: F.unix_micros(c)
-    width = int(max_dt * 1_000_000)
-    a = images.withWatermark("ts", delay).select(F.col("id").alias("image_id"), F.col("ts").alias("image_ts"), F.floor(micros(F.col("ts")) / width).alias("bucket"))
-    reach = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
-    b = (
-        others.withWatermark("ts", delay)
-        .select(F.col("id").alias("other_id"), F.col("ts").alias("other_ts"))
-        .withColumn("_o", F.explode(reach))
-        .withColumn("bucket", F.floor(micros(F.col("other_ts")) / width) + F.col("_o"))
-        .drop("_o")
-    )
-    gap = F.expr(f"INTERVAL {width} MICROSECONDS")
-    bound = (F.col("other_ts") >= F.col("image_ts") - gap) & (F.col("other_ts") <= F.col("image_ts") + gap)
-    j = a.alias("a").join(b.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & bound)
-    dt = F.abs(micros(F.col("image_ts")) - micros(F.col("other_ts"))) / 1e6
-    return j.select("image_id", "other_id", "image_ts", "other_ts", dt.alias("dt")).filter(F.col("dt") < max_dt)
+    sides = [df.withWatermark("ts", delay).select(F.lit(side).alias("side"), "id", "ts") for side, df in enumerate((images, others))]
+    c = state.closest_stamps(sides[0].unionByName(sides[1]), max_dt)
+    own = {n: F.when(F.col(f"with_{n}") == 1, F.col(n)).cast(df.schema["id"].dataType).alias(n) for n, df in (("image_id", images), ("other_id", others))}
+    stamps = [F.timestamp_micros(f"{n}_us").alias(f"{n}_ts") for n in ("image", "other")]
+    return c.select(own["image_id"], own["other_id"], *stamps, (F.abs(F.col("image_us") - F.col("other_us")) / 1e6).alias("dt"))
 
 
 def nearest_association(candidates: DataFrame) -> DataFrame:

@@ -101,3 +101,27 @@ def test_many_sequences_share_few_keys_of_state(spark, monkeypatch):
     want = {(s, START + k * 1_000_000 + (s or 0) % 7) for k in (0, 4, 9) for s in seqs}
     assert {(r.seq_id, r.us) for r in kept} - {(5000, START + 10**10)} == want
     assert 0 < calls.value <= 4 * 3
+
+
+def test_candidates_grow_with_the_images(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    schema = "id long, kind string, ts timestamp"
+    rows = [(i, "image" if i % 3 else "depth", int(rng.integers(0, 3_000_000_000))) for i in range(1200)]
+    rows += [(None, "image", 500_000_000), (5000, "image", -400_000_000), (5001, "depth", -400_300_000), (5002, "depth", -399_500_000), (5003, "image", None)]
+    order = rng.permutation(len(rows))
+    for k in range(3):  # stamps of all times come in every batch
+        part = spark.createDataFrame([rows[i] for i in order[k::3]], "id long, kind string, us long")
+        part.select("id", "kind", F.timestamp_micros(F.col("us") + START).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    side = lambda kind: stream.filter(F.col("kind") == kind).drop("kind")
+    found = ST.drain(ST.candidate_associations(side("image"), side("depth"), 200.0, "2 hours"), "append", "candidates")
+    images, depths = ([(i, us) for i, k, us in rows if k == kind and us is not None] for kind in ("image", "depth"))
+    pairs = sum(abs(a - b) < 200_000_000 for _, a in images for _, b in depths)
+    assert len(images) < found.count() < min(pairs / 5, 6 * len(images)) and found.filter("dt >= 200 OR image_ts IS NULL").isEmpty()
+    got = {r.image_id: (r.other_id, r.dt) for r in ST.nearest_association(found).collect()}
+    want = {}
+    for i, a in images:
+        gap, _, other = min((abs(a - b), b, j) for j, b in depths)
+        if gap < 200_000_000:
+            want[i] = (other, gap / 1e6)
+    assert got == want and None in got and got[5000] == (5001, 0.3)
