@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from posegrid.session import shared_dir
+from posegrid.session import shared_dir, write_folders
 from posegrid.sources import poses as P
 from posegrid.sources import sinks
 
@@ -30,3 +30,16 @@ def test_small_folders_are_written_by_many_tasks(spark):
     path = os.path.join(shared_dir(spark), f"pairs-{uuid.uuid4().hex}")
     sinks.write_associations(pairs, path)
     assert spark.read.text(path).count() == 120 and len(_parts(path)) > 1
+
+
+def test_folders_are_those_of_the_text_sink(spark, tmp_path):
+    rows = [(None if i == 7 else i % 5, "" if i % 11 == 0 else "a=b/c d%é"[: i % 9], i, None if i == 3 else f"line {i}\u00fc") for i in range(60)]
+    df = spark.createDataFrame(rows, "seq_id long, `a b` string, at int, value string")
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    write_folders(df, ours, ["seq_id", "a b"], ["at"])
+    df.repartition(3, "seq_id", "a b").sortWithinPartitions("seq_id", "a b", "at").drop("at").write.partitionBy("seq_id", "a b").text(theirs)
+    held = [{os.path.relpath(d, top): [open(os.path.join(d, f), "rb").read() for f in names if f.startswith("part-")] for d, _, names in os.walk(top) if "=" in os.path.basename(d)} for top in (ours, theirs)]
+    assert held[0] == held[1] and len(held[0]) > 20
+    write_folders(df.limit(1), ours, ["seq_id", "a b"], ["at"])  # takes the place of what was there
+    assert spark.read.text(ours).count() == 1
+    assert not [f for d, _, names in os.walk(ours) for f in names if f.endswith(".crc") and f.startswith(".part")]  # a process for each mode
